@@ -27,10 +27,11 @@ def content_hash(content: Column, algorithm: str) -> Column:
 
 
 def _runs(content: Column, min_length: int) -> Column:
-    # Latin-1 maps every byte to one character, so a run of characters in this range
-    # is exactly a run of printable bytes.
-    text = F.decode(content, "ISO-8859-1")
-    return F.regexp_extract_all(text, F.lit(rf"[\x20-\x7E]{{{max(min_length, 1)},}}"), 0)
+    # Read as UTF-8, bytes outside ASCII become other characters, valid sequence or not,
+    # and never take an ASCII byte along; so a run of characters in this range is exactly
+    # a run of printable bytes.
+    runs = F.lit(rf"[\x20-\x7E]{{{max(min_length, 1)},}}")
+    return F.regexp_extract_all(content.cast("string"), runs, 0)
 
 
 def printable_runs(content: Column, min_length: int = MIN_STRING_LENGTH, block: int = 0) -> Column:

@@ -8,9 +8,10 @@ Two dialects are kept apart:
 * the *extended* dialect of match rules: the plain match, or else a second
   reading in which ``**`` crosses slashes and brackets and braces are literal.
 
-Patterns are configuration, so a Python list of them is compiled on the driver.
-The expressions use only syntax that Java and Python read alike; callers add the
-anchors of their own engine.
+Patterns that come as configuration are compiled on the driver, to syntax that Java
+and Python read alike, as the walk of a file tree needs them too. Patterns that come as
+a column are compiled by Spark. Regexes are unanchored; callers add the anchors of
+their engine.
 """
 
 from __future__ import annotations
@@ -85,6 +86,51 @@ def plain_glob_regex(pattern: str, may_cross: bool = True) -> str | None:
     return "".join(parts)
 
 
+_ANY = r"[\s\S]"
+_ITEM = rf"(?:\\{_ANY}|[^\]\\-])(?:-(?:\\{_ANY}|[^\]\\-]))?"
+_TOKEN = rf"\\{_ANY}|\[\^?+(?:{_ITEM})+\]|[^\\\[]"
+
+
+def _code(char: Column) -> Column:
+    return F.concat(F.lit(r"\x{"), F.hex(F.ascii(char)), F.lit("}"))
+
+
+def _class_regex(token: Column) -> Column:
+    negated = token.startswith("[^")
+    items = F.regexp_extract_all(F.regexp_replace(token, r"^\[\^?|\]$", ""), F.lit(_ITEM), 0)
+    bounds = F.transform(
+        items,
+        lambda item: F.struct(
+            F.regexp_extract(item, rf"^\\?({_ANY})", 1).alias("lo"),
+            F.regexp_extract(item, rf"({_ANY})\z", 1).alias("hi"),
+        ),
+    )
+    ranges = F.transform(
+        F.filter(bounds, lambda b: F.ascii(b["lo"]) <= F.ascii(b["hi"])),
+        lambda b: F.concat(_code(b["lo"]), F.lit("-"), _code(b["hi"])),
+    )
+    opened = F.when(negated, F.lit("[^")).otherwise(F.lit("["))
+    return (
+        F.when(F.size(ranges) > 0, F.concat(opened, F.array_join(ranges, ""), F.lit("]")))
+        .when(negated, F.lit(_ANY))
+        .otherwise(F.lit(_NEVER))
+    )
+
+
+def plain_glob_regex_column(pattern: Column) -> Column:
+    """:func:`plain_glob_regex` for a column of patterns; NULL for a malformed one."""
+    tokens = F.regexp_extract_all(pattern, F.lit(_TOKEN), 0)
+    regexes = F.transform(
+        tokens,
+        lambda token: F.when(token == "*", F.lit("[^/]*"))
+        .when(token == "?", F.lit("[^/]"))
+        .when(token.startswith("["), _class_regex(token))
+        .otherwise(_code(F.substring(token, -1, 1))),
+    )
+    # A pattern is well formed if its tokens leave nothing out.
+    return F.when(F.array_join(tokens, "") == pattern, F.array_join(regexes, ""))
+
+
 def escape_regex(text: Column) -> Column:
     """Backslash before each of the regex special characters ``\\ . + * ? ( ) [ ] { } ^ $ |``."""
     return F.regexp_replace(text, r"([\\.+*?()\[\]{}^$|])", r"\\$1")

@@ -30,17 +30,17 @@ def lookup_join(
     lookup: DataFrame,
     key: str,
     salt_on: list[str],
-    how: str = "inner",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    small: bool,
 ) -> DataFrame:
-    """Join many rows with a smaller table whose size is looked at first.
+    """Join many rows with a smaller table; ``small`` is the outcome of a size check.
 
-    Up to ``broadcast_bytes`` the lookup table is broadcast and the rows do not move.
-    Beyond that both sides are shuffled on (key, salt): the lookup table is repeated
-    once per salt, so a key that holds a third of all rows is spread over all pieces.
+    A small lookup table is broadcast and the rows do not move. Otherwise both sides are
+    shuffled on (key, salt): the lookup table is repeated once per salt, so a key that
+    holds a third of all rows is spread over all pieces.
     """
-    if table_bytes(lookup) <= broadcast_bytes:
-        return rows.join(F.broadcast(lookup), key, how)
+    if small:
+        return rows.join(F.broadcast(lookup), key)
     salted = rows.withColumn("_salt", salt_of(*salt_on))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    # Too large to broadcast by our own measure, so the planner shall not try either.
+    return salted.hint("shuffle_merge").join(repeated, [key, "_salt"]).drop("_salt")

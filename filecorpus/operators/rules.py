@@ -1,25 +1,23 @@
-"""Match rules: tables of literal paths and extended glob patterns."""
+"""Match rules: literal paths and extended glob patterns."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from filecorpus.functions.globs import extended_glob_regex, is_glob, plain_glob_regex
+from filecorpus.functions.globs import (
+    extended_glob_regex,
+    is_glob,
+    plain_glob_regex,
+    plain_glob_regex_column,
+)
 from filecorpus.functions.paths import file_extension
-from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join
+from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 
-_META = re.compile(r"[*?\[\]{}\\]")
-
-
-def rules_table(spark: SparkSession, patterns: Iterable[str]) -> DataFrame:
-    """``(rule_id, pattern)`` from configured patterns, numbered from 0."""
-    return spark.createDataFrame(list(enumerate(patterns)), "rule_id bigint, pattern string")
+# The characters that are not plain text in a pattern, in a regex class.
+_SPECIAL = r"*?\[\]{}\\"
 
 
 def with_rule_kind(rules: DataFrame) -> DataFrame:
@@ -27,74 +25,82 @@ def with_rule_kind(rules: DataFrame) -> DataFrame:
     return rules.withColumn("is_glob", is_glob(F.col("pattern")))
 
 
-def anchor(pattern: str) -> str:
-    """A join key that every path matched by the pattern has, in either reading.
+def _whole(regex: Column) -> Column:
+    return F.concat(F.lit(r"\A(?:"), regex, F.lit(r")\z"))
+
+
+def match_patterns(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """One row ``path, rule_id, pattern`` per file and configured pattern that matches it.
 
-    Text before the first and after the last special character is literal. ``d:`` is a
-    directory the path lies in, ``n:`` its last element, ``e:`` its extension, and
-    ``*`` says that the pattern has no such part.
+    Rules are numbered from 0. Every pattern becomes a literal regex of the projection,
+    compiled once per task; nothing is joined or moved.
     """
-    special = [m.start() for m in _META.finditer(pattern)]
-    if not special:
-        return "p:" + pattern
-    head, tail = pattern[: special[0]], pattern[special[-1] + 1 :]
-    if pattern[special[-1]] == "\\":
-        tail = tail[1:]
-    if "/" in tail:
-        return "n:" + tail.rsplit("/", 1)[1]
-    if "/" in head:
-        return "d:" + head.rsplit("/", 1)[0]
-    if "." in tail:
-        return "e:" + tail.rsplit(".", 1)[1]
-    return "*"
-
-
-_PREPARED = T.StructType([T.StructField("key", T.StringType()), T.StructField("plain", T.StringType())])
-
-
-@F.pandas_udf(_PREPARED)
-def _prepare(patterns: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"key": patterns.map(anchor), "plain": patterns.map(plain_glob_regex)}, dtype=object
-    )
+    path, hits = F.col("path"), []
+    for rule_id, pattern in enumerate(patterns):
+        plain, text = plain_glob_regex(pattern), F.lit(pattern)
+        matched = F.lit(False) if plain is None else path.rlike(rf"\A(?:{plain})\z")
+        matched = matched | (is_glob(text) & F.rlike(path, _whole(extended_glob_regex(text))))
+        rule = F.struct(F.lit(rule_id).cast("bigint").alias("rule_id"), text.alias("pattern"))
+        hits.append(F.when(matched, rule))
+    return files.select("path", F.inline(F.array_compact(F.array(*hits))))
 
 
-def match_rules(
-    files: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """One row ``path, rule_id, pattern`` per file and rule that matches its whole path.
+def _anchor(pattern: Column) -> Column:
+    """A join key that every path matched by the pattern has, in either reading.
 
-    Every rule has one join key (see :func:`anchor`) and every path a handful, so the
-    candidates come from an equi-join and the regex is only tried on them.
+    Text before the first and after the last special character is literal. ``p:`` is the
+    whole path, ``n:`` its last element, ``d:`` a directory it lies in, ``e:`` its
+    extension, and ``*`` says that the pattern has no such part.
     """
-    glob = is_glob(F.col("pattern"))
-    prepared = rules.withColumn("_r", _prepare("pattern")).filter(F.col("_r.plain").isNotNull() | glob)
-    regex = F.concat(
-        F.lit(r"\A(?:"),
-        F.concat_ws(
-            "|",
-            F.col("_r.plain"),
-            F.when(glob, extended_glob_regex(F.col("pattern"))),
-        ),
-        F.lit(r")\z"),
+    head = F.regexp_extract(pattern, rf"^[^{_SPECIAL}]*", 0)
+    tail = F.regexp_extract(pattern, rf"(?s)(?:\\.)?([^{_SPECIAL}]*)\z", 1)
+    directory = F.substring(
+        head, F.lit(1), F.length(head) - F.length(F.substring_index(head, "/", -1)) - 1
     )
-    prepared = prepared.select("rule_id", "pattern", F.col("_r.key").alias("key"), regex.alias("regex"))
-    path = F.col("path")
+    return (
+        F.when(head == pattern, F.concat(F.lit("p:"), pattern))
+        .when(tail.contains("/"), F.concat(F.lit("n:"), F.substring_index(tail, "/", -1)))
+        .when(head.contains("/"), F.concat(F.lit("d:"), directory))
+        .when(tail.contains("."), F.concat(F.lit("e:"), F.substring_index(tail, ".", -1)))
+        .otherwise(F.lit("*"))
+    )
+
+
+def _keys(path: Column) -> Column:
     directories = F.transform(
         F.sequence(F.lit(1), F.size(F.split(path, "/"))),
         lambda i: F.concat(F.lit("d:"), F.call_function("substring_index", path, F.lit("/"), i)),
     )
-    keys = F.concat(
-        F.array(
-            F.lit("*"),
-            F.concat(F.lit("p:"), path),
-            F.concat(F.lit("n:"), F.substring_index(path, "/", -1)),
-            F.concat(F.lit("e:"), file_extension(path)),
-        ),
-        directories,
+    single = F.array(
+        F.lit("*"),
+        F.concat(F.lit("p:"), path),
+        F.concat(F.lit("n:"), F.substring_index(path, "/", -1)),
+        F.concat(F.lit("e:"), file_extension(path)),
     )
-    candidates = files.select("path", F.explode(keys).alias("key"))
-    matched = lookup_join(
-        candidates, prepared, "key", salt_on=["path"], broadcast_bytes=broadcast_bytes
+    return F.concat(single, directories)
+
+
+def match_rules(
+    files: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """One row ``path, rule_id, pattern`` per file and row of ``rules`` that matches it.
+
+    For tables of rules, of any size. Every rule has one join key (see :func:`_anchor`)
+    and every path a handful, so the candidates come from an equi-join and the regex is
+    only tried on them.
+    """
+    pattern = F.col("pattern")
+    # concat_ws leaves out a reading that does not exist.
+    regex = F.concat_ws(
+        "|",
+        plain_glob_regex_column(pattern),
+        F.when(is_glob(pattern), extended_glob_regex(pattern)),
     )
+    prepared = rules.select(
+        "rule_id", "pattern", _anchor(pattern).alias("key"), _whole(regex).alias("regex")
+    ).filter(plain_glob_regex_column(pattern).isNotNull() | is_glob(pattern))
+    candidates = files.select("path", F.explode(_keys(F.col("path"))).alias("key"))
+    # A prepared rule may be ten times as long as its pattern, hence the sixteenth.
+    small = table_bytes(rules) <= broadcast_bytes // 16
+    matched = lookup_join(candidates, prepared, "key", salt_on=["path"], small=small)
     return matched.filter("path rlike regex").select("path", "rule_id", "pattern")

@@ -15,7 +15,7 @@ from filecorpus.functions.paths import (
     path_components,
     paths_from_root,
 )
-from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join
+from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 
 
 def path_component_rows(files: DataFrame) -> DataFrame:
@@ -77,9 +77,8 @@ def files_under(
     children = files.select(
         "path", normalize_path("path").alias("_child"), F.explode(ancestor_keys("path")).alias("key")
     )
-    joined = lookup_join(
-        children, keyed, "key", salt_on=["path"], broadcast_bytes=broadcast_bytes
-    )
+    small = table_bytes(keyed) <= broadcast_bytes
+    joined = lookup_join(children, keyed, "key", salt_on=["path"], small=small)
     below = F.startswith("_child", "_parent") & contained
     return joined.filter((F.col("_parent") == "") | below).select("dir", "path")
 

@@ -347,7 +347,7 @@ PATTERNS = ("**/en/*.txt", "/corpus/src?/*.log", "/corpus/src1*/**", "*.bin", "/
     name="match_rules",
 )
 def match_configured_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.match_rules(documents(spark, folder), rules.rules_table(spark, PATTERNS))
+    return rules.match_patterns(documents(spark, folder), PATTERNS)
 
 
 def derived_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -613,7 +613,7 @@ def copied(spark: SparkSession, folder: str) -> DataFrame:
     """A later copy of the corpus: some files gone, some changed, some under a new name."""
     files = documents(spark, folder, "/copy")
     fate = F.col("doc_id") % 5
-    content = F.when(fate == 1, F.concat("content", F.encode(F.lit("+"), "UTF-8"))).otherwise(
+    content = F.when(fate == 1, F.concat("content", F.lit(b"+"))).otherwise(
         F.col("content")
     )
     renamed = F.concat("path", F.when(fate == 2, F.lit(".new")).otherwise(F.lit("")))

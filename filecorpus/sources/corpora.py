@@ -34,7 +34,6 @@ def document_files(documents: DataFrame, root: str = ROOT) -> DataFrame:
         F.col("source"),
         _every(4, F.lit(""), F.concat(F.lit("/"), F.col("lang"))),
     )
-    content = F.encode("text", "UTF-8")
     return documents.select(
         "doc_id",
         "lang",
@@ -44,10 +43,10 @@ def document_files(documents: DataFrame, root: str = ROOT) -> DataFrame:
         name.alias("name"),
         _every(4, F.lit(1), F.lit(2)).alias("depth"),
         _every(13, F.lit("symlink"), F.lit("file")).alias("kind"),
-        F.octet_length(content).cast("bigint").alias("size"),
+        F.octet_length("text").cast("bigint").alias("size"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")).alias("mod_time"),
         _every(7, F.lit(MODE_EXECUTABLE), F.lit(MODE_PLAIN)).alias("mode"),
-        content.alias("content"),
+        F.col("text").cast("binary").alias("content"),
     )
 
 
@@ -74,31 +73,29 @@ def document_tree(documents: DataFrame, root: str = ROOT) -> DataFrame:
 def page_files(pages: DataFrame) -> DataFrame:
     """Pages as files: the path is the URL without scheme, query and fragment."""
     path = F.regexp_extract("url", r"^[^:/]+://([^?#]*)", 1)
-    content = F.encode("html", "UTF-8")
     return pages.select(
         "page_id",
         F.substring_index(path, "/", 1).alias("root"),
         path.alias("path"),
         parent_path(path).alias("parent"),
         base_name(path).alias("name"),
-        F.octet_length(content).cast("bigint").alias("size"),
+        F.octet_length("html").cast("bigint").alias("size"),
         F.lit(None).cast("timestamp").alias("mod_time"),
         F.lit(MODE_PLAIN).alias("mode"),
-        content.alias("content"),
+        F.col("html").cast("binary").alias("content"),
     )
 
 
 def conversation_files(conversations: DataFrame) -> DataFrame:
     """Conversation turns as files ``<conv_id>/<turn>``."""
     folder, name = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    content = F.encode("text", "UTF-8")
     return conversations.select(
         folder.alias("root"),
         F.concat(folder, F.lit("/"), name).alias("path"),
         folder.alias("parent"),
         name.alias("name"),
-        F.octet_length(content).cast("bigint").alias("size"),
+        F.octet_length("text").cast("bigint").alias("size"),
         F.lit(None).cast("timestamp").alias("mod_time"),
         F.lit(MODE_PLAIN).alias("mode"),
-        content.alias("content"),
+        F.col("text").cast("binary").alias("content"),
     )
