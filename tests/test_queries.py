@@ -1,0 +1,57 @@
+"""Every registered query against its SQL, and the plans of the ones that matter."""
+
+import pytest
+
+import __spark_entry__ as entry
+from check_queries import difference
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query_agrees_with_sql(spark, name):
+    assert difference(spark, SMALL, name) is None
+
+
+def test_every_sql_has_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry(spark):
+    result = entry.entry(spark)
+    assert result.columns == ["lang", "unique_documents"]
+    assert result.count() > 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in ("incremental_dedup", "scan_levels")])
+def test_no_query_pairs_everything_with_everything(spark, name):
+    text = plan(entry.queries()[name](spark, SMALL))
+    assert "CartesianProduct" not in text
+    assert "NestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["dedup_hash", "dedup_path", "dedup_name", "unique_by_lang"])
+def test_duplicates_are_cut_before_the_shuffle(spark, name):
+    text = plan(entry.queries()[name](spark, SMALL))
+    shuffle = text.index("Exchange hashpartitioning")
+    assert "Partial" in text[shuffle:]
+    assert "WindowGroupLimit" in text[shuffle:]
+
+
+@pytest.mark.parametrize("name", ["filter_depth", "filter_hidden", "exclude_globs", "match_rules", "hidden_per_dir"])
+def test_text_is_not_read_for_path_work(spark, name):
+    text = plan(entry.queries()[name](spark, SMALL))
+    schema = text[text.index("ReadSchema") :].split("\n")[0]
+    assert "text" not in schema
+
+
+def test_digest_is_taken_where_the_content_is_read(spark):
+    text = plan(entry.queries()["compare_pairs"](spark, SMALL))
+    # Reading a plan upwards, nothing is shuffled before the digest is there.
+    for branch in text.split("Exchange")[1:]:
+        if "FileScan" in branch and "text" in branch.split("ReadSchema")[1].split("\n")[0]:
+            assert "sha2" in branch
