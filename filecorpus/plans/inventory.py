@@ -60,28 +60,22 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
         string_block=options.string_block,
     )
     limit = options.max_size if options.skip_large else None
-    columns = ["path", "size", "mod_time", "mode"]
-    small = files.select(columns)
-    with_large = limit is None or limit > CELL_BYTES
-    if with_large and algorithm in HASH_ALGORITHMS:
-        small = files.select(columns).filter(F.col("size") <= CELL_BYTES)
-    rows = fingerprint(
-        read_content(spread_by_bytes(small), max_size=limit),
-        skip_large=options.skip_large,
-        max_size=options.max_size,
-        **arguments,
-    )
-    if not with_large or algorithm not in HASH_ALGORITHMS:
-        return rows
-    large = files.select(columns).filter(F.col("size") > CELL_BYTES)
-    too_large = F.lit(limit is not None) & (F.col("size") > (limit or 0))
-    refused = fingerprint(
-        large.filter(too_large).withColumn("content", F.lit(None).cast("binary")),
-        skip_large=options.skip_large,
-        max_size=options.max_size,
-        **arguments,
-    )
-    scanned = scan_large_files(spread_by_bytes(large.filter(~too_large)), **arguments)
+    files = files.select("path", "size", "mod_time", "mode")
+
+    def through_cells(files: DataFrame) -> DataFrame:
+        return fingerprint(
+            read_content(spread_by_bytes(files), max_size=limit),
+            skip_large=options.skip_large,
+            max_size=options.max_size,
+            **arguments,
+        )
+
+    if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= CELL_BYTES):
+        return through_cells(files)
+    large = F.col("size") > CELL_BYTES
+    if limit is not None:
+        large = large & (F.col("size") <= limit)
+    scanned = scan_large_files(spread_by_bytes(files.filter(large)), **arguments)
     derived = {
         "name": base_name("path"),
         "size": F.coalesce("size", F.lit(0)),
@@ -93,7 +87,7 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
     scanned = scanned.select(
         [derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in FINGERPRINT]
     )
-    return rows.unionByName(refused).unionByName(scanned)
+    return through_cells(files.filter(~large)).unionByName(scanned)
 
 
 def summarize(fingerprints: DataFrame, errors: DataFrame, log: DataFrame | None) -> DataFrame:
