@@ -48,11 +48,15 @@ def identical_files(files: DataFrame) -> DataFrame:
     one row per file; all pairs of a group would grow with the square of its size.
     """
     regular = files.filter(F.col("kind") == "file")
-    hashed = with_content_hash(regular) if "content" in files.columns else regular
-    found = with_keeper(hashed, ["size", "hash"], ["path"])
-    return found.select(F.col("keeper.path").alias("keeper_path"), "path").filter(
-        "keeper_path <> path"
-    )
+    if "content" in files.columns:
+        # Asked of the content, not of the digest, which would be taken twice.
+        hashed = with_content_hash(regular.filter(F.col("content").isNotNull()))
+    else:
+        hashed = regular.filter(F.col("hash").isNotNull())
+    same_bytes = F.concat(F.col("size").cast("string"), F.lit(":"), F.col("hash"))
+    found = with_keeper(hashed, F.coalesce(same_bytes, F.lit("")), ["path"])
+    pairs = found.select(F.col("keeper.path").alias("keeper_path"), "path")
+    return pairs.filter(~F.col("keeper_path").eqNullSafe(F.col("path")))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from filecorpus.operators.joins import salt_of
 
 # What decides which of several equal rows is kept.
 KEEP_ORDER = ("path", "mod_time")
-# Pieces a duplicate group is spread over in the report; small groups have fewer.
+# Pieces a duplicate group is spread over in the report; small groups have fewer. A power
+# of two.
 KEEPER_SALTS = 512
 
 
@@ -29,10 +30,12 @@ def dedup_key(by: str = "hash") -> Column:
     """
     match by:
         case "path":
-            return F.col("path")
+            key = F.col("path")
         case "name":
-            return F.concat(F.col("name"), F.lit("#"), F.col("size").cast("string"))
-    return F.concat(F.col("hash_algorithm"), F.lit(":"), F.col("hash"))
+            key = F.concat(F.col("name"), F.lit("#"), F.col("size").cast("string"))
+        case _:
+            key = F.concat(F.col("hash_algorithm"), F.lit(":"), F.col("hash"))
+    return F.coalesce(key, F.lit(""))
 
 
 def first_per_key(rows: DataFrame, key: Column, order: Sequence[str | Column]) -> DataFrame:
@@ -55,21 +58,24 @@ def deduplicate(fingerprints: DataFrame, by: str = "hash") -> DataFrame:
     return first_per_key(without_errors(fingerprints), dedup_key(by), KEEP_ORDER)
 
 
-def with_keeper(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Distinct rows of the groups that hold more than one row.
+def with_keeper(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
+    """``key``, the order columns, ``copies`` and ``keeper`` of rows that share their key.
 
-    Adds ``copies`` (equal rows in the input) and ``keeper`` (the first row of the group,
-    as a struct of the order columns). Rows move once, to (key, salt); the sums per group
-    go over thin partial rows, and the keeper returns only to the salts its group has.
+    Equal rows are one row with their number of ``copies``; ``keeper`` is the first row
+    of the group, as a struct of the order columns. Rows move once, to (key, salt); the
+    sums per group go over thin partial rows, and the keeper returns only to the salts
+    its group has. Both uses of the moved rows share one shuffle, so whatever the key is
+    computed from is read once; the key must not be NULL.
     """
-    salted = rows.select(*keys, *order, salt_of(*order, salts=KEEPER_SALTS).alias("_salt"))
-    placed = salted.repartition(*keys, "_salt")
-    copies = placed.groupBy(*keys, "_salt", *order).agg(F.count(F.lit(1)).alias("copies"))
-    pieces = copies.groupBy(*keys, "_salt").agg(
+    placed = rows.select(
+        key.alias("key"), *order, salt_of(*order, salts=KEEPER_SALTS).alias("_salt")
+    ).repartition("key", "_salt")
+    copies = placed.groupBy("key", "_salt", *order).agg(F.count(F.lit(1)).alias("copies"))
+    pieces = copies.groupBy("key", "_salt").agg(
         F.min(F.struct(*order)).alias("keeper"), F.sum("copies").alias("_n")
     )
     groups = (
-        pieces.groupBy(*keys)
+        pieces.groupBy("key")
         .agg(
             F.min("keeper").alias("keeper"),
             F.sum("_n").alias("_n"),
@@ -77,8 +83,8 @@ def with_keeper(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
         )
         .filter("_n > 1")
     )
-    keepers = groups.select(*keys, "keeper", F.explode("_salts").alias("_salt"))
-    return copies.join(keepers, [*keys, "_salt"]).drop("_salt")
+    keepers = groups.select("key", "keeper", F.explode("_salts").alias("_salt"))
+    return copies.join(keepers, ["key", "_salt"]).drop("_salt")
 
 
 def duplicate_report(fingerprints: DataFrame, by: str = "hash") -> DataFrame:
@@ -87,8 +93,7 @@ def duplicate_report(fingerprints: DataFrame, by: str = "hash") -> DataFrame:
     ``copies`` counts the filtered rows of that path, so it is more than one only where
     overlapping roots listed a path repeatedly.
     """
-    rows = without_errors(fingerprints).withColumn("key", dedup_key(by))
-    found = with_keeper(rows, ["key"], KEEP_ORDER)
+    found = with_keeper(without_errors(fingerprints), dedup_key(by), KEEP_ORDER)
     kept = F.struct(*KEEP_ORDER).eqNullSafe(F.col("keeper")).cast("long")
     return found.select(
         "key",

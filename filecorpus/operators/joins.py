@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 # A lookup table up to this size is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 16 << 20
-# Pieces a key is split into on the shuffled path.
+# Pieces a key is split into on the shuffled path; a power of two.
 SALTS = 32
 
 
 def salt_of(*columns: Column | str, salts: int = SALTS) -> Column:
-    """A piece number that depends on nothing but the row's own values."""
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+    """A piece number below ``salts``, a power of two, from the row's own values.
+
+    It is never NULL, and Spark knows it, so a join on it adds no filter to one side
+    only; that would keep the two sides of a self-join from sharing their shuffle.
+    """
+    return F.xxhash64(*columns).bitwiseAND(F.lit(salts - 1))
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -41,6 +45,6 @@ def lookup_join(
     if small:
         return rows.join(F.broadcast(lookup), key)
     salted = rows.withColumn("_salt", salt_of(*salt_on))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     # Too large to broadcast by our own measure, so the planner shall not try either.
     return salted.hint("shuffle_merge").join(repeated, [key, "_salt"]).drop("_salt")

@@ -105,17 +105,18 @@ def paths_exist(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 def empty_directories(listing: DataFrame) -> DataFrame:
     """``path`` of each directory without any entry, hidden ones included.
 
-    Directories and the parents of all entries are counted per path in one shuffle; a
-    directory with very many entries is combined before it moves.
+    Every entry speaks for its parent and every directory for itself; the voices are
+    counted per path in one pass and one shuffle, and a directory with very many entries
+    is combined before it moves.
     """
-    dirs = listing.filter(F.col("kind") == "dir").select("path", F.lit(1).alias("_is_dir"))
-    parents = listing.filter(F.col("kind") != "error").select(
-        F.col("parent").alias("path"), F.lit(0).alias("_is_dir")
-    )
+    is_dir = F.col("kind") == "dir"
+    itself = F.struct(F.when(is_dir, F.col("path")).alias("path"), F.lit(1).alias("_alone"))
+    parent = F.struct(F.col("parent").alias("path"), F.lit(0).alias("_alone"))
+    voices = listing.filter(F.col("kind") != "error").select(F.inline(F.array(itself, parent)))
     return (
-        dirs.unionByName(parents)
+        voices.filter(F.col("path").isNotNull())
         .groupBy("path")
-        .agg(F.min("_is_dir").alias("_alone"))
+        .agg(F.min("_alone").alias("_alone"))
         .filter("_alone = 1")
         .select("path")
     )

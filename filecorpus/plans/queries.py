@@ -34,7 +34,7 @@ from filecorpus.sources.corpora import (
     page_files,
 )
 from filecorpus.sources.listing import WalkOptions, list_tree, read_listing
-from filecorpus.staging import new_folder
+from filecorpus.staging import new_folder, stage
 from filecorpus.streaming.dedup import write_unique
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,14 +753,10 @@ def failed_deliveries(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- real files (S1, S3, A2) and the whole job (Q1)
 
 
-def table_files(spark: SparkSession, folder: str) -> DataFrame:
-    return read_listing(spark, [folder], WalkOptions(exclude=("_*",)))
-
-
 @query()
 def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The files of the given tables, walked by the data source, read and fingerprinted."""
-    listing = table_files(spark, folder)
+    listing = stage(read_listing(spark, [folder], WalkOptions(exclude=("_*",))), "listing")
     return fingerprint_files(filters.regular_files(listing)).select("name", "size", "hash", "error")
 
 

@@ -18,8 +18,9 @@ from filecorpus.functions.content import HASH_ALGORITHMS, MAX_STRINGS, MIN_STRIN
 # Content handed to Spark in one Arrow batch, and bytes of files read by one task.
 BATCH_BYTES = 32 << 20
 TASK_BYTES = 256 << 20
-# Files above this never become one cell of a table.
-CELL_BYTES = 256 << 20
+# Files above this never become one cell of a table: a task may hold a few copies of a
+# cell at a time, as bytes, as text and as strings.
+CELL_BYTES = 64 << 20
 _BLOCK = 1 << 20
 
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)

@@ -5,8 +5,7 @@ Two ways to the same table (``schema.LISTING``):
 * ``spark.read.format("file_listing")`` walks subtrees in parallel; the driver only
   opens the topmost directories to find enough subtrees;
 * :func:`list_tree` lists level by level, each level being one Spark job over the
-  directories found by the one before. No task ever owns more than a few directories,
-  so one subtree that holds most of the files does not hold up the rest.
+  directories found by the one before, for trees of any shape and size.
 
 Both see local paths, so on a cluster the tree must be mounted on every executor.
 """
@@ -156,8 +155,8 @@ def _too_large(info: os.stat_result, options: WalkOptions) -> bool:
     return 0 < options.max_file_size < info.st_size and stat.S_ISREG(info.st_mode)
 
 
-def list_directory(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
-    """Rows of the entries of one directory; a failure is a row too."""
+def list_names(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
+    """A row without a kind for each entry of one directory; a failure is an error row."""
     try:
         entries = os.scandir(directory)
     except OSError as cause:
@@ -170,18 +169,32 @@ def list_directory(root: str, directory: str, depth: int, options: WalkOptions)
             path = os.path.normpath(os.path.join(directory, entry.name))
             if not _is_text(path):
                 yield _error(root, path, depth, "name", "path is not valid UTF-8")
-                continue
-            try:
-                info = entry.stat(follow_symlinks=False)
-            except OSError as cause:
-                yield _error(root, path, depth, "entry_info", cause)
-                continue
-            own_depth = depth + stat.S_ISDIR(info.st_mode)
-            if options.too_deep(own_depth) or _too_large(info, options) or options.excludes(path):
-                continue
+            elif not options.excludes(path):
+                yield (root, path, directory, entry.name, depth, *[None] * 6)
+
+
+def look_up(rows: Iterable[tuple], options: WalkOptions) -> Iterator[tuple]:
+    """Listing rows of what :func:`list_names` found; its error rows pass."""
+    for row in rows:
+        root, path, directory, _, depth, kind, *_ = row
+        if kind is not None:
+            yield row
+            continue
+        try:
+            info = os.lstat(path)
+        except OSError as cause:
+            yield _error(root, path, depth, "entry_info", cause)
+            continue
+        own_depth = depth + stat.S_ISDIR(info.st_mode)
+        if not options.too_deep(own_depth) and not _too_large(info, options):
             yield _entry(root, directory, path, own_depth, info)
 
 
+def list_directory(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
+    """Listing rows of the entries of one directory; a failure is a row too."""
+    return look_up(list_names(root, directory, depth, options), options)
+
+
 def _subdirectories(rows: Iterable[tuple]) -> Iterator[tuple[str, str, int]]:
     for row in rows:
         if row[5] == "dir":
@@ -356,24 +369,32 @@ def read_listing(spark: SparkSession, roots: Sequence[str], options: WalkOptions
 def list_tree(spark: SparkSession, roots: Sequence[str], options: WalkOptions = WalkOptions()) -> DataFrame:
     """The listing of several roots, one Spark job per level of the tree.
 
-    Every level is a written table: the loop only asks whether it has directories, and a
-    lost executor costs its own tasks.
+    A level's directories are spread over tasks, and so are the names found in them
+    before they are looked up, the slow part; so neither a large subtree nor a single
+    large directory holds up the rest. Every level is a written table: the loop only
+    asks whether it has directories, and a lost executor costs its own tasks.
     """
 
-    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for directory in batch.to_pylist():
-                yield from _record_batches(
-                    list_directory(directory["root"], directory["path"], directory["depth"], options)
-                )
+                yield from _record_batches(list_names(**directory, options=options))
+
+    def look_up_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns))
+            yield from _record_batches(look_up(rows, options))
 
     found = [row for root in roots if (row := open_root(root, options))]
     level = spark.createDataFrame(found, LISTING)
     listing = level
     while True:
-        directories = level.filter(F.col("kind") == "dir").select("root", "path", "depth")
+        directories = level.filter(F.col("kind") == "dir").select(
+            "root", F.col("path").alias("directory"), "depth"
+        )
         tasks = min(directories.count(), 4 * spark.sparkContext.defaultParallelism)
         if not tasks:
             return listing
-        level = stage(directories.repartition(tasks).mapInArrow(list_all, LISTING), "listing")
+        names = directories.repartition(tasks).mapInArrow(open_all, LISTING)
+        level = stage(names.hint("rebalance").mapInArrow(look_up_all, LISTING), "listing")
         listing = listing.unionByName(level)

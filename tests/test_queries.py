@@ -49,9 +49,21 @@ def test_text_is_not_read_for_path_work(spark, name):
     assert "text" not in schema
 
 
-def test_digest_is_taken_where_the_content_is_read(spark):
-    text = plan(entry.queries()["compare_pairs"](spark, SMALL))
-    # Reading a plan upwards, nothing is shuffled before the digest is there.
-    for branch in text.split("Exchange")[1:]:
-        if "FileScan" in branch and "text" in branch.split("ReadSchema")[1].split("\n")[0]:
-            assert "sha2" in branch
+@pytest.mark.parametrize("name, digests", [("identical_pairs", 1), ("duplicate_report", 2), ("compare_pairs", 2)])
+def test_content_is_read_and_digested_once(spark, name, digests):
+    """Two of these read two sets of files each; none reads a set again for a self-join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = entry.queries()[name](spark, SMALL)
+        result.collect()
+        text = plan(result).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("ReusedExchange") == 1
+    assert text.count("sha2(") == digests
+
+
+@pytest.mark.parametrize("name, shuffles", [("dedup_hash", 1), ("dir_rollup", 2), ("snapshot_diff", 1), ("paths_exist", 2), ("empty_dirs", 2), ("match_rules", 0), ("exclude_globs", 0), ("fingerprint_rows", 0)])
+def test_number_of_shuffles(spark, name, shuffles):
+    """The two tree queries also make the table of distinct directories with one shuffle."""
+    assert plan(entry.queries()[name](spark, SMALL)).count("Exchange hashpartitioning") == shuffles
