@@ -14,7 +14,7 @@ from filecorpus.functions.paths import base_name, is_executable
 from filecorpus.operators.batching import BATCH_SIZE, assemble_batches
 from filecorpus.operators.dedup import dedup_key, dedup_summary, deduplicate
 from filecorpus.operators.filters import regular_files, scan_errors
-from filecorpus.operators.fingerprint import MAX_FILE_SIZE, fingerprint, json_records
+from filecorpus.operators.fingerprint import MAX_FILE_SIZE, fingerprint
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import MAX_RETRIES, Send, deliver_batches, delivery_errors
 from filecorpus.sources.content import CELL_BYTES, read_content, scan_large_files, spread_by_bytes
@@ -125,7 +125,7 @@ def run_inventory(
     unique = deduplicate(fingerprints)
     log = None
     if send is not None:
-        records = json_records(unique, dedup_key().alias("key"), "path")
-        batches = assemble_batches(records, ["key", "path"], batch_size)
+        keyed = unique.withColumn("key", dedup_key())
+        batches = assemble_batches(keyed, ["key", "path"], batch_size)
         log = deliver_batches(batches, send, max_retries, max_senders)
     return Inventory(fingerprints, unique, errors, log, summarize(fingerprints, errors, log))

@@ -27,6 +27,7 @@ from filecorpus.operators.fingerprint import (
 from filecorpus.plans.inventory import fingerprint_files
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import deliver_batches, delivery_errors
+from filecorpus.sources.binary import binary_files
 from filecorpus.sources.corpora import (
     conversation_files,
     document_files,
@@ -691,8 +692,7 @@ batched AS (
 
 def batches(spark: SparkSession, folder: str) -> DataFrame:
     unique = dedup.deduplicate(fingerprint(documents(spark, folder)))
-    records = json_records(unique, dedup.dedup_key().alias("key"), "path")
-    return batching.assemble_batches(records, ["key", "path"])
+    return batching.assemble_batches(unique.withColumn("key", dedup.dedup_key()), ["key", "path"])
 
 
 @query(f"WITH {BATCHES} SELECT batch_id, count(*) AS n_items FROM batched GROUP BY 1")
@@ -760,6 +760,12 @@ def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_files(filters.regular_files(listing)).select("name", "size", "hash", "error")
 
 
+@query()
+def scan_binary(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files through Spark's own file source."""
+    return fingerprint(binary_files(spark, folder)).select("name", "size", "hash", "error")
+
+
 @query()
 def scan_levels(spark: SparkSession, folder: str) -> DataFrame:
     """The same files and a missing root, listed level by level."""

@@ -16,13 +16,17 @@ def no_wait(seconds):
 
 
 def records(spark, n, partitions=5):
-    rows = spark.range(n).select(F.format_string("%06d", (F.col("id") * 7919) % 1_000_003).alias("key"))
-    return rows.select("key", F.to_json(F.struct("key")).alias("record")).repartition(partitions)
+    key = F.format_string("%06d", (F.col("id") * 7919) % 1_000_003)
+    return spark.range(n).select(key.alias("key")).repartition(partitions)
+
+
+def assemble(rows, size):
+    return batching.assemble_batches(rows, ["key"], size, F.to_json(F.struct("key")))
 
 
 @pytest.mark.parametrize("n, size, want", [(5, 2, [2, 2, 1]), (0, 2, []), (4, 2, [2, 2]), (3, 1, [1] * 3), (3, 0, [1] * 3), (1, 100, [1])])
 def test_batch_sizes(spark, n, size, want):
-    got = batching.assemble_batches(records(spark, n), ["key"], size).orderBy("batch_id").collect()
+    got = assemble(records(spark, n), size).orderBy("batch_id").collect()
     assert [r.batch_id for r in got] == list(range(len(want)))
     assert [r.n_items for r in got] == want
     assert [len(json.loads(r.payload)) for r in got] == want
@@ -31,7 +35,7 @@ def test_batch_sizes(spark, n, size, want):
 def test_batches_follow_the_order(spark):
     rows = records(spark, 1000, 13)
     keys = sorted(r.key for r in rows.collect())
-    got = batching.assemble_batches(rows, ["key"], 64).orderBy("batch_id").collect()
+    got = assemble(rows, 64).orderBy("batch_id").collect()
     assert [item["key"] for r in got for item in json.loads(r.payload)] == keys
 
 
@@ -157,7 +161,7 @@ def test_failed_batches_do_not_stop_the_others(spark, tmp_path):
             file.write(b".")
         return (400, b"no") if int(first) % 2 else (200, b"")
 
-    batches = batching.assemble_batches(records(spark, 95), ["key"], 10)
+    batches = assemble(records(spark, 95), 10)
     log = delivery.deliver_batches(batches, send, max_senders=3, sleep=lambda seconds: None)
     rows = log.orderBy("batch_id").collect()
     assert [r.batch_id for r in rows] == list(range(10))

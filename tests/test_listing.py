@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from filecorpus.operators import filters
+from filecorpus.operators.fingerprint import fingerprint
+from filecorpus.sources.binary import binary_files
 from filecorpus.sources.listing import WalkOptions, list_tree, read_listing, split_paths
+from filecorpus.streaming.dedup import write_unique
 
 ALL = WalkOptions(skip_hidden=False)
 
@@ -173,3 +176,34 @@ def test_no_path_is_refused(spark, tmp_path):
     read_listing(spark, [str(tmp_path)])
     with pytest.raises(Exception, match="at least one path"):
         spark.read.format("file_listing").option("paths", " , ").load().collect()
+
+
+def test_binary_files(spark, tmp_path):
+    make(tmp_path, "a.txt", "d/b.txt", "d/e/c.txt", content=b"12345")
+    make(tmp_path, "big", content=b"x" * 100)
+    found = binary_files(spark, str(tmp_path))
+    rows = {(r.name, r.depth, r.size, bytes(r.content[:2]), r.parent) for r in found.collect()}
+    top = str(tmp_path)
+    assert rows == {
+        ("a.txt", 0, 5, b"12", top),
+        ("big", 0, 100, b"xx", top),
+        ("b.txt", 1, 5, b"12", f"{top}/d"),
+        ("c.txt", 2, 5, b"12", f"{top}/d/e"),
+    }
+    small = filters.max_file_size(found, 50).select("name")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,50)" in plan
+    assert "content" not in plan.split("ReadSchema")[1]
+    assert files(filters.within_depth(found, 1)) == ["a.txt", "b.txt", "big"]
+
+
+def test_new_files_are_streamed_into_the_deduplication(spark, tmp_path):
+    tree, output, state = (str(tmp_path / n) for n in ("tree", "out", "state"))
+    kept = []
+    for names in (["a", "b"], ["c", "d/e"]):
+        make(tmp_path / "tree", *names, content=b"same")
+        make(tmp_path / "tree", f"own-{names[0]}", content=names[0].encode())
+        stream = fingerprint(binary_files(spark, tree, stream=True))
+        write_unique(stream, output, state).awaitTermination()
+        kept.append(spark.read.parquet(output).count())
+    assert kept == [2, 3]

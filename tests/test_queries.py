@@ -67,3 +67,10 @@ def test_content_is_read_and_digested_once(spark, name, digests):
 def test_number_of_shuffles(spark, name, shuffles):
     """The two tree queries also make the table of distinct directories with one shuffle."""
     assert plan(entry.queries()[name](spark, SMALL)).count("Exchange hashpartitioning") == shuffles
+
+
+def test_both_ways_to_read_the_table_files_agree(spark):
+    ways = [entry.queries()[name](spark, SMALL) for name in ("scan_tables", "scan_binary")]
+    first, second = (sorted(map(tuple, df.collect())) for df in ways)
+    assert first == second
+    assert len(first) == 14
