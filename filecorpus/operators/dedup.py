@@ -17,9 +17,6 @@ from filecorpus.operators.joins import salt_of
 
 # What decides which of several equal rows is kept.
 KEEP_ORDER = ("path", "mod_time")
-# Pieces a duplicate group is spread over in the report; small groups have fewer. A power
-# of two.
-KEEPER_SALTS = 512
 
 
 def dedup_key(by: str = "hash") -> Column:
@@ -67,9 +64,8 @@ def with_keeper(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame
     its group has. Both uses of the moved rows share one shuffle, so whatever the key is
     computed from is read once; the key must not be NULL.
     """
-    placed = rows.select(
-        key.alias("key"), *order, salt_of(*order, salts=KEEPER_SALTS).alias("_salt")
-    ).repartition("key", "_salt")
+    salted = rows.select(key.alias("key"), *order, salt_of(*order).alias("_salt"))
+    placed = salted.repartition("key", "_salt")
     copies = placed.groupBy("key", "_salt", *order).agg(F.count(F.lit(1)).alias("copies"))
     pieces = copies.groupBy("key", "_salt").agg(
         F.min(F.struct(*order)).alias("keeper"), F.sum("copies").alias("_n")

@@ -42,6 +42,7 @@ def fingerprint(
     errors = [
         F.when(too_large, F.concat(F.lit("file too large ("), F.col("size"), F.lit(" bytes)"))),
         read_error,
+        F.when(F.col("content").isNull(), F.lit("open error: no content")),
     ]
     if algorithm not in HASH_ALGORITHMS:
         errors.append(F.lit(f"hash error: unsupported hash algorithm: {algorithm}"))

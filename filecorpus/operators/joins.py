@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 # A lookup table up to this size is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 16 << 20
-# Pieces a key is split into on the shuffled path; a power of two.
-SALTS = 32
+# Pieces a hot key is spread over; a key with fewer rows has fewer. A power of two.
+SALTS = 512
 
 
-def salt_of(*columns: Column | str, salts: int = SALTS) -> Column:
-    """A piece number below ``salts``, a power of two, from the row's own values.
+def salt_of(*columns: Column | str) -> Column:
+    """A piece number below ``SALTS`` from the row's own values.
 
     It is never NULL, and Spark knows it, so a join on it adds no filter to one side
     only; that would keep the two sides of a self-join from sharing their shuffle.
     """
-    return F.xxhash64(*columns).bitwiseAND(F.lit(salts - 1))
+    return F.xxhash64(*columns).bitwiseAND(F.lit(SALTS - 1))
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -38,13 +38,13 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows with a smaller table; ``small`` is the outcome of a size check.
 
-    A small lookup table is broadcast and the rows do not move. Otherwise both sides are
-    shuffled on (key, salt): the lookup table is repeated once per salt, so a key that
-    holds a third of all rows is spread over all pieces.
+    A small lookup table is broadcast and the rows do not move. Otherwise the rows move
+    once, to (key, salt), so that a key that holds a third of them is spread over all
+    salts; and a lookup row goes to just those salts at which its key really occurs.
     """
     if small:
         return rows.join(F.broadcast(lookup), key)
-    salted = rows.withColumn("_salt", salt_of(*salt_on))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     # Too large to broadcast by our own measure, so the planner shall not try either.
-    return salted.hint("shuffle_merge").join(repeated, [key, "_salt"]).drop("_salt")
+    placed = rows.withColumn("_salt", salt_of(*salt_on)).repartition(key, "_salt").hint("merge")
+    pieces = placed.select(key, "_salt").distinct().hint("merge").join(lookup, key)
+    return placed.join(pieces, [key, "_salt"]).drop("_salt")

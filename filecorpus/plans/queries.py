@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from filecorpus.functions import paths as P
 from filecorpus.functions.content import content_hash, content_prefix, printable_strings
-from filecorpus.operators import batching, compare, dedup, filters, rules, tree
+from filecorpus.operators import compare, dedup, filters, rules, tree
+from filecorpus.operators.batching import BATCH_SIZE, assemble_batches
 from filecorpus.operators.fingerprint import (
     file_lines,
     fingerprint,
@@ -692,7 +693,7 @@ batched AS (
 
 def batches(spark: SparkSession, folder: str) -> DataFrame:
     unique = dedup.deduplicate(fingerprint(documents(spark, folder)))
-    return batching.assemble_batches(unique.withColumn("key", dedup.dedup_key()), ["key", "path"])
+    return assemble_batches(unique.withColumn("key", dedup.dedup_key()), ["key", "path"])
 
 
 @query(f"WITH {BATCHES} SELECT batch_id, count(*) AS n_items FROM batched GROUP BY 1")
@@ -719,7 +720,7 @@ class RehearsedApi:
 
     def __call__(self, payload: bytes) -> tuple[int, bytes]:
         items = json.loads(payload)
-        if len(items) < batching.BATCH_SIZE:
+        if len(items) < BATCH_SIZE:
             return 400, b"short batch"
         if items[0]["hash"] < "8" and payload not in self.busy:
             self.busy.add(payload)
@@ -786,8 +787,8 @@ def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
     listing = filters.regular_files(filters.within_depth(documents(spark, folder), 2))
     listing = filters.exclude_globs(filters.skip_hidden(listing), ["*.log"])
     summary = dedup.dedup_summary(fingerprint(listing, max_size=SIZE_CAP))
-    size = batching.BATCH_SIZE
-    return summary.withColumn("n_batches", F.expr(f"(unique_files + {size - 1}) div {size}"))
+    batches = F.expr(f"(unique_files + {BATCH_SIZE - 1}) div {BATCH_SIZE}")
+    return summary.withColumn("n_batches", batches)
 
 
 def queries() -> dict[str, Query]:

@@ -54,6 +54,8 @@ ARROW_LISTING = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 10_000
+# Most directories that the driver opens to find subtrees to hand out.
+MAX_SUBTREES = 4096
 
 
 @dataclass(frozen=True)
@@ -353,8 +355,10 @@ def register(spark: SparkSession) -> None:
 def read_listing(spark: SparkSession, roots: Sequence[str], options: WalkOptions = WalkOptions()) -> DataFrame:
     """The listing of several roots through the data source; overlaps are listed twice."""
     register(spark)
+    subtrees = min(4 * spark.sparkContext.defaultParallelism, MAX_SUBTREES)
     return (
         spark.read.format("file_listing")
+        .option("numPartitions", subtrees)
         .option("paths", json.dumps(list(roots)))
         .option("maxDepth", options.max_depth)
         .option("maxFileSize", options.max_file_size)

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the plans of the ones that matter."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -74,3 +78,17 @@ def test_both_ways_to_read_the_table_files_agree(spark):
     first, second = (sorted(map(tuple, df.collect())) for df in ways)
     assert first == second
     assert len(first) == 14
+
+
+def test_tasks_need_no_installed_package(tmp_path):
+    """Queries with Python in their tasks run where workers cannot import the package."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(entry.__file__).parent)!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("scan_tables", "scan_levels", "delivery_log", "delivery_errors"):
+    assert entry.queries()[name](spark, {SMALL!r}).count()
+"""
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True, timeout=300, capture_output=True)
