@@ -40,11 +40,12 @@ def lookup_join(
 
     A small lookup table is broadcast and the rows do not move. Otherwise the rows move
     once, to (key, salt), so that a key that holds a third of them is spread over all
-    salts; and a lookup row goes to just those salts at which its key really occurs.
+    salts; and a lookup row goes to just those salts at which its key really occurs,
+    which every task sums up before anything moves.
     """
     if small:
         return rows.join(F.broadcast(lookup), key)
     # Too large to broadcast by our own measure, so the planner shall not try either.
-    placed = rows.withColumn("_salt", salt_of(*salt_on)).repartition(key, "_salt").hint("merge")
-    pieces = placed.select(key, "_salt").distinct().hint("merge").join(lookup, key)
-    return placed.join(pieces, [key, "_salt"]).drop("_salt")
+    salted = rows.withColumn("_salt", salt_of(*salt_on)).hint("merge")
+    pieces = salted.select(key, "_salt").distinct().hint("merge").join(lookup, key)
+    return salted.join(pieces, [key, "_salt"]).drop("_salt")
