@@ -18,9 +18,10 @@ ESCAPES = (
 
 
 def rfc3339(time: Column) -> Column:
-    """RFC 3339 text in the session time zone, without trailing zeros in the fraction."""
-    digits = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(digits, r"\.?0+$", ""), F.date_format(time, "XXX"))
+    """RFC 3339 text in UTC, whatever the session's time zone; no trailing zeros."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(time), epoch)
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def json_record() -> Column:

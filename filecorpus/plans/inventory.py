@@ -17,7 +17,13 @@ from filecorpus.operators.filters import regular_files, scan_errors
 from filecorpus.operators.fingerprint import MAX_FILE_SIZE, fingerprint
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import MAX_RETRIES, Send, deliver_batches, delivery_errors
-from filecorpus.sources.content import CELL_BYTES, read_content, scan_large_files, spread_by_bytes
+from filecorpus.sources.content import (
+    CELL_BYTES,
+    STRING_CELL_BYTES,
+    read_content,
+    scan_large_files,
+    spread_by_bytes,
+)
 from filecorpus.sources.listing import WalkOptions, list_tree
 from filecorpus.staging import stage
 
@@ -70,9 +76,10 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
             **arguments,
         )
 
-    if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= CELL_BYTES):
+    cell = STRING_CELL_BYTES if options.extract_strings else CELL_BYTES
+    if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= cell):
         return through_cells(files)
-    large = F.col("size") > CELL_BYTES
+    large = F.col("size") > cell
     if limit is not None:
         large = large & (F.col("size") <= limit)
     scanned = scan_large_files(spread_by_bytes(files.filter(large)), **arguments)

@@ -28,6 +28,7 @@ from filecorpus.operators.fingerprint import (
 from filecorpus.plans.inventory import fingerprint_files
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import deliver_batches, delivery_errors
+from filecorpus.sinks.tables import write_results
 from filecorpus.sources.binary import binary_files
 from filecorpus.sources.corpora import (
     conversation_files,
@@ -751,6 +752,14 @@ def failed_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     return delivery_errors(rehearse(spark, folder))
 
 
+@query(f"WITH {FINGERPRINTS} SELECT path, size, hash, error FROM prints")
+def results_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints written as a table and read back (K4)."""
+    output = new_folder(spark, "results")
+    write_results(capped(spark, folder), output)
+    return spark.read.parquet(output).select("path", "size", "hash", "error")
+
+
 # ---------------------------------------------------------------- real files (S1, S3, A2) and the whole job (Q1)
 
 

@@ -21,6 +21,9 @@ TASK_BYTES = 256 << 20
 # Files above this never become one cell of a table: a task may hold a few copies of a
 # cell at a time, as bytes, as text and as strings.
 CELL_BYTES = 64 << 20
+# The same where strings are extracted: in the worst case every few bytes are a string,
+# and all of them are there before the first 10,000 are kept.
+STRING_CELL_BYTES = 16 << 20
 _BLOCK = 1 << 20
 
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)

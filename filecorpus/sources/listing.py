@@ -203,6 +203,28 @@ def _subdirectories(rows: Iterable[tuple]) -> Iterator[tuple[str, str, int]]:
             yield row[0], row[1], row[4]
 
 
+def open_directory(
+    root: str, directory: str, depth: int, options: WalkOptions
+) -> Iterator[tuple[str, str, int]]:
+    """The subdirectories of one directory, without a look at its files.
+
+    Failures are left to the task that lists the directory, which meets them again.
+    """
+    if options.too_deep(depth + 1):
+        return
+    try:
+        entries = os.scandir(directory)
+    except OSError:
+        return
+    with entries:
+        for entry in entries:
+            if options.hides(entry.name) or not entry.is_dir(follow_symlinks=False):
+                continue
+            path = os.path.normpath(os.path.join(directory, entry.name))
+            if _is_text(path) and not options.excludes(path):
+                yield root, path, depth + 1
+
+
 def walk(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
     """Rows of everything below a directory."""
     pending = [(root, directory, depth)]
@@ -298,8 +320,8 @@ class FileListingReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         """Open directories from the top until there are enough subtrees to hand out.
 
-        Of an opened directory only the subdirectories are kept here; its files are
-        listed by a task of their own.
+        Of an opened directory only the subdirectories are looked at here; its entries
+        are listed by a task of their own.
         """
         found = [row for root in self.roots if (row := open_root(root, self.options))]
         frontier = list(_subdirectories(found))
@@ -308,7 +330,7 @@ class FileListingReader(DataSourceReader):
             level, frontier = frontier, []
             for at, directory in enumerate(level):
                 opened.append(directory)
-                frontier.extend(_subdirectories(list_directory(*directory, self.options)))
+                frontier.extend(open_directory(*directory, self.options))
                 if len(frontier) + len(level) - at - 1 + len(opened) >= self.wanted:
                     frontier.extend(level[at + 1 :])
                     break

@@ -207,6 +207,20 @@ def test_record_in_full(spark):
     assert json.loads(text)["path"] == path
 
 
+def test_times_do_not_depend_on_the_session(spark):
+    import datetime as dt
+
+    # An hour that does not exist on clocks in Berlin.
+    moment = dt.datetime(2024, 3, 31, 2, 30, 0, 5, tzinfo=dt.timezone.utc)
+    rows = fingerprints(spark, mod_time=moment)
+    for zone in ("Europe/Berlin", "America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert json.loads(json_records(rows).first().record)["modTime"] == "2024-03-31T02:30:00.000005Z"
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_record_of_a_failed_file(spark):
     text = record(spark, size=None, hash=None, error="stat error: x")
     assert json.loads(text) == {
