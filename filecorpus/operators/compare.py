@@ -60,7 +60,7 @@ def identical_files(files: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``rel_path, status``: added, removed, changed or same.
+    """``rel_path, status``: added, removed, changed, same, or unknown without a hash.
 
     Both snapshots have ``rel_path, size, hash``. They are put side by side by one
     aggregation, which moves each row once and lets a path listed twice count once.
@@ -74,7 +74,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "removed")
-        .when(F.col("before").eqNullSafe(F.col("after")), "same")
+        .when(F.col("before.hash").isNull() | F.col("after.hash").isNull(), "unknown")
+        .when(F.col("before") == F.col("after"), "same")
         .otherwise("changed")
     )
     return (

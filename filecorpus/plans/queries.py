@@ -25,7 +25,7 @@ from filecorpus.operators.fingerprint import (
     string_rows,
     with_content_hash,
 )
-from filecorpus.plans.inventory import fingerprint_files
+from filecorpus.plans.inventory import FingerprintOptions, fingerprint_files, run_inventory
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import deliver_batches, delivery_errors
 from filecorpus.sinks.tables import write_results
@@ -378,17 +378,26 @@ DERIVED = f"""{FILES}, rules AS (
 
 # In the plain reading "**[0-4].log" stays inside one directory and the brackets are a class.
 # The second reading takes the brackets literally, and no path has any.
-@query(
-    rf"""WITH {DERIVED} SELECT path, pattern FROM files JOIN rules ON NOT is_glob AND path = pattern
+DERIVED_MATCHES = rf"""WITH {DERIVED}
+    SELECT path, pattern FROM files JOIN rules ON NOT is_glob AND path = pattern
     UNION ALL SELECT path, parent || '/*.txt' FROM files WHERE name LIKE '%.txt'
     UNION ALL SELECT path, parent || '/**[0-4].log' FROM files
       WHERE regexp_matches(name, '[0-4]\.log$')"""
-)
+
+
+@query(DERIVED_MATCHES)
 def match_rules_table(spark: SparkSession, folder: str) -> DataFrame:
     matched = rules.match_rules(documents(spark, folder), derived_rules(spark, folder))
     return matched.select("path", "pattern")
 
 
+@query(DERIVED_MATCHES)
+def match_rules_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as if the rules were too many to broadcast."""
+    matched = rules.match_rules(documents(spark, folder), derived_rules(spark, folder), 0)
+    return matched.select("path", "pattern")
+
+
 @query(f"WITH {DERIVED} SELECT is_glob, count(*) AS n_rules FROM rules GROUP BY 1")
 def rule_kinds(spark: SparkSession, folder: str) -> DataFrame:
     kinds = rules.with_rule_kind(derived_rules(spark, folder))
@@ -579,16 +588,25 @@ def ext_profile(spark: SparkSession, folder: str) -> DataFrame:
     return tree.extension_profile(with_content_hash(documents(spark, folder)))
 
 
-@query(
-    f"""WITH {TREE} SELECT dirs.path AS dir, files.path FROM dirs
+FILES_UNDER = f"""WITH {TREE} SELECT dirs.path AS dir, files.path FROM dirs
     JOIN files ON starts_with(files.path, dirs.path || '/')"""
-)
+
+
+@query(FILES_UNDER)
 def files_under(spark: SparkSession, folder: str) -> DataFrame:
     listing = document_tree(table(spark, folder, "documents"))
     dirs = listing.filter("kind = 'dir'").select(F.col("path").alias("dir"))
     return tree.files_under(listing.filter("kind <> 'dir'"), dirs)
 
 
+@query(FILES_UNDER)
+def files_under_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as if the directories were too many to broadcast."""
+    listing = document_tree(table(spark, folder, "documents"))
+    dirs = listing.filter("kind = 'dir'").select(F.col("path").alias("dir"))
+    return tree.files_under(listing.filter("kind <> 'dir'"), dirs, 0)
+
+
 @query(
     f"""WITH {TREE}, wanted AS (
       SELECT DISTINCT '/corpus/' || source || '/' || lang || '/' || name AS path FROM files)
@@ -783,6 +801,13 @@ def scan_levels(spark: SparkSession, folder: str) -> DataFrame:
     return listing.groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
 
 
+@query()
+def scan_and_deliver(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job over the files of the given tables, with a rehearsed API."""
+    options = FingerprintOptions("sha1", extract_strings=True)
+    return run_inventory(spark, [folder], options=options, send=RehearsedApi(), batch_size=5).summary
+
+
 @query(
     f"""WITH {FILES}, chosen AS (
       SELECT path, CASE WHEN size <= {SIZE_CAP} THEN sha256(text) END AS hash FROM files

@@ -4,7 +4,6 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from filecorpus.functions import content as C
 from filecorpus.operators.fingerprint import file_lines, fingerprint, string_frequency, string_rows
@@ -114,6 +113,11 @@ def test_fingerprint_errors(spark):
     assert one(spark, max_size=10, algorithm="x").error == "file too large (18 bytes)"
 
 
+def test_missing_content_is_an_error(spark):
+    row = fingerprint(spark.createDataFrame([("/f", 3, None, 0o644, None)], FILES)).first()
+    assert (row.error, row.hash, row.size) == ("open error: no content", None, 3)
+
+
 def test_algorithm_is_read_in_any_case(spark):
     row = one(spark, algorithm="SHA256")
     assert row.hash == hashlib.sha256(b"0123456789abcdefgh").hexdigest()
