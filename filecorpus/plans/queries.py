@@ -231,7 +231,7 @@ def capped(spark: SparkSession, folder: str, **options) -> DataFrame:
 )
 def fingerprint_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = capped(spark, folder, extract_strings=True)
-    return rows.withColumn("n_strings", F.size("strings")).select(
+    return rows.withColumn("n_strings", F.array_size("strings")).select(
         "path", "name", "size", "hash", "hash_algorithm", "n_strings", "error", "is_executable"
     )
 

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,44 @@ def test_new_files_are_streamed_into_the_deduplication(spark, tmp_path):
         write_unique(stream, output, state).awaitTermination()
         kept.append(spark.read.parquet(output).count())
     assert kept == [2, 3]
+
+
+def expected_files(root, max_depth, skip_hidden, max_size, names):
+    """Plain statement of which files a listing has; ``names`` are excluded base names."""
+    found, pending = [], [(root, 0)]
+    while pending:
+        directory, depth = pending.pop()
+        for path in directory.iterdir():
+            if (skip_hidden and path.name.startswith(".")) or path.name in names or path.is_symlink():
+                continue
+            if path.is_dir() and (max_depth < 0 or depth + 1 <= max_depth):
+                pending.append((path, depth + 1))
+            if path.is_file() and (max_size <= 0 or path.stat().st_size <= max_size):
+                found.append(str(path))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_trees(spark, tmp_path, seed):
+    chance = random.Random(seed)
+    parts = ["a", "b", ".c", "_d", "e.txt", "f g", "ü"]
+    for _ in range(60):
+        path = tmp_path.joinpath(*chance.choices(parts, k=chance.randint(1, 4)))
+        try:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            if chance.random() < 0.1:
+                path.symlink_to(chance.choice([tmp_path, tmp_path / "nowhere"]))
+            else:
+                path.write_bytes(b"x" * chance.choice([0, 1, 50, 500]))
+        except OSError:
+            pass  # a file is where a directory is wanted, or the other way round
+    for _ in range(2):
+        depth, hidden = chance.choice([-1, 0, 1, 2]), chance.random() < 0.5
+        size, names = chance.choice([-1, 0, 1, 100]), chance.sample(["a", "_d", "ü", "e.txt"], chance.randint(0, 2))
+        options = WalkOptions(depth, size, chance.random() < 0.5, hidden, tuple(names))
+        want = expected_files(tmp_path, depth, hidden, size, names)
+        for read in (read_listing, list_tree):
+            rows = read(spark, [str(tmp_path)], options).collect()
+            assert sorted(r.path for r in rows if r.kind == "file") == want
+            assert len(rows) == len({r.path for r in rows})
+            assert not [r for r in rows if r.kind == "error"]
