@@ -55,8 +55,12 @@ def exclude_globs(listing: DataFrame, patterns: Sequence[str]) -> DataFrame:
         names = F.concat(F.lit("/"), base_name(root), F.lit("/"), path_under_root(path, root))
         excluded = excluded | names.rlike(rf"/(?:{rules.names})(?=/|\z)")
     if rules.paths:
-        excluded = excluded | F.exists(
-            paths_from_root(path, root), lambda p: p.rlike(rf"\A(?:{rules.paths})\z")
+        # Few paths pass the first test, a regex over the path as it is; the second sees
+        # to it that the directory matched is not one above the root.
+        candidate = path.rlike(rf"\A(?:{rules.paths})(?=/|\z)")
+        excluded = excluded | (
+            candidate
+            & F.exists(paths_from_root(path, root), lambda p: p.rlike(rf"\A(?:{rules.paths})\z"))
         )
     return listing.filter(~excluded)
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filecorpus.functions.content import HASH_ALGORITHMS, MIN_STRING_LENGTH
 from filecorpus.functions.paths import base_name, is_executable
@@ -79,10 +78,11 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
     cell = STRING_CELL_BYTES if options.extract_strings else CELL_BYTES
     if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= cell):
         return through_cells(files)
-    large = F.col("size") > cell
+    # A file of unknown size may be large; a large one that is refused is not opened.
+    large = F.coalesce(F.col("size") > cell, F.lit(True))
     if limit is not None:
-        large = large & (F.col("size") <= limit)
-    scanned = scan_large_files(spread_by_bytes(files.filter(large)), **arguments)
+        large = large & F.coalesce(F.col("size") <= limit, F.lit(True))
+    scanned = scan_large_files(spread_by_bytes(files.filter(large)), max_size=limit, **arguments)
     derived = {
         "name": base_name("path"),
         "size": F.coalesce("size", F.lit(0)),
@@ -99,16 +99,18 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
 
 def summarize(fingerprints: DataFrame, errors: DataFrame, log: DataFrame | None) -> DataFrame:
     """One row: the duplicate counts, ``scan_errors`` and ``delivery_errors``."""
-    failed = (
-        delivery_errors(log)
-        if log is not None
-        else errors.sparkSession.range(1).select(F.lit(0).cast(T.LongType()).alias("delivery_errors"))
-    )
-    # Each side is an aggregate without keys, so there is exactly one row to put together.
+    counts = dedup_summary(fingerprints)
     scans = errors.agg(F.count(F.lit(1)).alias("scan_errors"))
-    one = F.lit(1).alias("_one")
-    parts = [side.select("*", one) for side in (dedup_summary(fingerprints), scans, failed)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    parts = counts.unionByName(scans, allowMissingColumns=True)
+    if log is not None:
+        parts = parts.unionByName(delivery_errors(log), allowMissingColumns=True)
+    # Each part is one row with its own columns set.
+    names = [*counts.columns, "scan_errors"]
+    failed = F.max("delivery_errors") if log is not None else F.lit(0)
+    return parts.agg(
+        *[F.max(name).alias(name) for name in names],
+        failed.cast("bigint").alias("delivery_errors"),
+    )
 
 
 def run_inventory(

@@ -174,8 +174,12 @@ def scan_large_files(
     extract_strings: bool = False,
     min_length: int = MIN_STRING_LENGTH,
     string_block: int = 0,
+    max_size: int | None = None,
 ) -> DataFrame:
-    """Adds ``hash``, ``strings`` and ``error`` for files too large to be one cell."""
+    """Adds ``hash``, ``strings`` and ``error`` for files of any size, with a fresh stat.
+
+    Files that turn out to be above ``max_size`` are refused.
+    """
     if algorithm not in HASH_ALGORITHMS:
         raise ValueError(f"unsupported hash algorithm: {algorithm}")
     wanted_length = max(min_length, 1) if extract_strings else 0
@@ -185,6 +189,8 @@ def scan_large_files(
             for at, path in enumerate(batch.column("path").to_pylist()):
                 stat_values, error = _stat(path)
                 digest = strings = None
+                if error is None and max_size is not None and stat_values[0] > max_size:
+                    error = f"file too large ({stat_values[0]} bytes)"
                 if error is None:
                     try:
                         digest, strings, error = _scan(

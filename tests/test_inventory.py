@@ -91,6 +91,32 @@ def test_files_too_large_for_a_cell(spark, corpus, monkeypatch, algorithm):
         assert len(seen[0]) == 9
 
 
+def test_files_around_the_limits(spark, tmp_path):
+    """No limit is lowered here: a cell, a file too large for one, and one refused."""
+    sizes = {"strings": 17 << 20, "cell": 65 << 20, "refused": 101 << 20}
+    for name, size in sizes.items():
+        with open(tmp_path / name, "wb") as file:
+            file.write(b"start of " + name.encode())
+            file.truncate(size)
+    listing = spark.createDataFrame(
+        [(str(tmp_path / name), size, None, None) for name, size in sizes.items()]
+        # Nor need the listing know the sizes.
+        + [(str(tmp_path / name), None, None, None) for name in sizes],
+        "path string, size bigint, mod_time timestamp, mode int",
+    )
+    for options in (FingerprintOptions(), FingerprintOptions(extract_strings=True)):
+        rows = sorted(fingerprint_files(listing, options).collect(), key=lambda r: r.name)
+        assert [r.name for r in rows] == ["cell"] * 2 + ["refused"] * 2 + ["strings"] * 2
+        for row in rows:
+            assert row.size == sizes[row.name]
+            if row.name == "refused":
+                assert (row.error, row.hash) == (f"file too large ({101 << 20} bytes)", None)
+                continue
+            with open(row.path, "rb") as file:
+                assert row.hash == hashlib.file_digest(file, "sha256").hexdigest()
+            assert row.strings == ([f"start of {row.name}"] if options.extract_strings else None)
+
+
 def test_staging_uses_the_folder_of_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
