@@ -60,15 +60,14 @@ def with_keeper(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame
 
     Equal rows are one row with their number of ``copies``; ``keeper`` is the first row
     of the group, as a struct of the order columns. Rows move once, to (key, salt); the
-    sums per group go over thin partial rows, and the keeper returns only to the salts
-    its group has. Both uses of the moved rows share one shuffle, so whatever the key is
-    computed from is read once; the key must not be NULL.
+    sums per group go over partial rows, one per salt at most, and the keeper returns
+    only to the salts its group has. Both uses of the moved rows share one shuffle, so
+    whatever the key is computed from is read once; the key must not be NULL.
     """
     salted = rows.select(key.alias("key"), *order, salt_of(*order).alias("_salt"))
     placed = salted.repartition("key", "_salt")
-    copies = placed.groupBy("key", "_salt", *order).agg(F.count(F.lit(1)).alias("copies"))
-    pieces = copies.groupBy("key", "_salt").agg(
-        F.min(F.struct(*order)).alias("keeper"), F.sum("copies").alias("_n")
+    pieces = placed.groupBy("key", "_salt").agg(
+        F.min(F.struct(*order)).alias("keeper"), F.count(F.lit(1)).alias("_n")
     )
     groups = (
         pieces.groupBy("key")
@@ -80,7 +79,9 @@ def with_keeper(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame
         .filter("_n > 1")
     )
     keepers = groups.select("key", "keeper", F.explode("_salts").alias("_salt"))
-    return copies.join(keepers, ["key", "_salt"]).drop("_salt")
+    # Equal rows have the same salt, so they are counted where the join left them.
+    members = placed.join(keepers, ["key", "_salt"]).groupBy("key", "_salt", "keeper", *order)
+    return members.agg(F.count(F.lit(1)).alias("copies")).drop("_salt")
 
 
 def duplicate_report(fingerprints: DataFrame, by: str = "hash") -> DataFrame:

@@ -52,6 +52,7 @@ def test_whole_job(spark, corpus, tmp_path):
     assert result.summary.first().asDict() == {
         "total": 6, "unique_files": 4, "duplicates": 2, "errors": 1, "scan_errors": 1, "delivery_errors": 0,
     }
+    assert "NestedLoop" not in result.summary._jdf.queryExecution().executedPlan().toString()
     delivered = [item for p in sent.iterdir() for item in json.loads(p.read_bytes())]
     assert len(list(sent.iterdir())) == 2
     by_name = {item["name"]: item for item in delivered}
