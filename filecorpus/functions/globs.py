@@ -160,7 +160,8 @@ class ExcludeRules:
 
     @classmethod
     def of(cls, patterns: list[str] | tuple[str, ...]) -> ExcludeRules:
-        sound = [p for p in patterns if plain_glob_regex(p) is not None]
+        # Nothing has an empty name or path, so an empty pattern excludes nothing.
+        sound = [p for p in patterns if p and plain_glob_regex(p) is not None]
         # A pattern with neither slash nor class can only match a path that is itself a
         # name, so the test of whole paths is left to the others.
         names = [plain_glob_regex(p, may_cross=False) for p in sound]

@@ -52,8 +52,10 @@ def exclude_globs(listing: DataFrame, patterns: Sequence[str]) -> DataFrame:
     root, path = F.col("root"), F.col("path")
     excluded = F.lit(False)
     if rules.names:
-        names = F.concat(F.lit("/"), base_name(root), F.lit("/"), path_under_root(path, root))
-        excluded = excluded | names.rlike(rf"/(?:{rules.names})(?=/|\z)")
+        below = F.concat(F.lit("/"), base_name(root), F.lit("/"), path_under_root(path, root))
+        names = F.when(path != "/", below)
+        matched = names.rlike(rf"/(?:{rules.names})(?=/|\z)")
+        excluded = excluded | F.coalesce(matched, F.lit(False))
     if rules.paths:
         # Few paths pass the first test, a regex over the path as it is; the second sees
         # to it that the directory matched is not one above the root.

@@ -156,6 +156,9 @@ EXCLUDES = [
     ("/path/to/file.txt", ["h[^x]to"], False),
     ("/path/to/file.txt", ["o/f*"], False),
     ("/path/to/file.txt", ["fil"], False),
+    ("/path/to/file.txt", [""], False),
+    ("/path/to/file.txt", ["*"], True),
+    ("/path/to/file.txt", ["path"], True),
 ]
 
 
@@ -166,6 +169,21 @@ def test_excludes(spark):
         assert (exclude_globs(listing, patterns).count() == 0) is excluded, (path, patterns)
 
 
+def test_excludes_below_other_roots(spark):
+    rows = [("/", "/"), ("/", "/a"), ("/", "/a/b"), (".", "x/y"), ("r", "r"), ("r", "r/s")]
+    listing = spark.createDataFrame(rows, "root string, path string")
+    for patterns, kept in (
+        ([""], 6),
+        (["a"], 4),
+        (["/a/*"], 5),
+        (["x/*"], 5),
+        (["r"], 4),
+        (["r/*"], 5),
+        (["*"], 1),
+    ):
+        assert exclude_globs(listing, patterns).count() == kept, patterns
+
+
 def test_walk_excludes_like_the_filter():
     for path, patterns, excluded in EXCLUDES:
         options = WalkOptions(exclude=tuple(patterns))
