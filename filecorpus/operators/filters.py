@@ -59,7 +59,7 @@ def exclude_globs(listing: DataFrame, patterns: Sequence[str]) -> DataFrame:
     if rules.paths:
         # Few paths pass the first test, a regex over the path as it is; the second sees
         # to it that the directory matched is not one above the root.
-        candidate = path.rlike(rf"\A(?:{rules.paths})(?=/|\z)")
+        candidate = path.rlike(rf"\A(?:{rules.paths})(?:(?=/|\z)|(?<=\A/))")
         excluded = excluded | (
             candidate
             & F.exists(paths_from_root(path, root), lambda p: p.rlike(rf"\A(?:{rules.paths})\z"))

@@ -180,6 +180,8 @@ def test_excludes_below_other_roots(spark):
         (["r"], 4),
         (["r/*"], 5),
         (["*"], 1),
+        (["/"], 3),
+        (["[/]"], 3),
     ):
         assert exclude_globs(listing, patterns).count() == kept, patterns
 
