@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from filecorpus.llm import packing, quality_rules, token_files  # noqa: F401
+from filecorpus.llm import (  # noqa: F401
+    language_id,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_files,
+)
 from filecorpus.llm.common import QUERIES, SQL, Query
 
 
