@@ -7,6 +7,7 @@ from filecorpus.llm import (  # noqa: F401
     packing,
     quality_classifier,
     quality_rules,
+    simhash,
     token_files,
 )
 from filecorpus.llm.common import QUERIES, SQL, Query
