@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from filecorpus.llm import (  # noqa: F401
     language_id,
+    near_duplicates,
     packing,
     quality_classifier,
     quality_rules,
