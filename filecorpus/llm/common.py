@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from filecorpus.llm import (  # noqa: F401
+    context_tree,
     language_id,
     near_duplicates,
     packing,
