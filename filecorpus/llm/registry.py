@@ -5,6 +5,8 @@ from __future__ import annotations
 from filecorpus.llm import (  # noqa: F401
     context_tree,
     language_id,
+    licenses,
+    mixing,
     near_duplicates,
     packing,
     quality_classifier,
