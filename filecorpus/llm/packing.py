@@ -53,8 +53,10 @@ def token_pieces(
     A null or empty text has the end id alone. ``ids`` are little-endian 32-bit integers.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(tokenizer, spaces_in_tokens=True))
+
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, spaces_in_tokens=True)
+        encoder = shared.value
         end = np.array([end_id], "<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
