@@ -29,7 +29,7 @@ from filecorpus.staging import new_folder, stage
 
 LENGTH = 1024
 ROWS_PER_BATCH = 512
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 16 << 20
 END_ID = 2
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -153,12 +153,15 @@ def write_token_files(
     n = parts(text_bytes(docs), shard_bytes)
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        Encoder(tokenizer, spaces_in_tokens=spaces_in_tokens)
+    )
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         fs, path = pa.fs.FileSystem.from_uri(folder)
         draft, writer = f"{path}/.{shard}-{uuid.uuid4().hex}", None
-        encoder = Encoder(tokenizer, spaces_in_tokens=spaces_in_tokens)
+        encoder = shared.value
         end = np.array([end_id], encoder.dtype)
         for batch in slices(batches):
             if writer is None:
