@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filecorpus.llm.common import batches_of, parts, query, slices, table
@@ -22,11 +23,11 @@ from filecorpus.llm.tokens import Encoder
 from filecorpus.staging import stage
 
 CAPACITY = 1024
-SHARD_PIECES = 16_384
+SHARD_PIECES = 131_072
 END_ID = 2
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
-_PIECES = "doc_id long, piece int, start long, length long, ids binary"
+_PIECES = "doc_id long, piece int, start long, length long, ids binary, place long"
 _PIECES_ARROW = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -34,6 +35,7 @@ _PIECES_ARROW = pa.schema(
         ("start", pa.int64()),
         ("length", pa.int64()),
         ("ids", pa.binary()),
+        ("place", pa.int64()),
     ]
 )
 
@@ -46,11 +48,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID
+    docs: DataFrame,
+    tokenizer: str,
+    *,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    place: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids`` of every document's pieces.
+    """``doc_id, piece, start, length, ids, place`` of every document's pieces.
 
-    A null or empty text has the end id alone. ``ids`` are little-endian 32-bit integers.
+    A null or empty text has the end id alone. ``ids`` are little-endian 32-bit integers,
+    ``place`` is an integer by which the documents are ordered, if they are.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(Encoder(tokenizer, spaces_in_tokens=True))
@@ -62,15 +70,22 @@ def token_pieces(
         def rows() -> Iterator[tuple]:
             for batch in slices(batches):
                 texts = encoder.ids(batch.column("text").to_pylist())
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                places = batch.column("place").to_pylist()
+                for doc_id, at, ids in zip(
+                    batch.column("doc_id").to_pylist(), places, texts, strict=True
+                ):
                     wide = np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes() + end
                     for piece, (start, length) in enumerate(cut(len(wide) // 4, capacity)):
                         held = wide[4 * start : 4 * (start + length)]
-                        yield doc_id, piece, start, length, held
+                        yield doc_id, piece, start, length, held, at
 
         yield from batches_of(_PIECES_ARROW, rows(), 500)
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = docs.select(
+        F.col("doc_id").cast("long"),
+        F.col("text").cast("string"),
+        (F.lit(None) if place is None else place).cast("long").alias("place"),
+    )
     return chosen.mapInArrow(encode, _PIECES)
 
 
@@ -148,26 +163,34 @@ def pack(
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` from 1 to ``capacity``.
 
     Pieces are staged once with a row number, so repeated rows stay apart. Short pieces are
-    dealt by that number into shards of about ``shard_pieces``, each packed on its own:
-    no shard leaves more than its last few sequences unfilled, and none grows with the data.
-    Only numbers move for that; ``ids`` and other columns are joined back by row number.
+    dealt in the order of ``place`` (then of that number) into shards of about
+    ``shard_pieces``, each packed on its own: no shard leaves more than its last few
+    sequences unfilled, none grows with the data, and sequence ids of short pieces follow
+    the order from shard to shard. Only numbers move for that; ``ids`` and other columns
+    are joined back by row number.
     """
     number, of_number, of_place = "__row", "sequence_id", "offset"
-    kept = [c for c in pieces.columns if c not in (of_number, of_place)]
-    rows = stage(pieces.select(*kept, F.monotonically_increasing_id().alias(number)), "pieces")
-    short = rows.filter(F.col("length") < capacity).select(number, "length")
+    kept = [c for c in pieces.columns if c not in (of_number, of_place, "place")]
+    place = F.col("place") if "place" in pieces.columns else F.lit(None).cast("long")
+    numbered = pieces.select(
+        *kept, place.alias("__place"), F.monotonically_increasing_id().alias(number)
+    )
+    rows = stage(numbered, "pieces")
+    short = rows.filter(F.col("length") < capacity).select("__place", number, "length")
     shards = parts(short.count(), shard_pieces)
 
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sequence, place = pack_lengths(group["length"].to_numpy(), capacity)
-        return pd.DataFrame(
-            {number: group[number], of_number: (key[0] << 32) + sequence, of_place: place}
-        )
-
-    placed = (
-        short.withColumn("__shard", F.pmod(F.xxhash64(number), F.lit(shards)))
-        .groupBy("__shard")
-        .applyInPandas(solve, f"{number} long, {of_number} long, {of_place} long")
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            group = pd.concat(held)
+            sequence, place = pack_lengths(group["length"].to_numpy(), capacity)
+            first = TaskContext.get().partitionId() << 32
+            yield pd.DataFrame(
+                {number: group[number], of_number: first + sequence, of_place: place}
+            )
+
+    placed = short.repartitionByRange(shards, "__place", number).mapInPandas(
+        solve, f"{number} long, {of_number} long, {of_place} long"
     )
     full = rows.filter(F.col("length") >= capacity).select(
         *kept, (-1 - F.col(number)).alias(of_number), F.lit(0).cast("long").alias(of_place)
@@ -180,13 +203,15 @@ def pack(
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, place: Column | None = None
+) -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset`` for ``doc_id, text``.
 
     An empty table gives no row. Rows that share an id are separate documents. Other columns
     are ignored.
     """
-    return pack(token_pieces(docs, tokenizer, capacity=capacity), capacity=capacity)
+    return pack(token_pieces(docs, tokenizer, capacity=capacity, place=place), capacity=capacity)
 
 
 @query()
