@@ -60,11 +60,13 @@ LN10 = float(np.log(10))
 
 def pack(values: np.ndarray) -> bytes:
     """Integers or floats, their bytes by place, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, n: int, dtype: str) -> np.ndarray:
+    if not n:
+        return np.empty(0, dtype)
     size = np.dtype(dtype).itemsize
     raw = pa.decompress(data, n * size, codec="zstd", asbytes=True)
     planes = np.frombuffer(raw, np.uint8).reshape(size, n)
