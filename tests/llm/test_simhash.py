@@ -1,0 +1,106 @@
+import hashlib
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from filecorpus.llm import simhash as S
+from tests.llm.conftest import EDGES
+
+
+def prints(df):
+    return {r["doc_id"]: r["fingerprint"] for r in S.fingerprints(df.select("doc_id", "text"), ["text"], ["fingerprint"]).collect()}
+
+
+def test_votes_against_plain_code(spark, corpus):
+    r = random.Random(1)
+    texts = ["", "one", "a b", "a b a b a b"] + [" ".join(r.choices("abcdefgh", k=n)) for n in (3, 10, 200, 3000)]
+    docs = corpus(list(enumerate(texts)))
+    hashed = docs.select("doc_id", S.term_hashes(F.col("text"), S.HALVES[0]).alias("h"))
+    hashed = hashed.withColumn("g", F.transform("h", lambda h: F.xxhash64(F.lit(S.HALVES[1]), h)))
+    found = prints(docs)
+    for row in hashed.collect():
+        words = texts[row["doc_id"]].split()
+        assert len(row["h"]) == max(1, len(words) - 1)
+        digits = ""
+        for half in (row["h"], row["g"]):
+            bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in half) > len(half))
+            digits += f"{bits:016x}"
+        assert found[row["doc_id"]] == digits
+
+
+def test_equal_texts_and_edges(edges):
+    rows = S.fingerprints(edges.select("doc_id", "text", "score"), ["text"], ["fingerprint"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r["fingerprint"])
+    assert len(rows) == len(EDGES) and by[5][0] == by[5][1] and by[1] == by[2] == by[3]
+    assert all(len(p) == 32 for ps in by.values() for p in ps) and by[6][0] != by[6][1]
+    assert prints(edges.filter("doc_id = 99")) == {}
+
+
+def test_likeness_is_the_cosine(spark):
+    pairs = [("0" * 32, "0" * 32), ("0" * 32, "f" * 32), ("0" * 32, "0" * 31 + "7"), ("8" + "0" * 31, "0" * 16 + "f" * 16)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select(S.differing_bits(F.col("a"), F.col("b")).alias("d"), S.likeness(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["d"] for r in rows] == [0, 128, 3, 65]
+    for r in rows:
+        assert math.isclose(r["s"], max(0.0, math.cos(math.pi * r["d"] / 128)), abs_tol=1e-12)
+
+
+def test_edits_and_next_documents(spark, corpus):
+    r = random.Random(3)
+    texts = {i * 7 % 101: "".join(r.choices("ab é\U0001f600\n", k=r.randint(0, 60))) for i in range(90)}
+    following = S.next_ids(corpus(list(texts.items())), part_rows=13)
+    rows = {x["doc_id"]: x for x in S.with_edits(corpus(list(texts.items())), following).collect()}
+    ids = sorted(texts)
+    for i, doc_id in enumerate(ids):
+        own, after = texts[doc_id], texts[ids[(i + 1) % len(ids)]]
+        k = len(own) // 4
+        assert rows[doc_id]["next_id"] == ids[(i + 1) % len(ids)]
+        assert rows[doc_id]["edited"] == own[: len(own) - k] + after[:k]
+
+
+def test_next_of_nulls_repeated_and_single_ids(corpus, edges):
+    rows = S.with_edits(edges, S.next_ids(edges, part_rows=2)).collect()
+    assert len(rows) == len(EDGES)
+    assert {(r["doc_id"], r["next_id"]) for r in rows} == {
+        (None, 1), *((i, i + 1) for i in range(1, 11)), (11, None)
+    }
+    (one,) = S.with_edits(corpus([(3, "abcdefgh")]), S.next_ids(corpus([(3, "abcdefgh")]))).collect()
+    assert one["next_id"] == 3 and one["edited"] == "abcdefab"
+    empty = edges.filter("doc_id = 99")
+    assert S.with_edits(empty, S.next_ids(empty)).count() == 0
+
+
+def test_block_tables_find_all_within_the_radius(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(20)]
+    every = base + [b ^ sum(1 << k for k in r.sample(range(128), r.randint(1, 6))) for b in base for _ in range(10)]
+    texts = [f"{x:032x}" for x in every]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, texts[0]]], "fingerprint string")
+    queries = df.limit(30)
+    asked = {q["fingerprint"] for q in queries.collect()}
+    for radius in (0, 3, 5):
+        got = {(x["a"], x["b"], x["distance"]) for x in S.within_radius(queries, df, radius).collect()}
+        want = {(a, b, d) for a in asked if a for b in set(texts) if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
+        assert got == want
+
+
+def test_query(spark):
+    rows = S.op3_simhash(spark, "/root/testdata/sf0.01").collect()
+    docs = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()))
+    ids = sorted(docs)
+    assert len(rows) == len(docs)
+    for r in rows:
+        own, after = docs[r["doc_id"]], docs[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        k = len(own) // 4
+        edited = own[: len(own) - k] + after[:k]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    apart = [r for r in rows if r["n_chars"] > 200]
+    assert sum(r["near_edited"] > r["near_next"] for r in apart) > 0.99 * len(apart)
+
+
+def test_no_python_on_the_executors(spark):
+    plan = S.op3_simhash(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
