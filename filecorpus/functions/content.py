@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 # The supported hash algorithms.
 HASH_ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
-# Default minimum length of a printable string, most strings kept per file.
+# Fixed value: default minimum length of a printable string.
 MIN_STRING_LENGTH = 4
-MAX_STRINGS = 10_000
 
 
 def content_hash(content: Column, algorithm: str) -> Column:
@@ -56,10 +55,11 @@ def printable_strings(
     content: Column,
     min_length: int = MIN_STRING_LENGTH,
     block: int = 0,
-    limit: int = MAX_STRINGS,
+    max_strings: int | None = None,
 ) -> Column:
-    """Distinct printable strings in first-seen order, at most ``limit`` of them."""
-    return F.slice(F.array_distinct(printable_runs(content, min_length, block)), 1, limit)
+    """Distinct printable strings in first-seen order, all or the first ``max_strings``."""
+    strings = F.array_distinct(printable_runs(content, min_length, block))
+    return strings if max_strings is None else F.slice(strings, 1, max_strings)
 
 
 def content_prefix(content: Column, max_bytes: int) -> Column:

@@ -131,19 +131,20 @@ def plain_glob_regex_column(pattern: Column) -> Column:
     return F.when(F.array_join(tokens, "") == pattern, F.array_join(regexes, ""))
 
 
-def escape_regex(text: Column) -> Column:
-    """Backslash before each of the regex special characters ``\\ . + * ? ( ) [ ] { } ^ $ |``."""
-    return F.regexp_replace(text, r"([\\.+*?()\[\]{}^$|])", r"\\$1")
-
-
 def extended_glob_regex(pattern: Column) -> Column:
-    """The second reading of an extended glob as an unanchored regex column."""
-    regex = escape_regex(pattern)
-    # The star of "[^/]*" must not be read again, so the longest glob goes first and
-    # every glob is looked for in its escaped form only.
-    for glob, body in ((r"\*\*", r"[^\n]*"), (r"\*", "[^/]*"), (r"\?", "[^/]")):
-        regex = F.replace(regex, F.lit(glob), F.lit(body))
-    return regex
+    """The second reading of an extended glob as an unanchored regex column.
+
+    Its only tokens are ``**``, ``*`` and ``?``; every other character stands for itself.
+    """
+    tokens = F.regexp_extract_all(pattern, F.lit(rf"\*\*|{_ANY}"), 0)
+    regexes = F.transform(
+        tokens,
+        lambda token: F.when(token == "**", F.lit(r"[^\n]*"))
+        .when(token == "*", F.lit("[^/]*"))
+        .when(token == "?", F.lit("[^/]"))
+        .otherwise(_code(token)),
+    )
+    return F.array_join(regexes, "")
 
 
 def is_glob(pattern: Column) -> Column:

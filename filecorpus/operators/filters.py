@@ -73,5 +73,27 @@ def without_errors(fingerprints: DataFrame) -> DataFrame:
 
 
 def scan_errors(listing: DataFrame) -> DataFrame:
-    """The failures of a walk: one row each, none dropped."""
-    return listing.filter(F.col("kind") == "error").select("root", "path", "op", "message")
+    """The failures of a walk: one row each, none dropped; a table that is no walk has none."""
+    known = [
+        F.col(c) if c in listing.columns else F.lit(None).cast("string").alias(c)
+        for c in ("root", "path", "op", "message")
+    ]
+    return listing.filter(F.col("kind") == "error").select(*known)
+
+
+def below_roots(listing: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """The listing of several roots from that of a tree which holds them all, a bag union.
+
+    An entry is there once for each root that is it or lies above it, as if each root had
+    been walked, with ``root`` and ``depth`` accordingly.
+    """
+    path = F.col("path")
+    above = F.filter(
+        F.array(*map(F.lit, dict.fromkeys(roots))),
+        lambda root: (path == root) | F.startswith(path, F.concat(root, F.lit("/"))),
+    )
+    others = [c for c in listing.columns if c not in ("root", "depth")]
+    rows = listing.select(*others, F.explode(above).alias("root"))
+    below = path_under_root(path, F.col("root"))
+    steps = F.when(below == "", 0).otherwise(F.size(F.split(below, "/")))
+    return rows.withColumn("depth", F.greatest(steps - (F.col("kind") != "dir").cast("int"), F.lit(0)))

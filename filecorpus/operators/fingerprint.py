@@ -17,8 +17,11 @@ from filecorpus.functions.paths import base_name, is_executable
 from filecorpus.functions.records import json_record
 from filecorpus.schema import FINGERPRINT
 
-# Fixed value: default size limit, 100 MiB.
-MAX_FILE_SIZE = 100 * 1024 * 1024
+
+def too_large(size: Column, max_size: int) -> Column:
+    """The error of a file above the limit, NULL for any other."""
+    text = F.concat(F.lit("file too large ("), size, F.lit(" bytes)"))
+    return F.when(size > max_size, text)
 
 
 def fingerprint(
@@ -26,21 +29,20 @@ def fingerprint(
     algorithm: str = "sha256",
     extract_strings: bool = False,
     min_length: int = MIN_STRING_LENGTH,
-    skip_large: bool = True,
-    max_size: int = MAX_FILE_SIZE,
+    max_size: int | None = None,
     string_block: int = 0,
+    max_strings: int | None = None,
 ) -> DataFrame:
     """One fingerprint row per input row.
 
     Needs ``path, size, mod_time, mode, content``; an ``error`` column, if there is one,
     carries a failed read. The first failure wins and later values stay NULL; a file
-    that is too large is reported and its content is not looked at.
+    above ``max_size``, if a limit is given, is reported and its content not looked at.
     """
     algorithm = algorithm.lower()
     read_error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-    too_large = F.lit(skip_large) & (F.col("size") > max_size)
     errors = [
-        F.when(too_large, F.concat(F.lit("file too large ("), F.col("size"), F.lit(" bytes)"))),
+        *([] if max_size is None else [too_large(F.col("size"), max_size)]),
         read_error,
         F.when(F.col("content").isNull(), F.lit("open error: no content")),
     ]
@@ -49,7 +51,7 @@ def fingerprint(
     error = F.coalesce(*errors)
     content = F.when(error.isNull(), F.col("content"))
     strings = (
-        printable_strings(content, min_length, string_block)
+        printable_strings(content, min_length, string_block, max_strings)
         if extract_strings
         else F.lit(None).cast("array<string>")
     )
@@ -79,9 +81,14 @@ def with_content_hash(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
     return files.withColumn("hash", content_hash(F.col("content"), algorithm)).drop("content")
 
 
-def string_rows(files: DataFrame, min_length: int = MIN_STRING_LENGTH, block: int = 0) -> DataFrame:
+def string_rows(
+    files: DataFrame,
+    min_length: int = MIN_STRING_LENGTH,
+    block: int = 0,
+    max_strings: int | None = None,
+) -> DataFrame:
     """One row per distinct string of a file: ``path, pos, string``; pos = first-seen order."""
-    strings = printable_strings(F.col("content"), min_length, block)
+    strings = printable_strings(F.col("content"), min_length, block, max_strings)
     return files.select("path", F.posexplode(strings).alias("pos", "string"))
 
 

@@ -14,7 +14,6 @@ from filecorpus.functions.globs import (
     plain_glob_regex_column,
 )
 from filecorpus.functions.paths import file_extension
-from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 
 # The characters that are not plain text in a pattern, in a regex class.
 _SPECIAL = r"*?\[\]{}\\"
@@ -66,28 +65,34 @@ def _anchor(pattern: Column) -> Column:
     )
 
 
-def _keys(path: Column) -> Column:
+def _keys(path: Column, kinds: Column) -> Column:
+    """The keys of a path of those kinds (first characters) that some rule has."""
+
+    def of(kind: str, keys: Column) -> Column:
+        return F.when(F.array_contains(kinds, kind), keys).otherwise(F.array().cast("array<string>"))
+
     directories = F.transform(
         F.sequence(F.lit(1), F.size(F.split(path, "/"))),
         lambda i: F.concat(F.lit("d:"), F.call_function("substring_index", path, F.lit("/"), i)),
     )
-    single = F.array(
-        F.lit("*"),
-        F.concat(F.lit("p:"), path),
-        F.concat(F.lit("n:"), F.substring_index(path, "/", -1)),
-        F.concat(F.lit("e:"), file_extension(path)),
+    return F.concat(
+        of("*", F.array(F.lit("*"))),
+        of("p", F.array(F.concat(F.lit("p:"), path))),
+        of("n", F.array(F.concat(F.lit("n:"), F.substring_index(path, "/", -1)))),
+        of("e", F.array(F.concat(F.lit("e:"), file_extension(path)))),
+        of("d", directories),
     )
-    return F.concat(single, directories)
 
 
-def match_rules(
-    files: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def match_rules(files: DataFrame, rules: DataFrame, broadcast: bool = True) -> DataFrame:
     """One row ``path, rule_id, pattern`` per file and row of ``rules`` that matches it.
 
-    For tables of rules, of any size. Every rule has one join key (see :func:`_anchor`)
-    and every path a handful, so the candidates come from an equi-join and the regex is
-    only tried on them.
+    For tables of rules, of any size. Every rule has one join key (see :func:`_anchor`), and
+    a path has those of the kinds that occur among the rules, which a subquery tells when the
+    query runs. Of the candidates, a literal rule needs no more than its key, and the regex of
+    another is only tried on paths that begin and end as its pattern does. Spark broadcasts
+    the rules if they are small when they have been read; ``broadcast=False`` shuffles them
+    in any case, and hot keys are then split by adaptive execution.
     """
     pattern = F.col("pattern")
     # concat_ws leaves out a reading that does not exist.
@@ -97,10 +102,17 @@ def match_rules(
         F.when(is_glob(pattern), extended_glob_regex(pattern)),
     )
     prepared = rules.select(
-        "rule_id", "pattern", _anchor(pattern).alias("key"), _whole(regex).alias("regex")
+        "rule_id",
+        "pattern",
+        _anchor(pattern).alias("key"),
+        F.regexp_extract(pattern, rf"^[^{_SPECIAL}]*", 0).alias("_head"),
+        F.regexp_extract(pattern, rf"(?s)(?:\\.)?([^{_SPECIAL}]*)\z", 1).alias("_tail"),
+        _whole(regex).alias("_regex"),
     ).filter(plain_glob_regex_column(pattern).isNotNull() | is_glob(pattern))
-    candidates = files.select("path", F.explode(_keys(F.col("path"))).alias("key"))
-    # A prepared rule may be ten times as long as its pattern, hence the sixteenth.
-    small = table_bytes(rules) <= broadcast_bytes // 16
-    matched = lookup_join(candidates, prepared, "key", salt_on=["path"], small=small)
-    return matched.filter("path rlike regex").select("path", "rule_id", "pattern")
+    kinds = prepared.agg(F.collect_set(F.substring("key", 1, 1))).scalar()
+    keyed = files.select("path", kinds.alias("_kinds"))
+    candidates = keyed.select("path", F.explode(_keys(F.col("path"), F.col("_kinds"))).alias("key"))
+    matched = candidates.join(prepared if broadcast else prepared.hint("merge"), "key")
+    literal = F.startswith("key", F.lit("p:"))
+    tried = F.startswith("path", "_head") & F.endswith("path", "_tail") & F.expr("path rlike _regex")
+    return matched.filter(literal | tried).select("path", "rule_id", "pattern")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filecorpus.functions.paths import (
@@ -25,6 +25,8 @@ def path_component_rows(files: DataFrame) -> DataFrame:
 
 def hidden_per_directory(listing: DataFrame) -> DataFrame:
     """``parent, files, hidden_files``: only the base name decides."""
+    if "kind" in listing.columns:
+        listing = listing.filter("kind not in ('error', 'skipped')")
     return listing.groupBy("parent").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(is_hidden("path")).alias("hidden_files")
     )
@@ -83,36 +85,69 @@ def files_under(
     return joined.filter((F.col("_parent") == "") | below).select("dir", "path")
 
 
+# What a failure of the walk leaves unknown.
+NO_SUCH_FILE = "no such file or directory"
+
+
 def paths_exist(wanted: DataFrame, listing: DataFrame) -> DataFrame:
-    """``path, exists`` for each distinct path of ``wanted``.
+    """``path, exists`` for each distinct path of ``wanted``; NULL where that cannot be told.
 
-    Both sides are summed up per path in one shuffle, so repeated paths on either side
-    are combined before they move.
+    That is so for paths at or below one that the walk could not look at. A link exists if
+    its target does. Both sides are summed up per path in one shuffle, so repeated paths on
+    either side are combined before they move.
     """
+    known = listing.filter(F.col("kind") != "error")
+    if "op" in listing.columns:
+        known = known.filter(~F.coalesce(F.col("op") == "dangling", F.lit(False)))
     marked = wanted.select("path", F.lit(True).alias("_wanted"), F.lit(False).alias("_listed")).unionByName(
-        listing.filter(F.col("kind") != "error").select(
-            "path", F.lit(False).alias("_wanted"), F.lit(True).alias("_listed")
-        )
+        known.select("path", F.lit(False).alias("_wanted"), F.lit(True).alias("_listed"))
     )
-    return (
+    found = (
         marked.groupBy("path")
         .agg(F.max("_wanted").alias("_wanted"), F.max("_listed").alias("exists"))
         .filter("_wanted")
         .select("path", "exists")
     )
+    if "op" not in listing.columns:
+        return found
+    # Missing paths below what could not be looked at: met on equal ancestor keys.
+    missing = F.coalesce(F.col("message") == NO_SUCH_FILE, F.lit(False))
+    dark = listing.filter((F.col("kind") == "error") & ~missing).select(F.col("path").alias("key"))
+    above = found.filter("not exists").select("path", F.explode(_at_and_above("path")).alias("key"))
+    unknown = above.join(dark.distinct(), "key", "left_semi").select("path").distinct()
+    marked = unknown.withColumn("_unknown", F.lit(True))
+    return found.join(marked, "path", "left").select(
+        "path", F.when(F.col("_unknown").isNull(), F.col("exists")).alias("exists")
+    )
+
+
+def _at_and_above(path: str) -> Column:
+    """A path and all paths above it, as they are written in it."""
+    steps = F.split(path, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(steps)),
+        lambda n: F.array_join(F.slice(steps, 1, n), "/"),
+    )
 
 
 def empty_directories(listing: DataFrame) -> DataFrame:
     """``path`` of each directory without any entry, hidden ones included.
 
-    Every entry speaks for its parent and every directory for itself; the voices are
-    counted per path in one pass and one shuffle, and a directory with very many entries
-    is combined before it moves.
+    Every entry speaks for its parent and every directory for itself; so do entries that the
+    walk has left out, which its ``skipped`` rows stand for, and a directory that could not
+    be read is not known to be empty. The voices are counted per path in one pass and one
+    shuffle, and a directory with very many entries is combined before it moves.
     """
     is_dir = F.col("kind") == "dir"
-    itself = F.struct(F.when(is_dir, F.col("path")).alias("path"), F.lit(1).alias("_alone"))
+    unread = F.lit(False)
+    if "op" in listing.columns:
+        unread = F.coalesce((F.col("kind") == "error") & (F.col("op") == "read_dir"), F.lit(False))
+    itself = F.struct(
+        F.when(is_dir | unread, F.col("path")).alias("path"),
+        F.when(unread, 0).otherwise(1).alias("_alone"),
+    )
     parent = F.struct(F.col("parent").alias("path"), F.lit(0).alias("_alone"))
-    voices = listing.filter(F.col("kind") != "error").select(F.inline(F.array(itself, parent)))
+    voices = listing.select(F.inline(F.array(itself, parent)))
     return (
         voices.filter(F.col("path").isNotNull())
         .groupBy("path")

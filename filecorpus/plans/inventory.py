@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,88 +13,119 @@ from filecorpus.functions.paths import base_name, is_executable
 from filecorpus.operators.batching import BATCH_SIZE, assemble_batches
 from filecorpus.operators.dedup import dedup_key, dedup_summary, deduplicate
 from filecorpus.operators.filters import regular_files, scan_errors
-from filecorpus.operators.fingerprint import MAX_FILE_SIZE, fingerprint
+from filecorpus.operators.fingerprint import fingerprint
 from filecorpus.schema import FINGERPRINT
 from filecorpus.sinks.delivery import MAX_RETRIES, Send, deliver_batches, delivery_errors
 from filecorpus.sources.content import (
     CELL_BYTES,
-    STRING_CELL_BYTES,
+    digest_files,
     read_content,
-    scan_large_files,
     spread_by_bytes,
+    strings_of_files,
 )
 from filecorpus.sources.listing import WalkOptions, list_tree
-from filecorpus.staging import stage
+from filecorpus.staging import Folders, stage
 
 
 @dataclass(frozen=True)
 class FingerprintOptions:
-    """How files are fingerprinted."""
+    """How files are fingerprinted.
+
+    A file above ``max_size``, if one is given, is not read: its row has an error and counts
+    among the errors. ``max_strings`` keeps the first strings of a file only.
+    """
 
     algorithm: str = "sha256"
     extract_strings: bool = False
     min_length: int = MIN_STRING_LENGTH
-    skip_large: bool = True
-    max_size: int = MAX_FILE_SIZE
+    max_size: int | None = None
     string_block: int = 0
+    max_strings: int | None = None
 
 
 @dataclass(frozen=True)
 class Inventory:
-    """The tables a run leaves behind, and its one-row summary."""
+    """The tables a run leaves behind, and its one-row summary.
+
+    They are read from folders of the run below the staging folder, which ``clean_up``
+    removes when they are no longer needed.
+    """
 
     fingerprints: DataFrame
     unique: DataFrame
+    batches: DataFrame
     scan_errors: DataFrame
     delivery_log: DataFrame | None
     summary: DataFrame
+    folders: Folders = field(repr=False)
+
+    def clean_up(self) -> None:
+        self.folders.remove()
 
 
 def fingerprint_files(files: DataFrame, options: FingerprintOptions = FingerprintOptions()) -> DataFrame:
     """Fingerprint rows of listed files.
 
-    Content of ordinary files goes through Spark's own hash and string expressions. Only
-    files that are too large for a cell, and are wanted all the same, are digested block
-    by block where they are read.
+    Content of ordinary files goes through Spark's own hash and string expressions. Files
+    that are too large for a cell are digested where they are read; their strings come from
+    the same expression over pieces of them.
     """
     algorithm = options.algorithm.lower()
-    arguments = dict(
-        algorithm=algorithm,
-        extract_strings=options.extract_strings,
-        min_length=options.min_length,
-        string_block=options.string_block,
-    )
-    limit = options.max_size if options.skip_large else None
+    limit = options.max_size
     files = files.select("path", "size", "mod_time", "mode")
 
     def through_cells(files: DataFrame) -> DataFrame:
         return fingerprint(
             read_content(spread_by_bytes(files), max_size=limit),
-            skip_large=options.skip_large,
-            max_size=options.max_size,
-            **arguments,
+            algorithm=algorithm,
+            extract_strings=options.extract_strings,
+            min_length=options.min_length,
+            max_size=limit,
+            string_block=options.string_block,
+            max_strings=options.max_strings,
         )
 
-    cell = STRING_CELL_BYTES if options.extract_strings else CELL_BYTES
-    if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= cell):
+    if algorithm not in HASH_ALGORITHMS or (limit is not None and limit <= CELL_BYTES):
         return through_cells(files)
     # A file of unknown size may be large; a large one that is refused is not opened.
-    large = F.coalesce(F.col("size") > cell, F.lit(True))
+    is_large = F.coalesce(F.col("size") > CELL_BYTES, F.lit(True))
     if limit is not None:
-        large = large & F.coalesce(F.col("size") <= limit, F.lit(True))
-    scanned = scan_large_files(spread_by_bytes(files.filter(large)), max_size=limit, **arguments)
+        is_large = is_large & F.coalesce(F.col("size") <= limit, F.lit(True))
+    large = files.filter(is_large)
+    digested = digest_files(spread_by_bytes(large), algorithm, limit)
+    if options.extract_strings:
+        digested = digested.join(_string_arrays(large, options), "path", "left")
+        strings = F.when(F.col("error").isNull(), F.coalesce("strings", F.array().cast("array<string>")))
+        error = F.coalesce("error", "string_error")
+    else:
+        strings, error = F.lit(None), F.col("error")
     derived = {
         "name": base_name("path"),
         "size": F.coalesce("size", F.lit(0)),
         "hash_algorithm": F.lit(algorithm),
         "mime_type": F.lit(None),
+        "strings": strings,
+        "error": error,
         "is_executable": F.coalesce(is_executable("mode"), F.lit(False)),
         "processed_at": F.current_timestamp(),
     }
-    scanned = scanned.select(
+    digested = digested.select(
         [derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in FINGERPRINT]
     )
-    return through_cells(files.filter(~large)).unionByName(scanned)
+    return through_cells(files.filter(~is_large)).unionByName(digested)
+
+
+def _string_arrays(files: DataFrame, options: FingerprintOptions) -> DataFrame:
+    """``path, strings, string_error`` of large files; a record holds all strings of its file."""
+    paths = files.groupBy("path").agg(F.max("size").alias("size"))
+    found = strings_of_files(paths, options.min_length, options.string_block)
+    listed = F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("at", "string"))))
+    strings = F.transform(listed, lambda item: item["string"])
+    if options.max_strings is not None:
+        strings = F.slice(strings, 1, options.max_strings)
+    return found.groupBy("path").agg(
+        strings.alias("strings"), F.max("error").alias("string_error")
+    )
 
 
 def summarize(fingerprints: DataFrame, errors: DataFrame, log: DataFrame | None) -> DataFrame:
@@ -113,28 +144,64 @@ def summarize(fingerprints: DataFrame, errors: DataFrame, log: DataFrame | None)
     )
 
 
+def inventory_of(
+    listing: DataFrame,
+    options: FingerprintOptions = FingerprintOptions(),
+    send: Send | None = None,
+    batch_size: int = BATCH_SIZE,
+    max_retries: int = MAX_RETRIES,
+    max_senders: int | None = None,
+) -> Inventory:
+    """The job from a listing on, which may be any table with the columns of one.
+
+    If it has a ``content`` column, that is fingerprinted, and else the files themselves.
+    The fingerprints are written before anything is derived from them: every file is
+    read once, and a lost executor does not make the job read them again.
+    """
+    with Folders(listing.sparkSession) as folders:
+        files = regular_files(listing)
+        if "content" in listing.columns:
+            rows = fingerprint(
+                files,
+                options.algorithm,
+                options.extract_strings,
+                options.min_length,
+                options.max_size,
+                options.string_block,
+                options.max_strings,
+            )
+        else:
+            rows = fingerprint_files(files, options)
+        fingerprints = stage(rows, "fingerprints")
+        unique = deduplicate(fingerprints)
+        batches = assemble_batches(unique.withColumn("key", dedup_key()), ["key", "path"], batch_size)
+        log = None
+        if send is not None:
+            log = deliver_batches(batches, send, max_retries, max_senders)
+    errors = scan_errors(listing)
+    summary = summarize(fingerprints, errors, log)
+    return Inventory(fingerprints, unique, batches, errors, log, summary, folders)
+
+
 def run_inventory(
     spark: SparkSession,
     roots: Sequence[str],
-    walk: WalkOptions = WalkOptions(max_file_size=MAX_FILE_SIZE),
+    walk: WalkOptions = WalkOptions(),
     options: FingerprintOptions = FingerprintOptions(),
     send: Send | None = None,
     batch_size: int = BATCH_SIZE,
     max_retries: int = MAX_RETRIES,
     max_senders: int | None = None,
+    max_size: int | None = None,
 ) -> Inventory:
     """Run the job over file trees; ``send`` delivers the unique records in batches.
 
-    The fingerprints are written before anything is derived from them: every file is
-    read once, and a lost executor does not make the job read them again.
+    There is no limit to the size of files unless ``max_size`` (or the one in ``options``)
+    gives one: files above it are rows with an error, and counted.
     """
-    listing = list_tree(spark, roots, walk)
-    errors = scan_errors(listing)
-    fingerprints = stage(fingerprint_files(regular_files(listing), options), "fingerprints")
-    unique = deduplicate(fingerprints)
-    log = None
-    if send is not None:
-        keyed = unique.withColumn("key", dedup_key())
-        batches = assemble_batches(keyed, ["key", "path"], batch_size)
-        log = deliver_batches(batches, send, max_retries, max_senders)
-    return Inventory(fingerprints, unique, errors, log, summarize(fingerprints, errors, log))
+    if max_size is not None:
+        options = replace(options, max_size=max_size)
+    with Folders(spark) as folders:
+        listing = list_tree(spark, roots, walk)
+    result = inventory_of(listing, options, send, batch_size, max_retries, max_senders)
+    return replace(result, folders=folders.joined(result.folders))

@@ -6,7 +6,6 @@ DuckDB's and reads views of the same names.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from filecorpus.functions import paths as P
 from filecorpus.functions.content import content_hash, content_prefix, printable_strings
 from filecorpus.operators import compare, dedup, filters, rules, tree
-from filecorpus.operators.batching import BATCH_SIZE, assemble_batches
+from filecorpus.operators.batching import assemble_batches
 from filecorpus.operators.fingerprint import (
     file_lines,
     fingerprint,
@@ -25,19 +24,16 @@ from filecorpus.operators.fingerprint import (
     string_rows,
     with_content_hash,
 )
-from filecorpus.plans.inventory import FingerprintOptions, fingerprint_files, run_inventory
+from filecorpus.plans.inventory import inventory_of
 from filecorpus.schema import FINGERPRINT
-from filecorpus.sinks.delivery import deliver_batches, delivery_errors
 from filecorpus.sinks.tables import write_results
-from filecorpus.sources.binary import binary_files
 from filecorpus.sources.corpora import (
     conversation_files,
     document_files,
     document_tree,
     page_files,
 )
-from filecorpus.sources.listing import WalkOptions, list_tree, read_listing
-from filecorpus.staging import new_folder, stage
+from filecorpus.staging import new_folder
 from filecorpus.streaming.dedup import write_unique
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,25 +208,35 @@ def prefix_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- fingerprints
 
 SIZE_CAP = 4000
-FINGERPRINTS = f"""{FILES},
+CAPPED = f"""{FILES},
 prints AS (
   SELECT *, CASE WHEN size <= {SIZE_CAP} THEN sha256(text) END AS hash,
     CASE WHEN size > {SIZE_CAP} THEN 'file too large (' || size || ' bytes)' END AS error
   FROM files)
 """
+# All documents, some of which cannot be read.
+FINGERPRINTS = f"""{FILES},
+prints AS (
+  SELECT *, CASE WHEN doc_id % 17 <> 3 THEN sha256(text) END AS hash,
+    CASE WHEN doc_id % 17 = 3 THEN 'open error: no content' END AS error
+  FROM files)
+"""
 
 
-def capped(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return fingerprint(documents(spark, folder), max_size=SIZE_CAP, **options)
+def with_unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files, of which one in seventeen has no content."""
+    readable = F.when(F.col("doc_id") % 17 != 3, F.col("content"))
+    return documents(spark, folder).withColumn("content", readable)
 
 
 @query(
-    f"""WITH {FINGERPRINTS} SELECT path, name, size, hash, 'sha256' AS hash_algorithm,
+    f"""WITH {CAPPED} SELECT path, name, size, hash, 'sha256' AS hash_algorithm,
       CASE WHEN error IS NULL THEN CAST(len(list_distinct({RUNS.format("text")})) AS INTEGER) END
         AS n_strings, error, mode = 493 AS is_executable FROM prints"""
 )
 def fingerprint_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = capped(spark, folder, extract_strings=True)
+    """Fingerprints under a size limit, which is the feature shown here."""
+    rows = fingerprint(documents(spark, folder), extract_strings=True, max_size=SIZE_CAP)
     return rows.withColumn("n_strings", F.array_size("strings")).select(
         "path", "name", "size", "hash", "hash_algorithm", "n_strings", "error", "is_executable"
     )
@@ -247,20 +253,40 @@ def unsupported_algorithm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PROCESSED = "2024-06-01T12:00:00Z"
+
+
 @query(
-    f"""WITH {FINGERPRINTS} SELECT path,
+    f"""WITH {FINGERPRINTS}, strings AS (
+      SELECT *, list_distinct({RUNS.format("text")}) AS s FROM prints)
+    SELECT path,
       '{{"path":"' || path || '","name":"' || name || '","size":' || size || ',"modTime":"'
       || strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%SZ')
       || '","hash":"' || coalesce(hash, '') || '","hashAlgorithm":"sha256"'
       || CASE WHEN error IS NULL THEN '' ELSE ',"error":"' || error || '"' END
       || CASE WHEN mode = 493 THEN ',"isExecutable":true' ELSE '' END
-      || '}}' AS record FROM prints""",
+      || ',"processedAt":"{PROCESSED}"}}' AS record,
+      CASE WHEN error IS NULL THEN CAST(len(s) AS INTEGER) ELSE 0 END AS n_strings,
+      CASE WHEN error IS NULL THEN md5(array_to_string(list_sort(s), chr(10))) ELSE md5('') END AS strings_md5
+    FROM strings""",
     name="json_records",
 )
 def records_of_documents(spark: SparkSession, folder: str) -> DataFrame:
-    # The time of processing differs from run to run, so it is left out here.
-    rows = capped(spark, folder).withColumn("processed_at", F.lit(None).cast("timestamp"))
-    return json_records(rows, "path")
+    """Records of all documents; their strings, whose order SQL does not keep, are digested."""
+    rows = fingerprint(with_unreadable(spark, folder), extract_strings=True)
+    # The time of processing differs from run to run, so it is a fixed one here.
+    rows = rows.withColumn("processed_at", F.lit(PROCESSED).cast("timestamp"))
+    full = json_records(rows, *rows.columns).withColumnRenamed("record", "full")
+    found = json_records(full.withColumn("strings", F.lit(None).cast("array<string>")), "path", "full")
+    strings = F.coalesce(
+        F.from_json("full", "strings array<string>")["strings"], F.array().cast("array<string>")
+    )
+    return found.select(
+        "path",
+        "record",
+        F.size(strings).alias("n_strings"),
+        F.md5(F.array_join(F.sort_array(strings), "\n")).alias("strings_md5"),
+    )
 
 
 @query(
@@ -330,9 +356,7 @@ def union_roots(spark: SparkSession, folder: str) -> DataFrame:
 
 def overlapping(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus listed from two roots, one inside the other: a bag union."""
-    whole = documents(spark, folder)
-    inner = whole.filter(F.col("parent").rlike("^/corpus/src1(/|$)"))
-    return whole.unionByName(inner.withColumn("root", F.lit("/corpus/src1")))
+    return filters.below_roots(documents(spark, folder), ["/corpus", "/corpus/src1"])
 
 
 # ---------------------------------------------------------------- rules
@@ -394,7 +418,7 @@ def match_rules_table(spark: SparkSession, folder: str) -> DataFrame:
 @query(DERIVED_MATCHES)
 def match_rules_shuffled(spark: SparkSession, folder: str) -> DataFrame:
     """The same as if the rules were too many to broadcast."""
-    matched = rules.match_rules(documents(spark, folder), derived_rules(spark, folder), 0)
+    matched = rules.match_rules(documents(spark, folder), derived_rules(spark, folder), broadcast=False)
     return matched.select("path", "pattern")
 
 
@@ -467,7 +491,7 @@ def duplicate_report(spark: SparkSession, folder: str) -> DataFrame:
       count(*) - count(DISTINCT hash) AS duplicates, count(error) AS errors FROM prints"""
 )
 def dedup_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.dedup_summary(capped(spark, folder))
+    return dedup.dedup_summary(fingerprint(with_unreadable(spark, folder)))
 
 
 @query(
@@ -485,11 +509,11 @@ def dedup_against_seen(spark: SparkSession, folder: str) -> DataFrame:
 # Which copy comes first in a stream depends on its files, so only the key is compared.
 @query("SELECT DISTINCT sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def incremental_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    stream = (
-        spark.readStream.schema(table(spark, folder, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
+    """Documents arrive in several batches; a key of one suppresses those of later ones."""
+    arrivals = new_folder(spark, "arrivals")
+    docs = table(spark, folder, "documents")
+    docs.repartition(3, "doc_id").write.parquet(arrivals)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     output, checkpoint = new_folder(spark, "unique"), new_folder(spark, "dedup-state")
     write_unique(fingerprint(document_files(stream)), output, checkpoint).awaitTermination()
     return spark.read.schema(FINGERPRINT).parquet(output).select("hash", "size")
@@ -700,7 +724,7 @@ def snapshot_diff(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- batches and delivery (K1, K2, A3)
+# ---------------------------------------------------------------- batches and tables (K1, K4)
 
 BATCHES = f"""{FILES}, kept AS (
   SELECT path, size, sha256(text) AS hash FROM files
@@ -731,98 +755,63 @@ def batch_payload(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("batch_id", "pos", "item.path", "item.size", "item.hash")
 
 
-class RehearsedApi:
-    """Stands in for an API: refuses short batches, and is busy once for some others."""
-
-    def __init__(self) -> None:
-        self.busy: set[bytes] = set()
-
-    def __call__(self, payload: bytes) -> tuple[int, bytes]:
-        items = json.loads(payload)
-        if len(items) < BATCH_SIZE:
-            return 400, b"short batch"
-        if items[0]["hash"] < "8" and payload not in self.busy:
-            self.busy.add(payload)
-            return 503, b"busy"
-        return 200, b""
-
-
-LOG = f"""{BATCHES}, log AS (
-  SELECT batch_id, n_items, CAST(CASE WHEN n_items = 100 AND low < '8' THEN 2 ELSE 1 END AS INTEGER)
-      AS attempts,
-    CAST(CASE WHEN n_items < 100 THEN 400 ELSE 200 END AS INTEGER) AS status,
-    CASE WHEN n_items < 100 THEN 'API error (attempt 1/4): status=400, body=short batch' END AS error
-  FROM (SELECT batch_id, count(*) AS n_items, min(hash) AS low FROM batched GROUP BY 1))
-"""
-
-
-def rehearse(spark: SparkSession, folder: str) -> DataFrame:
-    return deliver_batches(batches(spark, folder), RehearsedApi(), sleep=lambda seconds: None)
-
-
-@query(f"WITH {LOG} SELECT * FROM log")
-def delivery_log(spark: SparkSession, folder: str) -> DataFrame:
-    return rehearse(spark, folder)
-
-
-@query(f"WITH {LOG} SELECT count(error) AS delivery_errors FROM log", name="delivery_errors")
-def failed_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    return delivery_errors(rehearse(spark, folder))
-
-
 @query(f"WITH {FINGERPRINTS} SELECT path, size, hash, error FROM prints")
 def results_table(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints written as a table and read back (K4)."""
     output = new_folder(spark, "results")
-    write_results(capped(spark, folder), output)
+    write_results(fingerprint(with_unreadable(spark, folder)), output)
     return spark.read.parquet(output).select("path", "size", "hash", "error")
 
 
-# ---------------------------------------------------------------- real files (S1, S3, A2) and the whole job (Q1)
-
-
-@query()
-def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the given tables, walked by the data source, read and fingerprinted."""
-    listing = stage(read_listing(spark, [folder], WalkOptions(exclude=("_*",))), "listing")
-    return fingerprint_files(filters.regular_files(listing)).select("name", "size", "hash", "error")
-
-
-@query()
-def scan_binary(spark: SparkSession, folder: str) -> DataFrame:
-    """The same files through Spark's own file source."""
-    return fingerprint(binary_files(spark, folder)).select("name", "size", "hash", "error")
-
-
-@query()
-def scan_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """The same files and a missing root, listed level by level."""
-    listing = list_tree(spark, [folder, f"{folder}/missing"])
-    return listing.groupBy("kind").agg(F.count(F.lit(1)).alias("entries"))
-
-
-@query()
-def scan_and_deliver(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole job over the files of the given tables, with a rehearsed API."""
-    options = FingerprintOptions("sha1", extract_strings=True)
-    return run_inventory(spark, [folder], options=options, send=RehearsedApi(), batch_size=5).summary
+# ---------------------------------------------------------------- the whole job (Q1)
 
 
 @query(
-    f"""WITH {FILES}, chosen AS (
-      SELECT path, CASE WHEN size <= {SIZE_CAP} THEN sha256(text) END AS hash FROM files
+    f"""WITH {FINGERPRINTS}, chosen AS (
+      SELECT path, hash FROM prints
       WHERE kind = 'file' AND name NOT LIKE '.%' AND name NOT LIKE '%.log' AND depth <= 2)
     SELECT count(*) AS total, count(DISTINCT hash) AS unique_files,
       count(*) - count(DISTINCT hash) AS duplicates, count(*) - count(hash) AS errors,
-      CAST(ceil(count(DISTINCT hash) / 100.0) AS BIGINT) AS n_batches FROM chosen"""
+      CAST(0 AS BIGINT) AS scan_errors, CAST(0 AS BIGINT) AS delivery_errors,
+      CAST(ceil(count(DISTINCT hash) / 100.0) AS BIGINT) AS n_batches,
+      CAST(count(DISTINCT hash) AS BIGINT) AS n_items FROM chosen"""
 )
 def scan_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job over documents: filter, fingerprint, remove duplicates, batch, sum up."""
-    listing = filters.regular_files(filters.within_depth(documents(spark, folder), 2))
+    listing = filters.within_depth(with_unreadable(spark, folder), 2)
     listing = filters.exclude_globs(filters.skip_hidden(listing), ["*.log"])
-    summary = dedup.dedup_summary(fingerprint(listing, max_size=SIZE_CAP))
-    batches = F.expr(f"(unique_files + {BATCH_SIZE - 1}) div {BATCH_SIZE}")
-    return summary.withColumn("n_batches", batches)
+    found = inventory_of(listing)
+    batched = found.batches.agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.coalesce(F.sum(F.size(F.from_json("payload", "array<struct<path:string>>"))), F.lit(0))
+        .cast("bigint")
+        .alias("n_items"),
+    )
+    return _beside(found.summary, batched)
+
+
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The columns of two one-row tables in one row."""
+    both = one.unionByName(other, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in both.columns])
+
+
+@query(
+    """SELECT min(doc_id) AS kept_id, CAST(count(*) AS BIGINT) AS copies, CAST(strlen(text) AS BIGINT) AS size
+    FROM documents GROUP BY text"""
+)
+def kept_by_sha512(spark: SparkSession, folder: str) -> DataFrame:
+    """The document that stays of each group of equal SHA-512, which SQL checks by text."""
+    rows = with_content_hash(documents(spark, folder), "sha512")
+    return (
+        rows.groupBy("hash")
+        .agg(
+            F.min("doc_id").alias("kept_id"),
+            F.count(F.lit(1)).alias("copies"),
+            F.max("size").alias("size"),
+        )
+        .drop("hash")
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# One row per entry met by a walk. `kind` is file, dir, symlink, other or error; the last
+# One row per entry met by a walk. `kind` is file, dir, symlink, other, skipped (entries
+# that options left out, by number) or error; the last
 # two columns are set on error rows only. `depth` is a directory's own depth (root 0) and,
 # for everything else, the depth of the directory that holds it.
 LISTING = T.StructType(

@@ -1,4 +1,9 @@
-"""File content: read into a column, or fingerprinted as a stream where it is too large."""
+"""File content: whole in a column, in pieces that cut no line or string, or digested.
+
+Content of any size can be had: a file that is too large for a cell is read in ranges, each
+a row of its own and each by whichever task gets it, and only its digest, which has to see
+all bytes in order, is taken where the file is read.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +14,26 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filecorpus.functions.content import HASH_ALGORITHMS, MAX_STRINGS, MIN_STRING_LENGTH
+from filecorpus.functions.content import (
+    HASH_ALGORITHMS,
+    MIN_STRING_LENGTH,
+    content_lines,
+    printable_runs,
+)
 
 # Content handed to Spark in one Arrow batch, and bytes of files read by one task.
 BATCH_BYTES = 32 << 20
 TASK_BYTES = 256 << 20
-# Files above this never become one cell of a table: a task may hold a few copies of a
-# cell at a time, as bytes, as text and as strings.
+# Largest file that becomes one cell of a table: a task may hold a few copies of a cell at
+# a time, as bytes, as text and as strings. Larger files are read in ranges of RANGE_BYTES.
 CELL_BYTES = 64 << 20
-# The same where strings are extracted: in the worst case every few bytes are a string,
-# and all of them are there before the first 10,000 are kept.
-STRING_CELL_BYTES = 16 << 20
+RANGE_BYTES = 16 << 20
+# Spark's limit for a value.
+_MOST_BYTES = (1 << 31) - (1 << 20)
 _BLOCK = 1 << 20
 
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
@@ -36,15 +46,33 @@ _STAT_FIELDS = [
 
 
 def spread_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Spread files over as many tasks as their bytes call for.
+    """Spread files over tasks of about as many bytes each.
 
-    The listing is thin, so this moves paths, not content; few large files get as many
-    tasks as many small ones.
+    The listing is thin, so this moves paths, not content. Files come in the order of their
+    sizes in ranges of equal weight, so large files do not meet in a task by chance: a file's
+    weight is its bytes, or a small constant, as opening one has a price too.
     """
-    total, count = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    weight = F.greatest(F.coalesce("size", F.lit(0)), F.lit(task_bytes // 4096))
+    total, count = files.agg(F.sum(weight), F.count(F.lit(1))).first()
+    if not count:
+        return files
     parallelism = files.sparkSession.sparkContext.defaultParallelism
-    tasks = max(total // task_bytes + 1, min(count, parallelism), 1)
-    return files.repartition(tasks, "path")
+    tasks = max(total // task_bytes + 1, min(count, parallelism))
+    each = max(total // tasks, 1)
+    # Files of one power of two share tasks by hash, as many tasks as the class weighs.
+    kind = F.floor(F.log2(weight)).cast("int")
+    classes = files.groupBy(kind.alias("kind")).agg(F.sum(weight).alias("weight")).collect()
+    shares = {k: max(-(-w // each), 1) for k, w in classes}
+    first, at = {}, 0
+    for k in sorted(shares):
+        first[k], at = at, at + shares[k]
+    table = F.create_map(
+        *(F.lit(x) for k in shares for x in (k, f"{first[k]},{shares[k]}"))
+    )
+    place = F.split(table[kind], ",")
+    share = F.pmod(F.xxhash64("path"), place[1].cast("long"))
+    dealt = files.withColumn("_task", (place[0].cast("long") + share).cast("int"))
+    return dealt.repartitionByRange(at, "_task").drop("_task")
 
 
 def _failure(step: str, call: str, path: str, cause: OSError) -> str:
@@ -86,7 +114,9 @@ def read_content(files: DataFrame, max_size: int | None = None, max_bytes: int =
 
     A file that cannot be read gives a row with an error. Files above ``max_size`` keep
     NULL content and are not opened; with ``max_bytes > 0`` only that many bytes of each
-    file leave the disk.
+    file leave the disk. What is larger than ``CELL_BYTES`` is an error here; lines, strings
+    and digests of such files come from :func:`lines_of_files`, :func:`strings_of_files`
+    and :func:`digest_files`.
     """
 
     def read(path: str, size: int) -> tuple[bytes | None, str | None]:
@@ -129,86 +159,174 @@ def read_content(files: DataFrame, max_size: int | None = None, max_bytes: int =
     return files.mapInArrow(read_all, schema)
 
 
-def _scan(
-    path: str, algorithm: str, min_length: int, block: int
-) -> tuple[str, list[str] | None, str | None]:
-    """Digest, strings (with ``min_length > 0``) and error of a file, read in blocks."""
-    digest = hashlib.new(algorithm)
-    found: dict[str, None] = {}
-    printable = re.compile(rb"[\x20-\x7E]+")
-    run = bytearray()
-
-    def end_run() -> None:
-        if len(run) >= min_length and len(found) < MAX_STRINGS:
-            found.setdefault(run.decode("ascii"))
-        run.clear()
-
-    wanted = min_length > 0
-    with open(path, "rb") as file:
-        while data := file.read(block or _BLOCK):
-            digest.update(data)
-            if not wanted or len(found) >= MAX_STRINGS:
-                continue
-            matches = list(printable.finditer(data))
-            if not matches:
-                end_run()
-            for match in matches:
-                if match.start() > 0:
-                    end_run()
-                run += match.group()
-                if match.end() < len(data) or block:
-                    end_run()
-            wanted = len(run) <= CELL_BYTES
-    if min_length <= 0:
-        return digest.hexdigest(), None, None
-    if not wanted:
-        error = f"string extraction error: {path}: run of more than {CELL_BYTES} bytes"
-        return digest.hexdigest(), None, error
-    end_run()
-    return digest.hexdigest(), list(found), None
-
-
-def scan_large_files(
-    files: DataFrame,
-    algorithm: str,
-    extract_strings: bool = False,
-    min_length: int = MIN_STRING_LENGTH,
-    string_block: int = 0,
-    max_size: int | None = None,
-) -> DataFrame:
-    """Adds ``hash``, ``strings`` and ``error`` for files of any size, with a fresh stat.
+def digest_files(files: DataFrame, algorithm: str, max_size: int | None = None) -> DataFrame:
+    """Adds ``hash`` and ``error`` for files of any size, with a fresh stat.
 
     Files that turn out to be above ``max_size`` are refused.
     """
     if algorithm not in HASH_ALGORITHMS:
         raise ValueError(f"unsupported hash algorithm: {algorithm}")
-    wanted_length = max(min_length, 1) if extract_strings else 0
 
-    def scan_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest_one(path: str) -> tuple[tuple, str | None, str | None]:
+        stat_values, error = _stat(path)
+        if error is None and max_size is not None and stat_values[0] > max_size:
+            error = f"file too large ({stat_values[0]} bytes)"
+        if error is None:
+            try:
+                with open(path, "rb") as file:
+                    return stat_values, hashlib.file_digest(file, algorithm).hexdigest(), None
+            except OSError as cause:
+                error = _failure("open", "open", path, cause)
+        return stat_values, None, error
+
+    def digest_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, path in enumerate(batch.column("path").to_pylist()):
-                stat_values, error = _stat(path)
-                digest = strings = None
-                if error is None and max_size is not None and stat_values[0] > max_size:
-                    error = f"file too large ({stat_values[0]} bytes)"
-                if error is None:
-                    try:
-                        digest, strings, error = _scan(
-                            path, algorithm, wanted_length, string_block
-                        )
-                    except OSError as cause:
-                        error = _failure("open", "open", path, cause)
-                columns = _stat_columns([stat_values]) | {
-                    "hash": pa.array([digest], pa.string()),
-                    "strings": pa.array([strings], pa.list_(pa.string())),
-                    "error": pa.array([error], pa.string()),
+            found = [digest_one(path) for path in batch.column("path").to_pylist()]
+            if found:
+                stats, digests, errors = zip(*found)
+                columns = _stat_columns(list(stats)) | {
+                    "hash": pa.array(digests, pa.string()),
+                    "error": pa.array(errors, pa.string()),
                 }
-                yield _replace_columns(batch.slice(at, 1), columns)
+                yield _replace_columns(batch, columns)
 
     schema = _output_schema(
-        files,
-        T.StructField("hash", T.StringType()),
-        T.StructField("strings", T.ArrayType(T.StringType())),
-        T.StructField("error", T.StringType()),
+        files, T.StructField("hash", T.StringType()), T.StructField("error", T.StringType())
+    )
+    return files.mapInArrow(digest_all, schema)
+
+
+def _find(file, separator: re.Pattern, at: int) -> int | None:
+    """Place after the first separator (one byte) at or after ``at``; None if there is none."""
+    file.seek(at)
+    while block := file.read(_BLOCK):
+        if found := separator.search(block):
+            return at + found.end()
+        at += len(block)
+    return None
+
+
+def _piece(path: str, start: int, end: int | None, separator: re.Pattern | None) -> tuple:
+    """(content, last, error) of a range: from the separator before it to the one at its end."""
+    with open(path, "rb") as file:
+        size = os.fstat(file.fileno()).st_size
+        if separator is None:
+            begin, stop = start, size if end is None else end
+        else:
+            begin = _find(file, separator, start - 1) if start else 0
+            stop = None if end is None or end >= size else _find(file, separator, end - 1)
+            stop = size if stop is None else stop
+            # No separator in the range: it is inside what an earlier range ends with.
+            if begin is None or (end is not None and begin >= end):
+                return b"", False, None
+        if stop - begin > _MOST_BYTES:
+            error = f"read error: {path}: {stop - begin} bytes without a break from byte {begin}"
+            return None, False, error
+        file.seek(begin)
+        return file.read(stop - begin), stop >= size, None
+
+
+_PIECES = pa.schema(
+    [
+        ("path", pa.string()),
+        ("start", pa.int64()),
+        ("content", pa.binary()),
+        ("last", pa.bool_()),
+        ("error", pa.string()),
+    ]
+)
+
+
+def read_pieces(
+    files: DataFrame, separator: bytes | None, range_bytes: int | None = None
+) -> DataFrame:
+    """``path, start, content, last, error``: files of any size in pieces of about a range.
+
+    ``separator`` is a regex for one byte: pieces end after such a byte, so what stands
+    between two of them is never cut. Without one, ranges are exact. Every range is read by
+    itself; ``last`` is set on the piece that ends the file.
+    """
+    each = range_bytes or RANGE_BYTES
+    last = F.greatest(F.floor((F.col("size") - 1) / each), F.lit(0))
+    numbers = F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)))
+    ranges = files.select("path", "size", F.explode(numbers).alias("_n")).select(
+        "path",
+        (F.col("_n") * each).alias("start"),
+        # A file of unknown size is one range; the last one goes to the end, wherever it is.
+        F.when(F.col("_n") < last, (F.col("_n") + 1) * each).alias("end"),
+    )
+    pattern = None if separator is None else re.compile(separator)
+
+    def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    found = _piece(path, start, end, pattern)
+                except OSError as cause:
+                    found = None, False, _failure("open", "open", path, cause)
+                yield pa.RecordBatch.from_pylist(
+                    [dict(zip(_PIECES.names, (path, start, *found)))], _PIECES
+                )
+
+    tasks = ranges.select("path", "start", "end").repartition("path", "start")
+    return tasks.mapInArrow(
+        read_all, "path string, start long, content binary, last boolean, error string"
+    )
+
+
+def lines_of_files(files: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """``path, line_no, line, error`` for files of any size, as ``file_lines`` has them.
+
+    A file that cannot be read gives one row with an error. Lines are numbered from the
+    line ends before each piece; those are counted in a pass of its own, so that only
+    numbers move.
+    """
+    pieces = read_pieces(files, rb"\n", range_bytes)
+    ends = F.when(F.octet_length("content") == 0, 0).otherwise(
+        F.size(F.split(F.col("content").cast("string"), "\n", -1)) - 1
+    )
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = pieces.filter("error is null").groupBy("path", "start").agg(F.max(ends).alias("n"))
+    bases = counts.select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    lines = content_lines(F.col("content"))
+    # What follows the last line end of a piece is the next piece's first line.
+    whole = F.when(F.col("last"), lines).otherwise(
+        F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
+    )
+    kept = pieces.filter("error is null").select("path", "start", F.posexplode(whole).alias("pos", "line"))
+    numbered = kept.join(bases, ["path", "start"]).select(
+        "path", (F.col("base") + F.col("pos")).alias("line_no"), "line", F.lit(None).cast("string").alias("error")
+    )
+    return numbered.unionByName(read_errors(pieces), allowMissingColumns=True)
+
+
+def read_errors(pieces: DataFrame) -> DataFrame:
+    """``path, error`` once for each file that could not be read."""
+    return pieces.filter("error is not null").groupBy("path").agg(F.min("error").alias("error"))
+
+
+def strings_of_files(
+    files: DataFrame,
+    min_length: int = MIN_STRING_LENGTH,
+    block: int = 0,
+    range_bytes: int | None = None,
+) -> DataFrame:
+    """``path, at, string, error``: each distinct string of files of any size, once a file.
+
+    ``at`` orders a file's strings as they first come up. The expression is that of files in
+    a cell: pieces end outside of printable runs, or, with ``block``, at multiples of it. A
+    file that cannot be read gives one row with an error.
+    """
+    each = range_bytes or RANGE_BYTES
+    if block > 0:
+        pieces = read_pieces(files, None, max(each // block, 1) * block)
+    else:
+        pieces = read_pieces(files, rb"[^\x20-\x7E]", each)
+    runs = F.posexplode(printable_runs(F.col("content"), min_length, block))
+    found = (
+        pieces.filter("error is null")
+        .select("path", "start", runs.alias("pos", "string"))
+        .groupBy("path", "string")
+        .agg(F.min(F.struct("start", "pos")).alias("at"))
     )
-    return files.mapInArrow(scan_all, schema)
+    return found.unionByName(read_errors(pieces), allowMissingColumns=True)

@@ -20,6 +20,7 @@ import stat
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import cached_property
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,7 @@ ARROW_LISTING = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 10_000
+NAMES_PER_TASK = 200_000
 # Most directories that the driver opens to find subtrees to hand out.
 MAX_SUBTREES = 4096
 
@@ -158,21 +160,32 @@ def _too_large(info: os.stat_result, options: WalkOptions) -> bool:
 
 
 def list_names(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
-    """A row without a kind for each entry of one directory; a failure is an error row."""
+    """A row without a kind for each entry of one directory; a failure is an error row.
+
+    Entries that the options leave out are one row together, of kind ``skipped``, whose size
+    is their number.
+    """
     try:
         entries = os.scandir(directory)
     except OSError as cause:
         yield _error(root, directory, depth, "read_dir", cause)
         return
+    skipped = 0
     with entries:
         for entry in entries:
-            if options.hides(entry.name):
-                continue
             path = os.path.normpath(os.path.join(directory, entry.name))
-            if not _is_text(path):
+            if options.hides(entry.name) or (_is_text(path) and options.excludes(path)):
+                skipped += 1
+            elif not _is_text(path):
                 yield _error(root, path, depth, "name", "path is not valid UTF-8")
-            elif not options.excludes(path):
+            else:
                 yield (root, path, directory, entry.name, depth, *[None] * 6)
+    if skipped:
+        yield _skipped(root, directory, depth, skipped)
+
+
+def _skipped(root: str, directory: str, depth: int, number: int) -> tuple:
+    return (root, None, directory, None, depth, "skipped", number, *[None] * 4)
 
 
 def look_up(rows: Iterable[tuple], options: WalkOptions) -> Iterator[tuple]:
@@ -188,8 +201,13 @@ def look_up(rows: Iterable[tuple], options: WalkOptions) -> Iterator[tuple]:
             yield _error(root, path, depth, "entry_info", cause)
             continue
         own_depth = depth + stat.S_ISDIR(info.st_mode)
-        if not options.too_deep(own_depth) and not _too_large(info, options):
-            yield _entry(root, directory, path, own_depth, info)
+        if options.too_deep(own_depth) or _too_large(info, options):
+            yield _skipped(root, directory, depth, 1)
+            continue
+        entry = _entry(root, directory, path, own_depth, info)
+        if stat.S_ISLNK(info.st_mode) and not os.path.exists(path):
+            entry = (*entry[:-2], "dangling", None)
+        yield entry
 
 
 def list_directory(root: str, directory: str, depth: int, options: WalkOptions) -> Iterator[tuple]:
@@ -259,12 +277,10 @@ class Rows(InputPartition):
 
 
 @dataclass
-class Directory(InputPartition):
-    """One directory to list; with ``deep`` also everything below it."""
+class Directories(InputPartition):
+    """Directories to list; with ``deep`` also everything below them."""
 
-    root: str
-    path: str
-    depth: int
+    directories: list[tuple[str, str, int]]
     deep: bool
 
 
@@ -321,7 +337,8 @@ class FileListingReader(DataSourceReader):
         """Open directories from the top until there are enough subtrees to hand out.
 
         Of an opened directory only the subdirectories are looked at here; its entries
-        are listed by a task of their own.
+        are listed by a task. Directories are dealt round in turn, so there are never many
+        more partitions than wanted, however many directories have been found.
         """
         found = [row for root in self.roots if (row := open_root(root, self.options))]
         frontier = list(_subdirectories(found))
@@ -336,21 +353,25 @@ class FileListingReader(DataSourceReader):
                     break
         return [
             Rows(found),
-            *(Directory(*d, deep=False) for d in opened),
-            *(Directory(*d, deep=True) for d in frontier),
+            *(Directories(d, deep=False) for d in _dealt(opened, self.wanted)),
+            *(Directories(d, deep=True) for d in _dealt(frontier, self.wanted)),
         ]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         match partition:
             case Rows(rows=rows):
                 return _record_batches(rows)
-            case Directory(root=root, path=path, depth=depth, deep=True):
-                return _record_batches(walk(root, path, depth, self.options))
-            case Directory(root=root, path=path, depth=depth):
-                return _record_batches(list_directory(root, path, depth, self.options))
+            case Directories(directories=directories, deep=deep):
+                listed = walk if deep else list_directory
+                rows = (listed(*directory, self.options) for directory in directories)
+                return _record_batches(chain.from_iterable(rows))
         raise TypeError(f"unknown partition {partition!r}")
 
 
+def _dealt(directories: list, n: int) -> list[list]:
+    return [directories[i::n] for i in range(min(n, len(directories)))]
+
+
 class DepthPushingReader(FileListingReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Depth limits stop the walk; Spark still applies every filter itself."""
@@ -392,6 +413,11 @@ def read_listing(spark: SparkSession, roots: Sequence[str], options: WalkOptions
     )
 
 
+def parts_of(rows: int, parallelism: int) -> int:
+    """Tasks for looking up so many names: all cores, and more where there are very many."""
+    return max(1, min(rows, max(4 * parallelism, rows // NAMES_PER_TASK)))
+
+
 def list_tree(spark: SparkSession, roots: Sequence[str], options: WalkOptions = WalkOptions()) -> DataFrame:
     """The listing of several roots, one Spark job per level of the tree.
 
@@ -402,9 +428,9 @@ def list_tree(spark: SparkSession, roots: Sequence[str], options: WalkOptions =
     """
 
     def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for directory in batch.to_pylist():
-                yield from _record_batches(list_names(**directory, options=options))
+        directories = (row for batch in batches for row in batch.to_pylist())
+        names = (list_names(**directory, options=options) for directory in directories)
+        yield from _record_batches(chain.from_iterable(names))
 
     def look_up_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,5 +448,8 @@ def list_tree(spark: SparkSession, roots: Sequence[str], options: WalkOptions =
         if not tasks:
             return listing
         names = directories.repartition(tasks).mapInArrow(open_all, LISTING)
-        level = stage(names.hint("rebalance").mapInArrow(look_up_all, LISTING), "listing")
+        # Looking a name up is the slow part: names are spread by number, not by bytes.
+        found = stage(names, "names")
+        tasks = parts_of(found.count(), spark.sparkContext.defaultParallelism)
+        level = stage(found.repartition(tasks).mapInArrow(look_up_all, LISTING), "listing")
         listing = listing.unionByName(level)

@@ -7,6 +7,7 @@ batch suppresses later ones, across restarts too. A new checkpoint folder is a r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from filecorpus.operators.dedup import dedup_key
@@ -22,8 +23,9 @@ def deduplicate_stream(fingerprints: DataFrame, by: str = "hash", within: str |
 
     Repeats are removed per (key, salt) first, so a hot key is spread over tasks and only
     one row per salt, ever, reaches the second step. With ``within`` (as ``"7 days"``)
-    keys are forgotten once ``mod_time`` has moved on that far; without it the result is
-    exact and the state grows with the number of keys.
+    keys are forgotten that long after they have arrived; the time of arrival counts, as
+    files do not come in the order of their modification. Without it the result is exact
+    and the state grows with the number of keys.
     """
     rows = without_errors(fingerprints).withColumn("_key", dedup_key(by))
     rows = rows.withColumn("_salt", salt_of("path"))
@@ -31,9 +33,11 @@ def deduplicate_stream(fingerprints: DataFrame, by: str = "hash", within: str |
         unique = rows.dropDuplicates(["_key", "_salt"]).dropDuplicates(["_key"])
     else:
         unique = (
-            rows.withWatermark("mod_time", within)
+            rows.withColumn("_arrived", F.current_timestamp())
+            .withWatermark("_arrived", within)
             .dropDuplicatesWithinWatermark(["_key", "_salt"])
             .dropDuplicatesWithinWatermark(["_key"])
+            .drop("_arrived")
         )
     return unique.drop("_key", "_salt")
 

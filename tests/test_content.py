@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -16,7 +17,7 @@ def strings_of(data, min_length=4, block=0):
     """Distinct printable runs in first-seen order, by definition."""
     blocks = [data[i : i + block] for i in range(0, len(data), block)] if block else [data]
     runs = [r.decode() for b in blocks for r in re.findall(rb"[\x20-\x7E]+", b)]
-    return list(dict.fromkeys(r for r in runs if len(r) >= min_length))[: C.MAX_STRINGS]
+    return list(dict.fromkeys(r for r in runs if len(r) >= min_length))
 
 
 @pytest.mark.parametrize("algorithm", C.HASH_ALGORITHMS)
@@ -39,22 +40,24 @@ def test_strings(column_of, values, min_length, block):
     assert got == [strings_of(v, min_length, block) for v in values]
 
 
-def test_strings_of_runs_between_zeros(column_of):
-    runs = [b"HELLO_WORLD", b"TEST_STRING_1234", b"abcd", b"efgh", b"four", b"fives", b"sixsix", b"seven77", b"eight888", b"nine99999", b"tenth"]
-    data = b"\0".join(runs)
-    for min_length in (4, 10):
+def test_strings_of_runs_between_other_bytes(column_of):
+    runs = [f"{'run' * (i % 5 + 1)}{i}".encode() for i in range(40)]
+    data = b"".join(run + bytes([(7 * i) % 32]) for i, run in enumerate(runs))
+    for min_length in (1, 5, 9):
         got = column_of([data], lambda v: C.printable_strings(v, min_length), "binary")[0]
         assert got == [r.decode() for r in runs if len(r) >= min_length]
 
 
-def test_strings_are_distinct_and_limited(column_of):
+def test_strings_are_distinct_and_all_there(column_of):
     many = b"\0".join(b"string-%05d" % i for i in range(15_000))
-    again, cut, none, empty = column_of(
-        [b"REPEATED\0" * 1000, many, b"\0\1\2", b""], C.printable_strings, "binary"
+    again, every, none, empty = column_of(
+        [b"OVER AND OVER\0" * 1000, many, b"\0\1\2", b""], C.printable_strings, "binary"
     )
-    assert again == ["REPEATED"]
-    assert cut == [f"string-{i:05d}" for i in range(10_000)]
+    assert again == ["OVER AND OVER"]
+    assert every == [f"string-{i:05d}" for i in range(15_000)]
     assert none == empty == []
+    first = column_of([many], lambda v: C.printable_strings(v, max_strings=7), "binary")
+    assert first == [every[:7]]
 
 
 @pytest.mark.parametrize("limit, size", [(100, 12), (12, 12), (5, 5), (0, 12), (-1, 12)])
@@ -106,7 +109,7 @@ def test_fingerprint_errors(spark):
     row = one(spark, max_size=10, extract_strings=True, mode=0o755)
     assert row.error == "file too large (18 bytes)"
     assert (row.hash, row.strings, row.size, row.is_executable) == (None, None, 18, True)
-    assert one(spark, max_size=10, skip_large=False).error is None
+    assert one(spark).error is None
     assert one(spark, max_size=0).error == "file too large (18 bytes)"
     assert one(spark, b"", max_size=0).error is None
     # The size is looked at before the algorithm.
@@ -155,27 +158,53 @@ def test_content_comes_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
     assert [bytes(r.content) for r in got] == [bytes([i]) * 400 for i in range(20)]
 
 
-@PLAIN
-@given(SOME_BYTES, st.integers(1, 6), st.sampled_from([0, 3, 8]), st.integers(1, 7))
-def test_large_files_are_scanned_like_small_ones(tmp_path_factory, data, min_length, block, step):
-    path = tmp_path_factory.mktemp("scan") / "f"
-    path.write_bytes(data)
-    before, S._BLOCK = S._BLOCK, step
-    try:
-        digest, strings, error = S._scan(str(path), "sha1", min_length, block)
-    finally:
-        S._BLOCK = before
-    assert digest == hashlib.sha1(data).hexdigest()
-    assert strings == strings_of(data, min_length, block)
-    assert error is None
-
-
-def test_a_run_too_long_for_a_cell_keeps_the_digest(tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "CELL_BYTES", 100)
-    monkeypatch.setattr(S, "_BLOCK", 50)
-    path = tmp_path / "f"
-    path.write_bytes(b"x" * 500)
-    digest, strings, error = S._scan(str(path), "md5", 4, 0)
-    assert digest == hashlib.md5(b"x" * 500).hexdigest()
-    assert strings is None
-    assert error.startswith("string extraction error")
+def sized(spark, *paths, size=True):
+    rows = [(str(p), p.stat().st_size if size and p.exists() else None) for p in paths]
+    return spark.createDataFrame(rows, "path string, size long")
+
+
+@pytest.mark.parametrize("min_length, block, step", [(1, 0, 1), (4, 0, 3), (2, 0, 7), (3, 8, 5), (1, 3, 9)])
+def test_strings_of_pieces_are_those_of_the_whole(spark, tmp_path, min_length, block, step):
+    chance = random.Random(step)
+    parts = [b"ab", b"WXYZ", b" ", b"~", b"\x7f", b"\n", b"\0", b"\xc3\xa9", b"\xff", b"long run of text "]
+    paths = [tmp_path / str(i) for i in range(30)]
+    for path in paths:
+        path.write_bytes(b"".join(chance.choices(parts, k=chance.randint(0, 30))))
+    for size in (True, False):
+        rows = S.strings_of_files(sized(spark, *paths, size=size), min_length, block, step).collect()
+        for path in paths:
+            own = sorted((r.at, r.string) for r in rows if r.path == str(path))
+            assert [x for _, x in own] == strings_of(path.read_bytes(), min_length, block)
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 1000])
+def test_lines_of_pieces_are_those_of_the_whole(spark, tmp_path, step):
+    chance = random.Random(step)
+    paths = [tmp_path / str(i) for i in range(30)]
+    for path in paths:
+        path.write_bytes(b"".join(chance.choices([b"a", b"bcd", b"\n", b"\r\n", b"\r", "é".encode()], k=chance.randint(0, 25))))
+    gone = tmp_path / "gone"
+    rows = S.lines_of_files(sized(spark, *paths, gone), step).collect()
+    contents = spark.createDataFrame([(str(p), bytearray(p.read_bytes())) for p in paths], "path string, content binary")
+    want = sorted(map(tuple, file_lines(contents).collect()))
+    assert sorted((r.path, r.line_no, r.line) for r in rows if r.error is None) == want
+    (failed,) = [r for r in rows if r.error]
+    assert failed.path == str(gone) and failed.error.startswith("open error: open ")
+
+
+def test_digests_of_any_size(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 3_000_000)
+    found = {r.path: r for r in S.digest_files(sized(spark, tmp_path / "a", tmp_path / "gone"), "sha1").collect()}
+    assert found[str(tmp_path / "a")].hash == hashlib.sha1(b"x" * 3_000_000).hexdigest()
+    assert found[str(tmp_path / "gone")].error.startswith("stat error")
+    refused = S.digest_files(sized(spark, tmp_path / "a"), "sha1", max_size=10).first()
+    assert (refused.hash, refused.error) == (None, "file too large (3000000 bytes)")
+
+
+def test_files_are_spread_by_bytes(spark):
+    sizes = [60] * 12 + [1] * 5000
+    files = spark.createDataFrame([(f"/{i}", s << 20) for i, s in enumerate(sizes)], "path string, size long")
+    spread = S.spread_by_bytes(files, 256 << 20)
+    held = [sum(r.size for r in part) >> 20 for part in spread.rdd.glom().collect()]
+    assert sum(held) == sum(sizes) and max(held) < 600
+    assert S.spread_by_bytes(files.limit(0)).count() == 0

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filecorpus.functions.globs import (
-    escape_regex,
     is_glob,
     plain_glob_regex,
     plain_glob_regex_column,
@@ -68,27 +67,23 @@ def test_driver_and_column_compile_alike(spark, cases):
 
 
 def test_is_glob(column_of):
-    values = ["*.txt", "file?.txt", "file[1-3].txt", "file{1,2,3}.txt", "file.txt", "a]", "a}"]
-    assert column_of(values, is_glob) == [True, True, True, True, False, False, False]
-
-
-def test_escape(column_of):
-    assert column_of(["^file[0-9].txt$"], escape_regex) == [r"\^file\[0-9\]\.txt\$"]
+    cases = {"q*": True, "q?r": True, "v[0]": True, "{": True, "plain-name": False, "x]": False, "}y": False, "": False}
+    assert column_of(list(cases), is_glob) == list(cases.values())
 
 
 EXTENDED = [
-    ("*.txt", "file.txt", True),
-    ("file?.txt", "file1.txt", True),
-    ("*.txt", "file.log", False),
-    ("file.txt", "file1.txt", False),
-    ("file.txt", "file.txt", True),
-    ("**/file.txt", "dir/subdir/file.txt", True),
-    ("**/file.txt", "file.txt", False),
-    ("*.txt", "dir/file.txt", False),
-    ("file[1-3].txt", "file2.txt", True),
-    ("file[1-3].txt", "file[1-3].txt", True),
-    ("file{1,2}.txt", "file1.txt", False),
-    ("file{1,2}.txt", "file{1,2}.txt", True),
+    ("*.parquet", "part.parquet", True),
+    ("part-??.parquet", "part-07.parquet", True),
+    ("*.parquet", "part.orc", False),
+    ("part.orc", "part0.orc", False),
+    ("part.orc", "part.orc", True),
+    ("**/part.orc", "y=1/m=2/part.orc", True),
+    ("**/part.orc", "part.orc", False),
+    ("*.orc", "y=1/part.orc", False),
+    ("m=[4-6]", "m=5", True),
+    ("m=[4-6]", "m=[4-6]", True),
+    ("m={4,5}", "m=4", False),
+    ("m={4,5}", "m={4,5}", True),
     ("[bad*", "[bad/x", False),
     ("[bad*", "[badx", True),
     ("[bad", "[bad", True),
@@ -99,23 +94,26 @@ EXTENDED = [
     ("a\\*.c", "a\\x.c", True),
     ("a**b", "a/\nb", False),
     ("a**b", "a/xb", True),
+    ("a***b", "a/xb", True),
     ("a*b", "a\nb", True),
+    ("^$.(+)|*", "^$.(+)|z", True),
     ("/x/**", "/x/y/z.q", True),
     ("/x/*/z.q", "/x/y/z.q", True),
     ("?", "é", True),
+    ("\U0001f600*", "\U0001f600x", True),
 ]
 
 
-@pytest.mark.parametrize("limit", [None, 1 << 20, 0])
-def test_extended_dialect(spark, limit):
+@pytest.mark.parametrize("broadcast", [None, True, False])
+def test_extended_dialect(spark, broadcast):
     patterns = sorted({p for p, _, _ in EXTENDED})
     paths = sorted({s for _, s, _ in EXTENDED})
     files = spark.createDataFrame([(p,) for p in paths], "path string")
-    if limit is None:
+    if broadcast is None:
         matched = match_patterns(files, patterns)
     else:
         rules = spark.createDataFrame(list(enumerate(patterns)), "rule_id bigint, pattern string")
-        matched = match_rules(files, rules, broadcast_bytes=limit)
+        matched = match_rules(files, rules, broadcast=broadcast)
     rows = [tuple(r) for r in matched.collect()]
     assert len(rows) == len(set(rows))
     assert all(patterns[rule_id] == pattern for _, rule_id, pattern in rows)
@@ -137,28 +135,29 @@ def test_rule_table_and_configured_patterns_match_alike(spark, patterns, paths):
 
 
 # path, patterns, excluded; the root is the first element of the path.
+KEPT = "/lake/raw/year=1/part-0.orc"
 EXCLUDES = [
-    ("/test/file.txt", [], False),
-    ("/test/file.txt", ["*.txt"], True),
-    ("/test/temp.log", ["temp.*"], True),
-    ("/path/to/special/file.txt", ["/path/to/special/*"], True),
-    ("/path/to/file.log", ["*.tmp", "*.log", "*.bak"], True),
-    ("/path/to/file.txt", ["[invalid"], False),
-    ("/path/to/file.txt", ["[invalid", "*.txt"], True),
-    ("/path/to/file.txt", ["to"], True),
-    ("/path/to/file.txt", ["/path/to"], True),
-    ("/path/to/file.txt", ["/path"], True),
-    ("/path/to/file.txt", ["/path/*"], True),
-    ("/path/to/file.txt", ["to/*"], False),
-    ("/path/to/file.txt", ["TO"], False),
-    ("/path/to/file.txt", ["[^x]o"], True),
-    ("/path/to/file.txt", ["/path[^x]to"], True),
-    ("/path/to/file.txt", ["h[^x]to"], False),
-    ("/path/to/file.txt", ["o/f*"], False),
-    ("/path/to/file.txt", ["fil"], False),
-    ("/path/to/file.txt", [""], False),
-    ("/path/to/file.txt", ["*"], True),
-    ("/path/to/file.txt", ["path"], True),
+    (KEPT, [], False),
+    (KEPT, ["*.orc"], True),
+    (KEPT, ["part-?.*"], True),
+    (KEPT, ["/lake/raw/year=1/*"], True),
+    (KEPT, ["*.crc", "_SUCCESS", "*.orc"], True),
+    (KEPT, ["[never-closed"], False),
+    (KEPT, ["[never-closed", "*.orc"], True),
+    (KEPT, ["raw"], True),
+    (KEPT, ["/lake/raw"], True),
+    (KEPT, ["/lake"], True),
+    (KEPT, ["/lake/*"], True),
+    (KEPT, ["raw/*"], False),
+    (KEPT, ["RAW"], False),
+    (KEPT, ["[^x]aw"], True),
+    (KEPT, ["/lake[^x]raw"], True),
+    (KEPT, ["e[^x]raw"], False),
+    (KEPT, ["w/y*"], False),
+    (KEPT, ["par"], False),
+    (KEPT, [""], False),
+    (KEPT, ["*"], True),
+    (KEPT, ["lake"], True),
 ]
 
 

@@ -1,12 +1,15 @@
 import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from filecorpus.functions.content import HASH_ALGORITHMS
 from filecorpus.operators import joins, tree
 from filecorpus.plans import inventory
 from filecorpus.plans.inventory import FingerprintOptions, fingerprint_files, run_inventory
+from filecorpus.sources import content
 from filecorpus.sources.listing import WalkOptions
 from filecorpus.staging import new_folder, staging_folder
 
@@ -79,43 +82,71 @@ def test_files_too_large_for_a_cell(spark, corpus, monkeypatch, algorithm):
         + [(str(corpus / "gone"), 9_000, None, None)],
         "path string, size bigint, mod_time timestamp, mode int",
     )
-    for limit in (None, 3_000, 9_999):
-        options = FingerprintOptions(
-            algorithm, extract_strings=True, skip_large=limit is not None, max_size=limit or 0
-        )
+    for limit, most in ((None, None), (3_000, 1), (9_999, None)):
+        options = FingerprintOptions(algorithm, extract_strings=True, max_size=limit, max_strings=most)
         seen = []
         for cell in (1 << 20, 12):
             monkeypatch.setattr(inventory, "CELL_BYTES", cell)
+            monkeypatch.setattr(content, "RANGE_BYTES", 5)
             rows = fingerprint_files(files, options).drop("processed_at")
             seen.append(sorted(map(tuple, rows.collect()), key=lambda r: r[0]))
         assert seen[0] == seen[1]
         assert len(seen[0]) == 9
 
 
-def test_files_around_the_limits(spark, tmp_path):
-    """No limit is lowered here: a cell, a file too large for one, and one refused."""
-    sizes = {"strings": 17 << 20, "cell": 65 << 20, "refused": 101 << 20}
+def test_files_of_any_size(spark, tmp_path):
+    """No limit is lowered here: a cell, files too large for one, all read by default."""
+    sizes = {"strings": 17 << 20, "cell": 63 << 20, "large": 110 << 20}
     for name, size in sizes.items():
         with open(tmp_path / name, "wb") as file:
             file.write(b"start of " + name.encode())
             file.truncate(size)
+            file.seek(size)
+            file.write(b"end of " + name.encode())
     listing = spark.createDataFrame(
         [(str(tmp_path / name), size, None, None) for name, size in sizes.items()]
         # Nor need the listing know the sizes.
         + [(str(tmp_path / name), None, None, None) for name in sizes],
         "path string, size bigint, mod_time timestamp, mode int",
     )
-    for options in (FingerprintOptions(), FingerprintOptions(extract_strings=True)):
+    for options in (FingerprintOptions(), FingerprintOptions(extract_strings=True, max_size=200 << 20)):
         rows = sorted(fingerprint_files(listing, options).collect(), key=lambda r: r.name)
-        assert [r.name for r in rows] == ["cell"] * 2 + ["refused"] * 2 + ["strings"] * 2
+        assert [r.name for r in rows] == ["cell"] * 2 + ["large"] * 2 + ["strings"] * 2
         for row in rows:
-            assert row.size == sizes[row.name]
-            if row.name == "refused":
-                assert (row.error, row.hash) == (f"file too large ({101 << 20} bytes)", None)
-                continue
             with open(row.path, "rb") as file:
                 assert row.hash == hashlib.file_digest(file, "sha256").hexdigest()
-            assert row.strings == ([f"start of {row.name}"] if options.extract_strings else None)
+            both = [f"start of {row.name}", f"end of {row.name}"]
+            assert row.strings == (both if options.extract_strings else None)
+    refused = fingerprint_files(listing.filter("size > 100000000"), FingerprintOptions(max_size=100 << 20))
+    assert refused.first().error.startswith("file too large (")
+
+
+def test_lines_of_a_file_too_large_for_a_cell(spark, tmp_path):
+    with open(tmp_path / "big", "wb") as file:
+        file.write(b"first\r\nsecond\n")
+        file.truncate(70 << 20)
+        file.seek(70 << 20)
+        file.write(b"\nlast\n")
+    listing = spark.createDataFrame([(str(tmp_path / "big"), (70 << 20) + 6)], "path string, size long")
+    rows = content.lines_of_files(listing).select("line_no", F.length("line").alias("n"), F.left("line", F.lit(6)).alias("line"))
+    got = sorted(map(tuple, rows.collect()))
+    assert [(no, n) for no, n, _ in got] == [(0, 5), (1, 6), (2, (70 << 20) - 14), (3, 4), (4, 0)]
+    assert [line for _, n, line in got if n < 10] == ["first", "second", "last", ""]
+
+
+def test_one_limit_for_the_whole_job(spark, corpus):
+    for arguments in ({"max_size": 4000}, {"options": FingerprintOptions(max_size=4000)}, {"max_size": 4000, "walk": WalkOptions(max_depth=9)}):
+        row = run_inventory(spark, [str(corpus)], **arguments).summary.first()
+        assert (row.total, row.errors) == (7, 1)
+
+
+def test_nothing_staged_is_left_behind(spark, corpus):
+    result = run_inventory(spark, [str(corpus)], send=lambda payload: (200, b""))
+    assert result.summary.first().total == 7
+    made = list(result.folders.made)
+    assert len(made) >= 4 and all(os.path.exists(f.removeprefix("file:")) for f in made)
+    result.clean_up()
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in made)
 
 
 def test_staging_uses_the_folder_of_the_session(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from filecorpus.operators import filters
 from filecorpus.operators.fingerprint import fingerprint
+from filecorpus.operators.tree import empty_directories, paths_exist
 from filecorpus.sources.binary import binary_files
 from filecorpus.sources.listing import WalkOptions, list_tree, read_listing, split_paths
 from filecorpus.streaming.dedup import write_unique
@@ -32,38 +33,76 @@ def make(root, *names, content=b"text"):
 
 
 def test_hidden_depth_and_excludes(listing, tmp_path):
-    make(tmp_path, "file1.txt", "file2.bin", "subdir/nested.txt", ".hiddenfile", ".hidden/inside.txt", "_kept", "subdir/empty", content=b"")
-    shown = ["_kept", "empty", "file1.txt", "file2.bin", "nested.txt"]
+    make(tmp_path, "alpha.csv", "beta.orc", "in/gamma.csv", ".env", ".git/config", "_SUCCESS", "in/none", content=b"")
+    shown = ["_SUCCESS", "alpha.csv", "beta.orc", "gamma.csv", "none"]
     assert files(listing(tmp_path)) == shown
-    assert files(listing(tmp_path, skip_hidden=False)) == sorted([*shown, ".hiddenfile", "inside.txt"])
-    assert files(listing(tmp_path, max_depth=0)) == ["_kept", "file1.txt", "file2.bin"]
-    assert files(listing(tmp_path, exclude=("*.bin", "_*"))) == ["empty", "file1.txt", "nested.txt"]
-    assert files(listing(tmp_path, exclude=("sub*",))) == ["_kept", "file1.txt", "file2.bin"]
-    assert files(listing(tmp_path, exclude=(f"{tmp_path}/subdir",))) == ["_kept", "file1.txt", "file2.bin"]
+    assert files(listing(tmp_path, skip_hidden=False)) == sorted([*shown, ".env", "config"])
+    assert files(listing(tmp_path, max_depth=0)) == ["_SUCCESS", "alpha.csv", "beta.orc"]
+    assert files(listing(tmp_path, exclude=("*.orc", "_*"))) == ["alpha.csv", "gamma.csv", "none"]
+    assert files(listing(tmp_path, exclude=("i?",))) == ["_SUCCESS", "alpha.csv", "beta.orc"]
+    assert files(listing(tmp_path, exclude=(f"{tmp_path}/in",))) == ["_SUCCESS", "alpha.csv", "beta.orc"]
+    skipped = {(os.path.basename(r.parent), r.size) for r in listing(tmp_path).filter("kind = 'skipped'").collect()}
+    assert skipped == {(tmp_path.name, 2)}
 
 
 def test_depths(listing, tmp_path):
-    make(tmp_path, "level0.txt", "subdir1/level1.txt", "subdir1/subdir2/level2.txt")
-    for depth, count in ((0, 1), (1, 2), (2, 3), (-1, 3)):
+    make(tmp_path, "a", "b", "y/c", "y/z/d", "y/z/e", "y/z/w/f")
+    for depth, count in ((0, 2), (1, 3), (2, 5), (3, 6), (-1, 6)):
         assert len(files(listing(tmp_path, max_depth=depth))) == count
     rows = {(r.name, r.kind, r.depth) for r in listing(tmp_path).collect()}
     assert rows == {
-        (tmp_path.name, "dir", 0),
-        ("level0.txt", "file", 0),
-        ("subdir1", "dir", 1),
-        ("level1.txt", "file", 1),
-        ("subdir2", "dir", 2),
-        ("level2.txt", "file", 2),
-    }
+        (tmp_path.name, "dir", 0), ("a", "file", 0), ("b", "file", 0), ("y", "dir", 1), ("c", "file", 1),
+        ("z", "dir", 2), ("d", "file", 2), ("e", "file", 2), ("w", "dir", 3), ("f", "file", 3),
+    }
 
 
 def test_sizes(listing, tmp_path):
-    make(tmp_path, "small", content=b"x" * 13)
-    make(tmp_path, "large", content=b"x" * 1024)
-    for limit, count in ((-1, 2), (0, 2), (100, 1), (2048, 2), (13, 1)):
+    for size in (0, 7, 300, 301):
+        make(tmp_path, f"n{size}", content=b"x" * size)
+    for limit, count in ((-1, 4), (0, 4), (6, 1), (7, 2), (300, 3), (301, 4)):
         assert len(files(listing(tmp_path, max_file_size=limit))) == count
 
 
+def test_empty_directories_of_a_walk(spark, listing, tmp_path):
+    make(tmp_path, "hidden/.only", "excluded/x.tmp", "large/big", "full/a", content=b"12345")
+    (tmp_path / "empty").mkdir()
+    found = listing(tmp_path, exclude=("*.tmp",), max_file_size=3)
+    assert [os.path.basename(r.path) for r in empty_directories(found).collect()] == ["empty"]
+    # A directory that could not be read may hold anything.
+    error = spark.createDataFrame([("r", f"{tmp_path}/empty", str(tmp_path), "empty", 1, "error", None, None, None, "read_dir", "permission denied")], found.schema)
+    assert empty_directories(found.unionByName(error)).count() == 0
+
+
+def test_existence_that_cannot_be_told(spark, listing, tmp_path):
+    make(tmp_path, "a/b", "dark/c")
+    (tmp_path / "good").symlink_to(tmp_path / "a")
+    (tmp_path / "bad").symlink_to(tmp_path / "nowhere")
+    found = listing(tmp_path, tmp_path / "gone").filter(~F.col("path").endswith("dark/c") | F.col("path").isNull())
+    error = spark.createDataFrame([("r", f"{tmp_path}/dark", str(tmp_path), "dark", 1, "error", None, None, None, "read_dir", "permission denied")], found.schema)
+    names = ["a", "a/b", "a/x", "dark", "dark/c", "dark/d/e", "darker", "good", "bad", "gone", "gone/x"]
+    wanted = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in names], "path string")
+    got = {os.path.relpath(r.path, tmp_path): r.exists for r in paths_exist(wanted, found.unionByName(error)).collect()}
+    assert got == {
+        "a": True, "a/b": True, "a/x": False, "dark": True, "dark/c": None, "dark/d/e": None, "darker": False,
+        "good": True, "bad": False, "gone": False, "gone/x": False,
+    }
+
+
+def test_partitions_are_bounded_and_share_one_directory(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i:03d}" / "e").mkdir(parents=True)
+    read = spark.read.format("file_listing").option("paths", str(tmp_path)).option("numPartitions", 16)
+    rows = read.load()
+    assert rows.count() == 601 and rows.rdd.getNumPartitions() <= 2 * 16 + 1
+
+
+def test_names_of_one_directory_are_looked_up_by_many_tasks(spark, tmp_path):
+    make(tmp_path, *(f"f{i}" for i in range(500)))
+    found = list_tree(spark, [str(tmp_path)]).filter("kind = 'file'")
+    assert found.count() == 500
+    assert found.select(F.input_file_name()).distinct().count() > 4
+
+
 def test_missing_root_is_an_error_row(listing, tmp_path):
     make(tmp_path, "a")
     found = listing(tmp_path / "missing", tmp_path)
@@ -247,5 +286,6 @@ def test_random_trees(spark, tmp_path, seed):
         for read in (read_listing, list_tree):
             rows = read(spark, [str(tmp_path)], options).collect()
             assert sorted(r.path for r in rows if r.kind == "file") == want
-            assert len(rows) == len({r.path for r in rows})
+            listed = [r.path for r in rows if r.kind != "skipped"]
+            assert len(listed) == len(set(listed))
             assert not [r for r in rows if r.kind == "error"]

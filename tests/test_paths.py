@@ -23,22 +23,23 @@ def test_parent_path(column_of):
 
 def test_normalize_path(column_of):
     cases = {
-        "/usr/local/bin/": "/usr/local/bin",
-        "C:\\Windows\\System32\\": "C:/Windows/System32",
+        "/data/2024/": "/data/2024",
+        "D:\\lake\\raw\\": "D:/lake/raw",
+        "\\\\host\\share": "//host/share",
         "/": "",
         "\\": "",
         "": "",
         "//": "/",
-        "a": "a",
+        "z": "z",
     }
     check(column_of, P.normalize_path, cases)
 
 
 def test_path_components(column_of):
     cases = {
-        "/usr/local/bin": ["usr", "local", "bin"],
-        "C:\\Windows\\System32": ["C:", "Windows", "System32"],
-        "a//b/": ["a", "b"],
+        "/data/2024/01": ["data", "2024", "01"],
+        "D:\\lake\\raw": ["D:", "lake", "raw"],
+        "x///y/": ["x", "y"],
         "": [],
         "/": [],
     }
@@ -47,15 +48,15 @@ def test_path_components(column_of):
 
 def test_file_extension(column_of):
     cases = {
-        ".hidden.txt": "txt",
-        "file.tar.gz": "gz",
-        "file": "",
-        "file.": "",
+        ".profile.bak": "bak",
+        "part.snappy.parquet": "parquet",
+        "README": "",
+        "ends.": "",
         ".": "",
         "..": "",
-        ".hidden": "hidden",
-        "/a.b/c": "",
-        "/path/File.TXT": "TXT",
+        ".bashrc": "bashrc",
+        "/v1.2/data": "",
+        "/v1.2/Data.ORC": "ORC",
     }
     check(column_of, P.file_extension, cases)
 
