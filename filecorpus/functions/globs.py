@@ -147,6 +147,17 @@ def extended_glob_regex(pattern: Column) -> Column:
     return F.array_join(regexes, "")
 
 
+_EXTENDED_TOKENS = {"**": r"[^\n]*", "*": "[^/]*", "?": "[^/]"}
+
+
+def extended_glob_text(pattern: str) -> str | None:
+    """:func:`extended_glob_regex` of a configured pattern; None if it is no glob."""
+    if not any(char in pattern for char in GLOB_CHARS):
+        return None
+    tokens = re.findall(r"\*\*|[\s\S]", pattern)
+    return "".join(_EXTENDED_TOKENS.get(token) or re.escape(token) for token in tokens)
+
+
 def is_glob(pattern: Column) -> Column:
     """True if the pattern has any of ``* ? [ {``."""
     return pattern.rlike(r"[*?\[{]")

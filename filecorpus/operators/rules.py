@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filecorpus.functions.globs import (
     extended_glob_regex,
+    extended_glob_text,
     is_glob,
     plain_glob_regex,
     plain_glob_regex_column,
@@ -32,16 +33,21 @@ def match_patterns(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """One row ``path, rule_id, pattern`` per file and configured pattern that matches it.
 
     Rules are numbered from 0. Every pattern becomes a literal regex of the projection,
-    compiled once per task; nothing is joined or moved.
+    compiled once per task; nothing is joined or moved. One regex of all patterns comes
+    first, and only paths that it matches are asked which patterns they are.
     """
-    path, hits = F.col("path"), []
+    path, hits, every = F.col("path"), [], []
     for rule_id, pattern in enumerate(patterns):
-        plain, text = plain_glob_regex(pattern), F.lit(pattern)
-        matched = F.lit(False) if plain is None else path.rlike(rf"\A(?:{plain})\z")
-        matched = matched | (is_glob(text) & F.rlike(path, _whole(extended_glob_regex(text))))
-        rule = F.struct(F.lit(rule_id).cast("bigint").alias("rule_id"), text.alias("pattern"))
-        hits.append(F.when(matched, rule))
-    return files.select("path", F.inline(F.array_compact(F.array(*hits))))
+        readings = [r for r in (plain_glob_regex(pattern), extended_glob_text(pattern)) if r is not None]
+        if readings:
+            regex = "|".join(readings)
+            every.append(regex)
+            rule = F.struct(F.lit(rule_id).cast("bigint").alias("rule_id"), F.lit(pattern).alias("pattern"))
+            hits.append(F.when(path.rlike(rf"\A(?:{regex})\z"), rule))
+    if not hits:
+        return files.select("path", F.lit(0).cast("bigint").alias("rule_id"), F.lit("").alias("pattern")).limit(0)
+    some = path.rlike(rf"\A(?:{'|'.join(every)})\z")
+    return files.filter(some).select("path", F.inline(F.array_compact(F.array(*hits))))
 
 
 def _anchor(pattern: Column) -> Column:

@@ -62,8 +62,12 @@ def http_sender(
     credentials: str | tuple[str, str] | Mapping[str, str],
     user_agent: str = USER_AGENT,
     timeout: float = REQUEST_SECONDS,
+    error_bytes: int | None = ERROR_BODY_BYTES,
 ) -> Send:
-    """A ``send`` that posts a payload; it builds a fresh request for every attempt."""
+    """A ``send`` that posts a payload; it builds a fresh request for every attempt.
+
+    Of the body of an answer ``error_bytes`` are kept, or all with None.
+    """
     headers = {"Content-Type": "application/json", "User-Agent": user_agent}
     headers |= auth_headers(auth_method, credentials)
 
@@ -71,10 +75,10 @@ def http_sender(
         request = urllib.request.Request(endpoint, payload, headers, method="POST")
         try:
             with urllib.request.urlopen(request, timeout=timeout) as response:
-                return response.status, response.read(ERROR_BODY_BYTES)
+                return response.status, response.read(error_bytes)
         except urllib.error.HTTPError as refused:
             with refused:
-                return refused.code, refused.read(ERROR_BODY_BYTES)
+                return refused.code, refused.read(error_bytes)
 
     return send
 
@@ -84,6 +88,7 @@ def send_with_retries(
     payload: bytes,
     max_retries: int = MAX_RETRIES,
     sleep: Callable[[float], None] = time.sleep,
+    error_bytes: int | None = ERROR_BODY_BYTES,
 ) -> tuple[int, int | None, str | None]:
     """(attempts, last status, error); a status of 2xx is success, NULL is no answer.
 
@@ -102,7 +107,7 @@ def send_with_retries(
             continue
         if 200 <= status < 300:
             return attempt, status, None
-        text = bytes(body[:ERROR_BODY_BYTES]).decode("utf-8", "replace")
+        text = bytes(body[:error_bytes]).decode("utf-8", "replace")
         error = f"API error (attempt {attempt}/{attempts}): status={status}, body={text}"
         if 400 <= status < 500 and status != TOO_MANY_REQUESTS:
             break
@@ -115,6 +120,7 @@ def deliver_batches(
     max_retries: int = MAX_RETRIES,
     max_senders: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    error_bytes: int | None = ERROR_BODY_BYTES,
 ) -> DataFrame:
     """Send ``batch_id, n_items, payload`` and return the log, one row per batch.
 
@@ -126,7 +132,7 @@ def deliver_batches(
     def send_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             results = [
-                send_with_retries(send, payload.as_py().encode("utf-8"), max_retries, sleep)
+                send_with_retries(send, payload.as_py().encode("utf-8"), max_retries, sleep, error_bytes)
                 for payload in part.column("payload")
             ]
             attempts, statuses, errors = zip(*results) if results else ((), (), ())
