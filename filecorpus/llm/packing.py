@@ -25,6 +25,7 @@ from filecorpus.staging import stage
 CAPACITY = 1024
 SHARD_PIECES = 131_072
 END_ID = 2
+PIECES_KEPT = 700_000
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary, place long"
@@ -61,7 +62,9 @@ def token_pieces(
     ``place`` is an integer by which the documents are ordered, if they are.
     """
 
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(tokenizer, spaces_in_tokens=True))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        Encoder(tokenizer, spaces_in_tokens=True, kept=PIECES_KEPT)
+    )
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
@@ -219,7 +222,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    packed = pack_documents(
+    pieces = token_pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER)
     )
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    # The digest is asked for, not the ids: they need not move with their pieces.
+    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(digested)
