@@ -10,7 +10,6 @@ nearest directory at or above its own that has one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -64,11 +63,14 @@ TEMPLATES = (
 )
 LICENSE_FILES = r"(?i)^(licen[sc]e|copying|notice)(\.(txt|md))?$"
 
-_TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+# ASCII letters in lower case, digits and bytes of other characters; the rest is between terms.
+_WRITTEN = bytes(
+    ord(chr(b).lower()) if chr(b).isalnum() or b >= 128 else 32 for b in range(128)
+) + bytes(range(128, 256))
 
 
-def terms_of(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
+def terms_of(text: str) -> list[bytes]:
+    return text.encode().translate(_WRITTEN).split()
 
 
 @dataclass(frozen=True)
@@ -76,12 +78,12 @@ class Templates:
     """Unit vectors of the templates by term, and the weight of each term."""
 
     names: list[str]
-    idf: dict[str, float]
+    idf: dict[bytes, float]
     other: float  # weight of terms that no template has
-    vectors: dict[str, np.ndarray]  # term to its component in each template
+    vectors: dict[bytes, np.ndarray]  # term to its component in each template
 
     @staticmethod
-    def of(templates: tuple[tuple[str, str], ...], files: int, found: dict[str, int]) -> Templates:
+    def of(templates: tuple[tuple[str, str], ...], files: int, found: dict[bytes, int]) -> Templates:
         counts = [Counter(terms_of(text)) for _, text in templates]
         every = sorted(set().union(*counts))
         idf = {t: float(np.log((1 + files) / (1 + found.get(t, 0))) + 1) for t in every}
@@ -91,40 +93,48 @@ class Templates:
         names = [name for name, _ in templates]
         return Templates(names, idf, other, dict(zip(every, matrix, strict=True)))
 
+    def possible(self, terms: Iterable[bytes], least: float) -> bool:
+        """Whether a passage of some of the terms can come as near as ``least``.
+
+        The part of a template that a passage has bounds the cosine.
+        """
+        known = self.vectors.keys() & terms
+        return bool(known) and (sum(self.vectors[t] ** 2 for t in known) >= least**2 - 1e-12).any()
+
     def nearest(self, text: str, least: float) -> tuple[float, str] | None:
         """The best cosine of a passage and its template, if at least ``least``.
 
         Of equal cosines the first template counts.
         """
-        terms = terms_of(text)
-        known = self.vectors.keys() & set(terms)
-        # The part of a template that the passage has bounds the cosine.
-        if not known or (sum(self.vectors[t] ** 2 for t in known) < least**2).all():
+        counts = Counter(terms_of(text))
+        if not self.possible(counts.keys(), least):
             return None
-        counts = Counter(terms)
         weights = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
         length = float(np.sqrt(sum(w * w for w in weights.values())))
-        cosines = sum(weights[t] * self.vectors[t] for t in sorted(known)) / length
+        known = sorted(self.vectors.keys() & counts.keys())
+        cosines = sum(weights[t] * self.vectors[t] for t in known) / length
         best = int(cosines.argmax())
         return (float(cosines[best]), self.names[best]) if cosines[best] >= least - 1e-12 else None
 
 
-def term_counts(files: DataFrame, templates: tuple[tuple[str, str], ...]) -> tuple[int, dict[str, int]]:
+def term_counts(
+    files: DataFrame, templates: tuple[tuple[str, str], ...]
+) -> tuple[int, dict[bytes, int]]:
     """Files in all, and files with each term of a template (only those leave the tasks)."""
     wanted = set().union(*(terms_of(text) for _, text in templates))
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.binary()), ("n", pa.int64())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 counts.update(wanted.intersection(terms_of(text or "")))
-                counts[""] += 1
+                counts[b""] += 1
         yield from batches_of(schema, counts.items(), 1000)
 
-    rows = files.select("text").mapInArrow(counted, "term string, n long")
-    found = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return found.pop("", 0), found
+    rows = files.select("text").mapInArrow(counted, "term binary, n long")
+    found = {bytes(r["term"]): r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return found.pop(b"", 0), found
 
 
 def own_licenses(files: DataFrame, templates: Templates, *, least: float = MIN_COSINE) -> DataFrame:
@@ -147,8 +157,9 @@ def own_licenses(files: DataFrame, templates: Templates, *, least: float = MIN_C
                     batch.column("text").to_pylist(),
                     strict=True,
                 ):
-                    passages = (text or "").split("\n") + ([text or ""] if whole else [])
-                    best = None
+                    best, passages = None, []
+                    if templates.possible(set(terms_of(text or "")), least):
+                        passages = text.split("\n") + ([text] if whole else [])
                     for passage in passages:
                         found = templates.nearest(passage, least)
                         if found and (best is None or found[0] > best[0]):
