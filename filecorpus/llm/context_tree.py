@@ -11,12 +11,14 @@ so all depths are mixed, each node with its own weight. Learned from one part of
 the tree predicts every byte of every text; the scores are log10 probabilities.
 
 What moves between tasks are grams, never texts by word or byte. Runs of documents list
-their distinct grams (context and byte) and words once, packed by bucket; a bucket (hash of
-the two nearest bytes, or of the word) sums the counts of all runs, builds its part of the
-trees, and answers each run with one number for each of its grams and words, in the run's
-order. The levels above the buckets' have at most 256 contexts and go through the driver.
-Grams that only held-out texts have are in the lists with count zero, so a bucket knows all
-it is asked for, and no table is broadcast but that of the upper levels.
+their distinct grams (context and byte) and words once, packed by bucket (hash of the two
+nearest bytes, or of the word). Lists of a bucket are added up in groups of runs, and groups
+in groups, so no task gets more than a group; what is left is the bucket's distinct grams,
+from which its part of the trees is built. Each group of runs is then answered with one
+number for each gram and word of each run, in the run's order. The levels above the buckets'
+have at most 256 contexts and go through the driver. Grams that only held-out texts have are
+in the lists with count zero, so a bucket knows all it is asked for, and no table is
+broadcast but that of the upper levels.
 """
 
 from __future__ import annotations
@@ -50,6 +52,7 @@ SPLIT = 2  # nearest bytes that say the bucket
 RUN_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 4096
+FAN_IN = 16
 FOLDS, HELD_OUT = 10, 0
 START = b"\n"
 LN10 = float(np.log(10))
@@ -81,6 +84,16 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(data, n, "<u8"), dtype=np.uint64)
 
 
+def pack_words(words: list[bytes]) -> tuple[int, bytes, int]:
+    """Their number, and the words, compressed, with the size they had."""
+    joined = b"\n".join(words)
+    return len(words), pa.compress(joined, codec="zstd", asbytes=True), len(joined)
+
+
+def unpack_words(n: int, data: bytes, size: int) -> list[bytes]:
+    return pa.decompress(data, int(size), codec="zstd", asbytes=True).split(b"\n") if n else []
+
+
 # Grams of a run.
 
 
@@ -272,14 +285,14 @@ def log10_chances(
 
 _RUNS = (
     "run long, bucket int, n_keys int, keys binary, counts binary, n_words int, words binary,"
-    " word_counts binary, uids array<long>, ids array<long>, held array<boolean>,"
+    " words_size long, word_counts binary, uids array<long>, ids array<long>, held array<boolean>,"
     " sizes array<long>, before binary, text binary"
 )
 _RUNS_ARROW = pa.schema(
     [
         ("run", pa.int64()), ("bucket", pa.int32()), ("n_keys", pa.int32()), ("keys", pa.binary()),
         ("counts", pa.binary()), ("n_words", pa.int32()), ("words", pa.binary()),
-        ("word_counts", pa.binary()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
+        ("words_size", pa.int64()), ("word_counts", pa.binary()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
         ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("before", pa.binary()),
         ("text", pa.binary()),
     ]
@@ -319,13 +332,11 @@ def _run_rows(run: int, held_pieces: list[tuple], depth: int, n: int) -> Iterato
         if len(places) or own:
             yield (
                 run, bucket, len(places), pack_sorted(keys[places]), pack(learned[places]),
-                len(own), pa.compress(b"\n".join(own), codec="zstd", asbytes=True),
-                pack(np.array([words[w] for w in own], "<i8")),
-                None, None, None, None, None, b"%d" % sum(map(len, own)),
+                *pack_words(own), pack(np.array([words[w] for w in own], "<i8")), *[None] * 6,
             )
     text = b"".join(t for _, t in pieces)
     yield (
-        run, -1, None, None, None, None, None, None,
+        run, -1, *[None] * 7,
         [p[0] for p in held_pieces], [p[1] for p in held_pieces], held.tolist(), sizes.tolist(),
         b"".join(b for b, _ in pieces), pa.compress(text, codec="zstd", asbytes=True),
     )
@@ -364,34 +375,55 @@ def list_runs(docs: DataFrame, depth: int, buckets: int, run_bytes: int) -> Data
 
 
 @dataclass(frozen=True)
-class Bucket:
-    """All runs' lists of one bucket, added up."""
+class Added:
+    """Lists of one bucket, added up."""
 
     keys: np.ndarray
     counts: np.ndarray
-    of_run: list[np.ndarray]  # the grams of each run
-    words: list[list[bytes]]  # the words of each run
-    word_counts: dict[bytes, int]
+    words: dict[bytes, int]
 
     @staticmethod
-    def of(group: pd.DataFrame) -> Bucket:
-        of_run, learned, words, totals = [], [], [], Counter()
-        for n, keys, counts, m, raw, word_counts, size in zip(
-            group["n_keys"], group["keys"], group["counts"], group["n_words"], group["words"],
-            group["word_counts"], group["text"], strict=True,
-        ):
-            of_run.append(unpack_sorted(keys, n))
-            learned.append(unpack(counts, n, "<i8"))
-            own = []
-            if m:
-                length = int(size) + m - 1
-                own = pa.decompress(raw, length, codec="zstd", asbytes=True).split(b"\n")
-                for word, c in zip(own, unpack(word_counts, m, "<i8").tolist(), strict=True):
-                    totals[word] += c
-            words.append(own)
-        keys, place = distinct(np.concatenate(of_run))
-        counts = np.bincount(place, np.concatenate(learned), len(keys)).astype(np.int64)
-        return Bucket(keys, counts, of_run, words, totals)
+    def of(group: pd.DataFrame) -> Added:
+        keys, learned, totals = [], [], Counter()
+        for row in group.itertuples():
+            keys.append(unpack_sorted(row.keys, row.n_keys))
+            learned.append(unpack(row.counts, row.n_keys, "<i8"))
+            words = unpack_words(row.n_words, row.words, row.words_size)
+            counts = unpack(row.word_counts, row.n_words, "<i8").tolist()
+            for word, c in zip(words, counts, strict=True):
+                totals[word] += c
+        every, place = distinct(np.concatenate(keys))
+        counts = np.bincount(place, np.concatenate(learned), len(every)).astype(np.int64)
+        return Added(every, counts, totals)
+
+
+_ADDED = (
+    "bucket int, part long, n_keys int, keys binary, counts binary, n_words int, words binary,"
+    " words_size long, word_counts binary"
+)
+
+
+def _add(group: pd.DataFrame) -> pd.DataFrame:
+    added = Added.of(group)
+    words = sorted(added.words)
+    n, data, size = pack_words(words)
+    row = (
+        group["bucket"].iloc[0], group["part"].iloc[0], len(added.keys), pack_sorted(added.keys),
+        pack(added.counts.astype("<i8")), n, data, size,
+        pack(np.array([added.words[w] for w in words], "<i8")),
+    )
+    names = [c.split()[0] for c in _ADDED.split(", ")]
+    return pd.DataFrame([row], columns=names)
+
+
+def add_up(lists: DataFrame, groups: int, fan_in: int) -> DataFrame:
+    """Lists of each bucket and ``part`` added up, until at most ``fan_in`` parts are left."""
+    added = stage(lists.groupBy("bucket", "part").applyInPandas(_add, _ADDED), "added")
+    while groups > fan_in:
+        groups = parts(groups, fan_in)
+        fewer = added.withColumn("part", F.pmod("part", F.lit(groups)))
+        added = stage(fewer.groupBy("bucket", "part").applyInPandas(_add, _ADDED), "added")
+    return added
 
 
 _SUMS = "context int, decision int, zeros long, ones long, children double, tokens long, types long"
@@ -399,7 +431,7 @@ _SUMS = "context int, decision int, zeros long, ones long, children double, toke
 
 def _sum_bucket(depth: int):
     def summed(group: pd.DataFrame) -> pd.DataFrame:
-        bucket = Bucket.of(group)
+        bucket = Added.of(group)
         levels, _, _ = build_levels(bucket.keys, bucket.counts, depth)
         last = levels[-1]
         up = ((last.key >> np.uint64(16)) << np.uint64(8)) | (last.key & np.uint64(255))
@@ -415,32 +447,53 @@ def _sum_bucket(depth: int):
                 "types": 0,
             }
         )
-        seen = [c for c in bucket.word_counts.values() if c]
+        seen = [c for c in bucket.words.values() if c]
         words = pd.DataFrame([(-1, -1, 0, 0, 0.0, sum(seen), len(seen))], columns=rows.columns)
         return pd.concat([rows, words])
 
     return summed
 
 
-def _answer_bucket(depth: int, top: Top):
-    def answered(group: pd.DataFrame) -> pd.DataFrame:
-        bucket = Bucket.of(group)
+_MODEL = (
+    "bucket int, n_keys int, keys binary, logs binary, n_words int, words binary,"
+    " words_size long, totals binary"
+)
+
+
+def _model_bucket(depth: int, top: Top):
+    def built(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = Added.of(group)
         levels, place, bit = build_levels(bucket.keys, bucket.counts, depth)
         # float32 keeps seven digits of each byte's logarithm; sums are float64.
         logs = log10_chances(bucket.keys, levels, place, bit, top, depth).astype("<f4")
-        totals = bucket.word_counts
-        return pd.DataFrame(
-            {
-                "run": group["run"].to_numpy(),
-                "bucket": group["bucket"].to_numpy(),
-                "logs": [logs[np.searchsorted(bucket.keys, k)].tobytes() for k in bucket.of_run],
-                "totals": [
-                    pack(np.array([totals[w] for w in words], "<i8")) for words in bucket.words
-                ],
-            }
-        )
+        words = sorted(bucket.words)
+        n, data, size = pack_words(words)
+        totals = pack(np.array([bucket.words[w] for w in words], "<i8"))
+        row = (
+            group["bucket"].iloc[0], len(bucket.keys), pack_sorted(bucket.keys), logs.tobytes(),
+            n, data, size, totals,
+        )
+        return pd.DataFrame([row], columns=[c.split()[0] for c in _MODEL.split(", ")])
+
+    return built
+
 
-    return answered
+def _answer(lists: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    """One number for each gram and each word of each run in a group."""
+    if not len(lists):  # a part that has no run with grams of the bucket
+        return pd.DataFrame([], columns=["run", "bucket", "logs", "totals"])
+    (model,) = models.itertuples()
+    keys = unpack_sorted(model.keys, model.n_keys)
+    logs = np.frombuffer(model.logs, "<f4")
+    words = unpack_words(model.n_words, model.words, model.words_size)
+    totals = dict(zip(words, unpack(model.totals, model.n_words, "<i8").tolist(), strict=True))
+    out = []
+    for row in lists.itertuples():
+        found = logs[np.searchsorted(keys, unpack_sorted(row.keys, row.n_keys))]
+        own = unpack_words(row.n_words, row.words, row.words_size)
+        counts = pack(np.array([totals[w] for w in own], "<i8"))
+        out.append((row.run, row.bucket, found.tobytes(), counts))
+    return pd.DataFrame(out, columns=["run", "bucket", "logs", "totals"])
 
 
 _SCORES = (
@@ -513,11 +566,16 @@ def context_tree_scores(
     """
     buckets = min(MOST_BUCKETS, parts(text_bytes(docs), bucket_bytes))
     runs = list_runs(docs, depth, buckets, run_bytes)
+    # A run's list of a bucket is the smaller, the more buckets there are.
+    fan_in = max(FAN_IN, buckets)
+    groups = parts(runs.filter("bucket = -1").count(), fan_in)
     lists = runs.filter("bucket >= 0").select(
-        "run", "bucket", "n_keys", "keys", "counts", "n_words", "words", "word_counts", "text"
-    )
+        "run", "bucket", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("part"), "n_keys", "keys",
+        "counts", "n_words", "words", "words_size", "word_counts",
+    )
+    added = add_up(lists, groups, fan_in)
     sums = (
-        lists.groupBy("bucket")
+        added.groupBy("bucket")
         .applyInPandas(_sum_bucket(depth), _SUMS)
         .groupBy("context", "decision")
         .agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "children", "tokens", "types")))
@@ -534,9 +592,14 @@ def context_tree_scores(
     # Every document has one end, in its last piece.
     learned = docs.filter(remainder("doc_id", FOLDS) != HELD_OUT).count()
     tokens, types = tokens + learned, types + (learned > 0)
-    answers = lists.groupBy("bucket").applyInPandas(
-        _answer_bucket(depth, Top.of(zeros, ones, children)),
-        "run long, bucket int, logs binary, totals binary",
+    top = Top.of(zeros, ones, children)
+    models = stage(added.groupBy("bucket").applyInPandas(_model_bucket(depth, top), _MODEL), "models")
+    each_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    answers = (
+        lists.select("run", "bucket", "part", "n_keys", "keys", "n_words", "words", "words_size")
+        .groupBy("bucket", "part")
+        .cogroup(models.withColumn("part", each_part).groupBy("bucket", "part"))
+        .applyInPandas(_answer, "run long, bucket int, logs binary, totals binary")
     )
     texts = runs.filter("bucket = -1").select("run", "uids", "ids", "held", "sizes", "before", "text")
     scored = (
