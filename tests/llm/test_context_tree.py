@@ -107,6 +107,13 @@ def test_against_the_definition(corpus, depth, run_bytes, bucket_bytes):
     compare(got.collect(), expected(rows, depth))
 
 
+def test_groups_of_groups(corpus, monkeypatch):
+    monkeypatch.setattr(C, "FAN_IN", 2)
+    rows = texts(8, 80)
+    got = C.context_tree_scores(corpus(rows), depth=3, run_bytes=60, bucket_bytes=10**9)
+    compare(got.collect(), expected(rows, 3))
+
+
 def test_edges(corpus):
     rows = [(i, t[:3000] if t else t) for i, t in EDGES]
     compare(C.context_tree_scores(corpus(rows), run_bytes=500).collect(), expected(rows, C.DEPTH))
