@@ -32,6 +32,7 @@ TASK_BYTES = 256 << 20
 # a time, as bytes, as text and as strings. Larger files are read in ranges of RANGE_BYTES.
 CELL_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
+RANGES_PER_TASK = 16
 # Spark's limit for a value.
 _MOST_BYTES = (1 << 31) - (1 << 20)
 _BLOCK = 1 << 20
@@ -72,7 +73,7 @@ def spread_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame
     place = F.split(table[kind], ",")
     share = F.pmod(F.xxhash64("path"), place[1].cast("long"))
     dealt = files.withColumn("_task", (place[0].cast("long") + share).cast("int"))
-    return dealt.repartitionByRange(at, "_task").drop("_task")
+    return dealt.repartitionById(at, "_task").drop("_task")
 
 
 def _failure(step: str, call: str, path: str, cause: OSError) -> str:
@@ -268,8 +269,12 @@ def read_pieces(
                     [dict(zip(_PIECES.names, (path, start, *found)))], _PIECES
                 )
 
-    tasks = ranges.select("path", "start", "end").repartition("path", "start")
-    return tasks.mapInArrow(
+    # Thin rows would be coalesced into one task if their number were left to Spark.
+    n = ranges.count()
+    parallelism = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max(2 * parallelism, n // RANGES_PER_TASK)))
+    dealt = ranges.select("path", "start", "end").repartition(tasks, "path", "start")
+    return dealt.mapInArrow(
         read_all, "path string, start long, content binary, last boolean, error string"
     )
 
