@@ -6,17 +6,22 @@ candidates if at most ``RADIUS`` positions differ. Cut into ``CHUNKS`` chunks, s
 has, by pigeonhole, a chunk with at most ``RADIUS // CHUNKS`` = 1 error; so a signature is
 filed, for each chunk and each position left out of it, under the values of the rest of the
 chunk, and every pair within the radius meets in a bucket. (At similarity 0.75 a pair has 16
-differing positions on average and more than 31 once in some 60,000 times.)
+differing positions on average and more than 31 once in some 60,000 times.) A second, wider
+signature of ``WIDE`` one-byte minima, within ``WIDE_RADIUS`` by the same measure, spares
+most pairs that are not similar enough.
 
 Only components are asked for, so a bucket's pairs are never written out. Its members are
 first linked to its smallest member, then, where more than one component is left, to its
 largest, and at last members of different components are compared in blocks, by signature;
-only pairs within the radius leave the block. Every link is confirmed on the full sets.
+only pairs within both radii leave a block, each from the first bucket it shares. A block
+with more such pairs than members does not write them out: it is compared once more with the
+full sets beside it, and only its links leave it. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,14 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecorpus.llm.common import batches_of, query, slices, table
+from filecorpus.llm.common import batches_of, parts, query, slices, table
 from filecorpus.staging import stage
 
 WORDS = 5
 PERCENT = 75
 POSITIONS, CHUNKS = 64, 16
 RADIUS = 31
+WIDE, WIDE_RADIUS = 256, 96
 BLOCK, MEMBERS = 2048, 65_536
+BLOCK_SHINGLES = 4 << 20
+PAIRS_AT_ONCE = 16_384
+DENSE = 256
+ROWS_PER_TASK = 20_000
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values: a 64-bit finaliser
 
@@ -43,6 +53,7 @@ def _odd_numbers(seed: int, n: int) -> np.ndarray:
 
 _BY_WORD = _odd_numbers(1, WORDS)
 _XOR, _TIMES = _odd_numbers(2, POSITIONS), _odd_numbers(3, POSITIONS)
+_WIDE_XOR, _WIDE_TIMES = (_odd_numbers(s, WIDE).astype(np.uint32) for s in (4, 5))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,9 +86,13 @@ def set_id(hashes: np.ndarray) -> bytes:
     return first.tobytes() + second.tobytes()
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The low 16 bits of each position's minimum [set, position]; empty sets have zeros."""
-    out = np.zeros((len(sets), POSITIONS), np.uint16)
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Low bits of each position's minimum [set, position], of both signatures.
+
+    Empty sets have zeros.
+    """
+    narrow = np.zeros((len(sets), POSITIONS), np.uint16)
+    wide = np.zeros((len(sets), WIDE), np.uint8)
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
@@ -85,8 +100,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         for k in range(POSITIONS):
             least = np.minimum.reduceat((every ^ _XOR[k]) * _TIMES[k], starts)
-            out[full, k] = least & np.uint64(0xFFFF)
-    return out
+            narrow[full, k] = least & np.uint64(0xFFFF)
+        every = (every >> np.uint64(32)).astype(np.uint32)
+        for k in range(WIDE):
+            least = np.minimum.reduceat((every ^ _WIDE_XOR[k]) * _WIDE_TIMES[k], starts)
+            wide[full, k] = least & np.uint32(0xFF)
+    return narrow, wide
 
 
 def bucket_keys(signature: np.ndarray) -> np.ndarray:
@@ -103,8 +122,23 @@ def bucket_keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, POSITIONS)
+def first_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The first bucket (its place in ``bucket_keys``) that the signatures of each pair share."""
+    size = POSITIONS // CHUNKS
+    same = (left == right).reshape(-1, CHUNKS, size)
+    chunk = (same.sum(axis=2) >= size - 1).argmax(axis=1)
+    return chunk * size + same[np.arange(len(same)), chunk].argmin(axis=1)
+
+
+def _matrix(column: pa.Array, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def _signatures_of(batch: pa.RecordBatch, side: str = "") -> tuple[np.ndarray, np.ndarray]:
+    return (
+        _matrix(batch.column(f"signature{side}"), "<u2", POSITIONS),
+        _matrix(batch.column(f"wide{side}"), "u1", WIDE),
+    )
 
 
 _SIGNED = pa.schema(
@@ -114,12 +148,13 @@ _SIGNED = pa.schema(
         ("n_shingles", pa.int64()),
         ("set_id", pa.binary()),
         ("signature", pa.binary()),
+        ("wide", pa.binary()),
     ]
 )
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, set_id, signature`` of every row of ``doc_id, text``."""
+    """``doc_id, text_hash, n_shingles, set_id, signature, wide`` of every row of ``doc_id, text``."""
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -130,7 +165,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in signatures(sets)], pa.binary()),
+                    *(pa.array([s.tobytes() for s in x], pa.binary()) for x in signatures(sets)),
                 ],
                 schema=_SIGNED,
             )
@@ -139,49 +174,60 @@ def sign(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")
     )
     return chosen.mapInArrow(
-        signed, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary"
+        signed,
+        "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, wide binary",
     )
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """``key, node`` of every class in a bucket with others."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """``key, slot, node`` of every class in a bucket with others; ``slot`` tells its kind."""
+    schema = pa.schema([("key", pa.int64()), ("slot", pa.int8()), ("node", pa.int64())])
 
     def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
-            keys = bucket_keys(_matrix(batch.column("signature")))
+            keys = bucket_keys(_matrix(batch.column("signature"), "<u2", POSITIONS))
+            slots = np.tile(np.arange(keys.shape[1], dtype=np.int8), len(keys))
             nodes = np.repeat(batch.column("node").to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(nodes)], schema=schema
+                list(map(pa.array, (keys.ravel(), slots, nodes))), schema=schema
             )
 
-    keys = classes.select("node", "signature").mapInArrow(filed, "key long, node long")
+    keys = classes.select("node", "signature").mapInArrow(filed, "key long, slot byte, node long")
     several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     return keys.join(several, "key")
 
 
 def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose signatures and set sizes allow a link."""
-    known = classes.select("node", "n_shingles", "signature")
     both = pairs
     for side in "ab":
-        renamed = [F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "signature")]
-        both = both.join(known.select(F.col("node").alias(side), *renamed), side)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        renamed = [F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "signature", "wide")]
+        both = both.join(classes.select(F.col("node").alias(side), *renamed), side)
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8192):
-            left, right = (_matrix(batch.column(f"signature_{side}")) for side in "ab")
+        for batch in slices(batches, 4096):
             sizes = [batch.column(f"n_shingles_{side}").to_numpy() for side in "ab"]
-            good = _close(left, right, *sizes)
-            yield batch.select(["a", "b"]).cast(schema).filter(pa.array(good))
+            (left, left_wide), (right, right_wide) = (_signatures_of(batch, f"_{s}") for s in "ab")
+            good = _close(left, right, RADIUS) & _close(left_wide, right_wide, WIDE_RADIUS)
+            yield batch.select(["a", "b"]).filter(pa.array(good & _alike(*sizes)))
 
     return both.mapInArrow(near, "a long, b long")
 
 
-def _close(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    few = (left != right).sum(axis=-1) <= RADIUS
-    return few & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+def _close(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    return (left != right).sum(axis=-1) <= radius
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of such sizes can have the similarity."""
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, sorted, have the similarity."""
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,9 +240,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in slices(batches):
             good = []
             for left, right in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                good.append(_linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(linked, "a long, b long")
@@ -261,7 +305,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with their ``component``."""
     own = F.coalesce("component", F.col("node")).alias("component")
-    known = members.join(labels, "node", "left").select("key", "node", own)
+    known = members.join(labels, "node", "left").select("key", "slot", "node", own)
     several = (
         known.groupBy("key")
         .agg(F.min("component").alias("c"), F.max("component").alias("d"))
@@ -282,83 +326,158 @@ def _to_hub(members: DataFrame, hub: str) -> DataFrame:
     ).distinct()
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within the radius of members of a bucket in different components.
+def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows ``group, role, slot, node, component, n_shingles`` of blocks to be compared.
 
-    Members outside the component that has most of a bucket are dealt into blocks of about
-    ``BLOCK``, and every member meets every block of its bucket; so a bucket's work is split
-    over as many tasks as it needs, and a bucket of one large component costs little.
+    Members outside the component that has most of a bucket are dealt into blocks, bounded in
+    number and in the size of their sets (role 0), and every member (role 1) meets every block
+    of its bucket; so a bucket's work is split over as many tasks as it needs, and a bucket of
+    one large component costs little.
     """
-    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sized = members.join(classes.select("node", "n_shingles"), "node")
+    counts = sized.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")
+    )
     buckets = counts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"),
-        F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("blocks"),
+        F.greatest(
+            F.ceil((F.sum("n") - F.max("n")) / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)
+        ).alias("blocks"),
         F.ceil(F.sum("n") / MEMBERS).alias("shares"),
     )
-    known = (
-        members.join(buckets, "key")
-        .join(classes.select("node", "n_shingles", "signature"), "node")
-        .withColumn("dealt", F.xxhash64("node"))
-    )
+    known = sized.join(buckets, "key").withColumn("dealt", F.xxhash64("node"))
     own_block, own_share = (F.pmod("dealt", F.col(c)) for c in ("blocks", "shares"))
     numbers = {c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)) for c in ("blocks", "shares")}
-    kept = ["key", "node", "component", "n_shingles", "signature"]
+    kept = ["slot", "node", "component", "n_shingles"]
     asked = known.filter("component <> main").select(
-        *kept, own_block.alias("block"), numbers["shares"].alias("share"), F.lit(0).alias("role")
+        "key", *kept, own_block.alias("block"), numbers["shares"].alias("share"), F.lit(0).alias("role")
     )
     met = known.select(
-        *kept, numbers["blocks"].alias("block"), own_share.alias("share"), F.lit(1).alias("role")
+        "key", *kept, numbers["blocks"].alias("block"), own_share.alias("share"), F.lit(1).alias("role")
     )
-    rows = asked.unionByName(met).select(
-        F.xxhash64("key", "block", "share").alias("group"), "role", *kept[1:]
+    return asked.unionByName(met).select(
+        F.xxhash64("key", "block", "share").alias("group"), "role", *kept
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, asked = None, []
-        for batch in slices(batches, 4096):
-            group, role, node, component, size = (
-                batch.column(c).to_numpy()
-                for c in ("group", "role", "node", "component", "n_shingles")
-            )
-            signature = _matrix(batch.column("signature"))
-            edges = np.flatnonzero(np.diff(group)) + 1
-            pairs = []
-            for a, b in zip([0, *edges], [*edges, len(group)], strict=True):
-                if group[a] != current:
-                    current, asked = group[a], []
-                first_met = a + int(np.searchsorted(role[a:b], 1))
-                rows = (node, component, size, signature)
-                if first_met > a:
-                    asked.append([x[a:first_met].copy() for x in rows])
-                for who, of, n, marks in asked:
-                    # A few at a time, so that the comparison fits in the cache.
-                    for i in range(first_met, b, 64):
-                        j = min(i + 64, b)
-                        close = _close(
-                            marks[:, None], signature[None, i:j], n[:, None], size[None, i:j]
-                        )
-                        x, y = np.nonzero(close & (of[:, None] != component[None, i:j]))
-                        pairs.append(np.stack([who[x], node[i:j][y]]))
-            if pairs:
-                found = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), schema=schema)
 
-    return (
-        rows.repartition("group")
-        .sortWithinPartitions("group", "role")
-        .mapInArrow(compared, "a long, b long")
-        .distinct()
+@dataclass
+class _Group:
+    """The block being compared, and the pairs that it has so far."""
+
+    number: int | None = None
+    asked: list[list[np.ndarray]] = field(default_factory=list)
+    pairs: list[np.ndarray] = field(default_factory=list)
+    n_asked: int = 0
+    n_pairs: int = 0
+
+    def dense(self) -> bool:
+        return self.n_pairs > max(DENSE, self.n_asked)
+
+
+def _compare(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[tuple[_Group, bool]]:
+    """The group, after each of its parts; the flag says that it is complete.
+
+    Rows come by group and role. With ``whole`` they have the full sets, and pairs are links.
+    """
+    group = _Group()
+    for batch in slices(batches, 1024):
+        numbers, role, slot, node, component, size = (
+            batch.column(c).to_numpy()
+            for c in ("group", "role", "slot", "node", "component", "n_shingles")
+        )
+        signature, wide = _signatures_of(batch)
+        sets = np.empty(len(node), object)
+        if whole:
+            sets[:] = [np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column("hashes")]
+        rows = (node, component, size, signature, wide, sets)
+        edges = np.flatnonzero(np.diff(numbers)) + 1
+        for a, b in zip([0, *edges], [*edges, len(numbers)], strict=True):
+            if numbers[a] != group.number:
+                yield group, True
+                group = _Group(numbers[a])
+            met = a + int(np.searchsorted(role[a:b], 1))
+            if met > a:
+                held = [x[a:met].copy() for x in rows]
+                held[-1][:] = [x.copy() if whole else None for x in held[-1]]
+                group.asked.append(held)
+                group.n_asked += met - a
+            for who, of, n, marks, more, full in group.asked:
+                # So many at a time that the comparison fits in the cache.
+                step = max(1, PAIRS_AT_ONCE // len(who))
+                for i in range(met, b, step):
+                    if group.dense() and not whole:
+                        break
+                    j = min(i + step, b)
+                    near = _close(marks[:, None], signature[None, i:j], RADIUS)
+                    near &= _alike(n[:, None], size[None, i:j])
+                    x, y = np.nonzero(near & (of[:, None] != component[None, i:j]))
+                    y += i
+                    good = _close(more[x], wide[y], WIDE_RADIUS)
+                    good &= first_slots(marks[x], signature[y]) == slot[y]
+                    x, y = x[good], y[good]
+                    if whole:
+                        linked = [_linked(full[p], sets[q]) for p, q in zip(x, y, strict=True)]
+                        x, y = x[linked], y[linked]
+                    group.pairs.append(np.sort(np.stack([who[x], node[y]]), axis=0))
+                    group.n_pairs += len(x)
+            yield group, False
+    yield group, True
+
+
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates ``a, b``, and links ``a, b``, of bucket members in different components."""
+    rows = stage(_blocks(members, classes), "blocks")
+    marks = classes.select("node", "signature", "wide")
+
+    # Rows are few for the work they make, so their number says how many tasks there are.
+    tasks = parts(rows.count(), ROWS_PER_TASK)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "group").sortWithinPartitions("group", "role")
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.int64())])
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, over in _compare(batches, whole=False):
+            if group.dense():
+                group.pairs = []
+            if over and group.n_pairs:
+                if group.dense():
+                    a, b, dense = [None], [None], [group.number]
+                else:
+                    (a, b), dense = np.concatenate(group.pairs, axis=1), None
+                    dense = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dense, pa.int64())],
+                    schema=schema,
+                )
+
+    found = stage(
+        dealt(rows.join(marks, "node")).mapInArrow(compared, "a long, b long, dense long"), "found"
     )
+    dense = found.filter("dense is not null").select(F.col("dense").alias("group"))
+    again = rows.join(dense, "group").join(marks, "node").join(sets, "node")
+
+    def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _ in _compare(batches, whole=True):
+            if group.n_pairs:
+                a, b = np.concatenate(group.pairs, axis=1)
+                group.pairs, group.n_pairs = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    candidates = found.filter("dense is null").select("a", "b").distinct()
+    return candidates, dealt(again).mapInArrow(linked, "a long, b long")
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
 
-    ``component_id`` is the smallest id that links reach (a null id is no id), ``kept`` says
-    that it is the row's own. Texts that are null or have no word are linked with nothing and
-    are their own component. Rows that share id and text give equal rows; rows that share an
-    id only are separate documents. An empty table gives no row. Other columns are ignored.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component, component_id, kept`` for ``doc_id, text``.
+
+    One row for every row. ``component_id`` is the smallest id that links reach (a null id is
+    no id), ``kept`` says that it is the row's own; ``component`` is a number of the component
+    (null for texts without words), which tells those apart whose smallest ids are equal or
+    null. Texts that are null or have no word are linked with nothing and are their own
+    component. Rows that share id and text give equal rows; rows that share an id only are
+    separate documents. An empty table gives no row. Other columns are ignored.
     """
     signed = stage(sign(docs), "signed")
     classes = stage(
@@ -368,6 +487,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("rep"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
+            F.first("wide").alias("wide"),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
@@ -375,27 +495,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(shared_buckets(classes), "members")
     nodes = members.select("node").distinct().join(classes.select("node", "rep", "set_id"), "node")
     sets = stage(full_sets(docs, nodes), "sets")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = components(links)
+    labels = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in ("min", "max", "rest"):
         apart = stage(_labelled(members, labels), "apart")
         if not apart.head(1):
             break
         if round_ == "rest":
-            pairs = _across(apart, classes)
+            pairs, sure = _across(apart, classes, sets)
+            found = stage(confirmed(stage(pairs, "pairs"), sets).unionByName(sure), "links")
         else:
             pairs = within_radius(_to_hub(apart, round_), classes)
-        found = stage(confirmed(stage(pairs, "pairs"), sets), "links")
-        links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        labels = components(links)
+            found = stage(confirmed(stage(pairs, "pairs"), sets), "links")
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known.unionByName(found))
     of_class = classes.join(labels, "node", "left").select(
         "set_id", "rep", F.coalesce("component", F.col("node")).alias("component")
     )
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = of_class.join(smallest, "component").select("set_id", "component_id")
+    of_set = of_class.join(smallest, "component").select("set_id", "component", "component_id")
     full = signed.filter("n_shingles > 0").join(of_set, "set_id")
-    empty = signed.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    chosen = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    empty = signed.filter("n_shingles = 0").withColumns(
+        {"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}
+    )
+    chosen = ["doc_id", "text_hash", "n_shingles", "component", "component_id"]
     return (
         full.select(*chosen)
         .unionByName(empty.select(*chosen))
@@ -408,16 +530,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Texts without words are no group, so all their rows stay, but for equal ones.
     """
-    kept = near_duplicates(docs).filter("kept")
+    kept = stage(near_duplicates(docs).filter("kept"), "kept")
     # Rows that share an id may be linked: one of them stays.
     one = F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("text_hash"))
-    chosen = kept.groupBy("doc_id", "component_id", one.alias("one")).agg(
+    chosen = kept.groupBy("doc_id", "component", one.alias("one")).agg(
         F.min("text_hash").alias("hash")
     )
     chosen = chosen.select(F.col("doc_id").alias("kept_id"), "hash")
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     same = rows["doc_id"].cast("long").eqNullSafe(chosen["kept_id"]) & (rows["__hash"] == chosen["hash"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    found = rows.join(chosen, same, "left_semi")
+    # Only if rows are repeated need whole rows meet once more.
+    if kept.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1):
+        found = found.dropDuplicates(["doc_id", "__hash"])
+    return found.drop("__hash")
 
 
 @query()
