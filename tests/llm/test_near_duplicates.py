@@ -88,9 +88,10 @@ def test_edges(edges):
     assert found(edges.filter("text is null")) == expected([r for r in EDGES if r[1] is None])
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_all_pairs(corpus, seed):
+@pytest.mark.parametrize("seed, dense", [(0, 256), (1, 0), (2, 3)])
+def test_against_all_pairs(corpus, monkeypatch, seed, dense):
     """Chains of edits, a hot group of near copies, a passage that many texts share."""
+    monkeypatch.setattr(N, "DENSE", dense)
     r = random.Random(seed)
     passage = [f"p{i}" for i in range(60)]
     base = [f"h{i}" for i in range(150)]
@@ -108,8 +109,10 @@ def test_against_all_pairs(corpus, seed):
     assert found(corpus(texts)) == expected(texts)
 
 
-def test_blocks_and_shares_find_what_hubs_miss(corpus, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 256])
+def test_blocks_and_shares_find_what_hubs_miss(corpus, monkeypatch, dense):
     """Small blocks, so that a bucket is split; the smallest and largest are linked with nothing."""
+    monkeypatch.setattr(N, "DENSE", dense)
     monkeypatch.setattr(N, "BLOCK", 3)
     monkeypatch.setattr(N, "MEMBERS", 7)
     r = random.Random(9)
@@ -122,6 +125,18 @@ def test_blocks_and_shares_find_what_hubs_miss(corpus, monkeypatch):
     assert found(corpus(texts)) == expected(texts)
 
 
+@pytest.mark.parametrize("dense", [0, 256])
+def test_near_copies_that_are_hardly_links(corpus, monkeypatch, dense):
+    """Texts whose similarity is about the least one: some links, most pairs none."""
+    monkeypatch.setattr(N, "DENSE", dense)
+    r = random.Random(5)
+    base = [f"h{i}" for i in range(200)]
+    texts = [(i + 1, " ".join(edited(r, base, 0.016))) for i in range(120)]
+    want = expected(texts)
+    assert 3 < len({c for _, _, c in want}) < 110
+    assert found(corpus(texts)) == want
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(2)
     chain = list(range(100, 160))
