@@ -49,7 +49,8 @@ def fingerprints(rows: DataFrame, texts: list[str], outputs: list[str]) -> DataF
     """Replace each column of ``texts`` by its fingerprint, 32 hexadecimal digits.
 
     A null text counts as empty, and all texts without words share a fingerprint. Rows stay
-    apart even if they are equal.
+    apart even if they are equal. Rows that are already dealt out by some of the other columns
+    are not moved.
     """
     row, place, each = "__row", "__text", "__term"
     others = [c for c in rows.columns if c not in texts]
@@ -175,33 +176,48 @@ def next_ids(docs: DataFrame, *, part_rows: int = ID_PART_ROWS) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, following: DataFrame) -> DataFrame:
-    """``doc_id, text, next_id, n_chars, edited``: each text with its last quarter replaced.
+    """``doc_id, text, next_id, n_chars, edited`` and the columns of ``KEY``.
 
-    The quarter (rounded down) gives way to as many first characters of the next document's
-    text, or to all of it if it is shorter. Rows that share an id are followed by the same
+    ``edited`` is the text with its last quarter (rounded down) replaced by as many first
+    characters of the next document's text, or by all of it if it is shorter. Rows that share an id are followed by the same
     document, and where several rows share the next id, the smallest beginning counts.
     """
+    # The same columns on both ways, so that both share one shuffle.
     texts = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        *_plain_key(F.col("doc_id")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
+    doc_id = F.when(~F.col(KEY[1]), F.col(KEY[0])).alias("doc_id")
     # Of the next text only what the edit needs goes on.
     wanted = following.select(
-        F.col("doc_id").alias("to_id"), F.col("next_id"), F.floor(F.col("n_chars") / 4).alias("n")
+        F.col("doc_id").alias("to_id"),
+        F.col("next_id"),
+        F.floor(F.col("n_chars") / 4).alias("n"),
+        *_plain_key(F.col("next_id")),
     )
     beginnings = (
-        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("next_id")))
+        texts.join(wanted, KEY)
         .select("to_id", "next_id", F.expr("substring(text, 1, cast(n as int))").alias("beginning"))
         .groupBy("to_id", "next_id")
         .agg(F.min("beginning").alias("beginning"))
+        .select(*_plain_key(F.col("to_id")), "next_id", "beginning")
     )
-    joined = texts.join(beginnings, F.col("doc_id").eqNullSafe(F.col("to_id")))
+    joined = texts.join(beginnings, KEY)
     counted = joined.withColumn("n_chars", F.char_length("text").cast("long")).withColumn(
         "taken", F.floor(F.col("n_chars") / 4).cast("int")
     )
     edited = F.expr(
         "concat(substring(text, 1, cast(n_chars - taken as int)), substring(beginning, 1, taken))"
     )
-    return counted.select("doc_id", "text", "next_id", "n_chars", edited.alias("edited"))
+    return counted.select(*KEY, doc_id, "text", "next_id", "n_chars", edited.alias("edited"))
+
+
+# The columns by which rows with an id, null or not, meet. They stay with the rows, so what is
+# grouped by them and more needs no further shuffle.
+KEY = ["__id", "__no_id"]
+
+
+def _plain_key(doc_id: Column) -> list[Column]:
+    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias(KEY[0]), doc_id.isNull().alias(KEY[1])]
 
 
 def within_radius(
@@ -242,9 +258,27 @@ def within_radius(
     )
 
 
+def near_counts(documents: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
+    """``fingerprint, n_near`` of the queries: the documents within the radius, all counted.
+
+    Both inputs have a column ``fingerprint``. Copies are counted before anything is joined.
+    """
+    copies = documents.groupBy(F.col("fingerprint").alias("b")).agg(F.count("*").alias("n"))
+    return (
+        within_radius(queries, copies.select(F.col("b").alias("fingerprint")), radius)
+        .join(copies, "b")
+        .groupBy(F.col("a").alias("fingerprint"))
+        .agg(F.sum("n").alias("n_near"))
+    )
+
+
 @query()
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, and its likeness to an edited and to the next text."""
+    """Every document's fingerprint, and its likeness to an edited and to the next text.
+
+    Documents whose id is divisible by 50 also have the number of other documents whose
+    fingerprint differs in at most three bits.
+    """
     docs = table(spark, sf_dir, "documents")
     rows = with_edits(docs, next_ids(docs)).withColumn("edited_sha256", F.sha2("edited", 256))
     printed = stage(
@@ -254,12 +288,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_next = printed.groupBy(F.col("doc_id").alias("id")).agg(
         F.min("fingerprint").alias("next_fingerprint")
     )
-    return printed.join(of_next, F.col("next_id").eqNullSafe(F.col("id"))).select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    asked = F.col("doc_id") % 50 == 0
+    near = near_counts(printed, printed.filter(asked).select("fingerprint"))
+    # Only the documents that ask meet their counts.
+    own = printed.filter(asked).select("doc_id", "fingerprint").join(near, "fingerprint")
+    own = own.groupBy(F.col("doc_id").alias("asked_id"), F.col("fingerprint").alias("asked")).agg(
+        (F.max("n_near") - 1).alias("n_near")
+    )
+    return (
+        printed.join(of_next, F.col("next_id").eqNullSafe(F.col("id")))
+        .join(
+            own, (F.col("doc_id") == F.col("asked_id")) & (F.col("fingerprint") == F.col("asked")), "left"
+        )
+        .select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
+            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+            likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+            "n_near",
+        )
     )
