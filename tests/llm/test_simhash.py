@@ -97,6 +97,10 @@ def test_query(spark):
         k = len(own) // 4
         edited = own[: len(own) - k] + after[:k]
         assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    prints_ = [int(r["fingerprint"], 16) for r in rows]
+    for r in rows:
+        near = sum((p ^ int(r["fingerprint"], 16)).bit_count() <= 3 for p in prints_) - 1
+        assert r["n_near"] == (near if r["doc_id"] % 50 == 0 else None)
     apart = [r for r in rows if r["n_chars"] > 200]
     assert sum(r["near_edited"] > r["near_next"] for r in apart) > 0.99 * len(apart)
 
