@@ -242,14 +242,16 @@ def within_radius(
             )
         )
         cut = [F.substring("bits", a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-        keys = F.array(*(F.concat(F.lit(f"{t}:"), *(cut[i] for i in c)) for t, c in enumerate(choices)))
+        keys = F.array(*(F.xxhash64(F.lit(t), *(cut[i] for i in c)) for t, c in enumerate(choices)))
         return distinct.withColumn("bits", bits).select(
             F.col("fingerprint").alias(name), F.explode(keys).alias("block")
         )
 
     distance = differing_bits(F.col("a"), F.col("b"))
+    # Spark knows the size before rows are multiplied, and might broadcast by that.
     return (
         tables(queries, "a")
+        .hint("merge")
         .join(tables(fingerprints_, "b"), "block")
         .withColumn("distance", distance)
         .filter(F.col("distance") <= radius)
