@@ -7,7 +7,7 @@ again, and all but the last return the columns of documents:
 2. quality classifier: documents that score under 0.7 go
 3. near-duplicates: one document of each group stays
 4. mixing: the rows come in the order of the mix, from file to file and row to row
-5. packing: pieces of at most 1024 tokens in sequences, dealt in that order
+5. packing: pieces of at most 1024 tokens in sequences that follow that order
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids, sequence and offset."""
+    """Pieces with their ids, sequence, offset and place in the order of the mix."""
     return packing.pack_documents(
         docs, public_tokenizers.path(packing.BYTE_TOKENIZER), place=_place(docs)
     )

@@ -5,10 +5,14 @@ own; the rest is packed by repeating one step: take the longest piece left, find
 subset-sum over the lengths left the combination that fills the sequence most, and remove
 it, as many times over as the pieces allow. Only lengths matter for that, so a shard of
 pieces is solved on a histogram of at most ``capacity`` counts.
+
+Pieces that have an order are solved ``WINDOW`` at a time, and of the combinations found the
+one that holds the earliest piece left is made next, of the earliest pieces of its lengths.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +28,7 @@ from filecorpus.staging import stage
 
 CAPACITY = 1024
 SHARD_PIECES = 131_072
+WINDOW = 8192
 END_ID = 2
 PIECES_KEPT = 700_000
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -160,50 +165,92 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return sequence, place
 
 
+def pack_in_order(
+    lengths: np.ndarray, capacity: int, window: int = WINDOW
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and place of each length, where sequences follow the order given.
+
+    The earliest piece left is always in the next sequence, and the others in it are of the
+    same ``window`` short pieces, the earliest of their lengths. Full pieces come at their
+    place in the order.
+    """
+    sizes = lengths.tolist()
+    sequence, place = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64)
+    # A window ends where the next one's first short piece is.
+    first = np.flatnonzero(lengths < capacity)[::window]
+    starts = [0, *first[1:].tolist()]
+    made = 0
+    for start, end in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        waiting, having = defaultdict(deque), defaultdict(list)
+        for i in range(start, end):
+            waiting[sizes[i]].append(i)
+        counts = np.bincount(lengths[start:end], minlength=capacity + 1)
+        found = list(combinations(counts, capacity))
+        left = [repeats for _, repeats in found]
+        for k, (content, _) in enumerate(found):
+            for length, _ in content:
+                having[length].append(k)
+        for i in range(start, end):
+            if sequence[i] >= 0:
+                continue
+            of = having[sizes[i]]
+            while not left[of[-1]]:
+                of.pop()
+            left[of[-1]] -= 1
+            offset = 0
+            for length, times in found[of[-1]][0]:
+                for _ in range(times):
+                    j = waiting[length].popleft()
+                    sequence[j], place[j] = made, offset
+                    offset += length
+            made += 1
+    return sequence, place
+
+
 def pack(
     pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` from 1 to ``capacity``.
 
-    Pieces are staged once with a row number, so repeated rows stay apart. Short pieces are
-    dealt in the order of ``place`` (then of that number) into shards of about
-    ``shard_pieces``, each packed on its own: no shard leaves more than its last few
-    sequences unfilled, none grows with the data, and sequence ids of short pieces follow
-    the order from shard to shard. Only numbers move for that; ``ids`` and other columns
-    are joined back by row number.
+    Pieces are staged once with a row number, so repeated rows stay apart. They are dealt in
+    ranges into shards of about ``shard_pieces``, each packed on its own: no shard leaves
+    more than its last few sequences unfilled, and none grows with the data. Only numbers
+    move for that; ``ids`` and other columns are joined back by row number.
+
+    With a column ``place`` the ranges are of ``place`` (then of that number), and sequence
+    ids follow that order, full pieces included (``pack_in_order``). Without one the order is
+    free, and full pieces need not be dealt.
     """
     number, of_number, of_place = "__row", "sequence_id", "offset"
-    kept = [c for c in pieces.columns if c not in (of_number, of_place, "place")]
-    place = F.col("place") if "place" in pieces.columns else F.lit(None).cast("long")
-    numbered = pieces.select(
-        *kept, place.alias("__place"), F.monotonically_increasing_id().alias(number)
-    )
-    rows = stage(numbered, "pieces")
-    short = rows.filter(F.col("length") < capacity).select("__place", number, "length")
-    shards = parts(short.count(), shard_pieces)
+    kept = [c for c in pieces.columns if c not in (of_number, of_place)]
+    ordered = "place" in kept
+    rows = stage(pieces.select(*kept, F.monotonically_increasing_id().alias(number)), "pieces")
+    dealt = rows if ordered else rows.filter(F.col("length") < capacity)
+    order = ["place", number] if ordered else [number]
+    shards = parts(dealt.count(), shard_pieces)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(frames)
         if held:
             group = pd.concat(held)
-            sequence, place = pack_lengths(group["length"].to_numpy(), capacity)
+            lengths = group["length"].to_numpy()
+            sequence, place = (pack_in_order if ordered else pack_lengths)(lengths, capacity)
             first = TaskContext.get().partitionId() << 32
             yield pd.DataFrame(
                 {number: group[number], of_number: first + sequence, of_place: place}
             )
 
-    placed = short.repartitionByRange(shards, "__place", number).mapInPandas(
-        solve, f"{number} long, {of_number} long, {of_place} long"
-    )
+    ranged = dealt.select(*order, "length").repartitionByRange(shards, *order)
+    if ordered:
+        ranged = ranged.sortWithinPartitions(*order).drop("place")
+    placed = ranged.mapInPandas(solve, f"{number} long, {of_number} long, {of_place} long")
+    packed = dealt.join(placed, number).select(*kept, of_number, of_place)
+    if ordered:
+        return packed
     full = rows.filter(F.col("length") >= capacity).select(
         *kept, (-1 - F.col(number)).alias(of_number), F.lit(0).cast("long").alias(of_place)
     )
-    return (
-        rows.filter(F.col("length") < capacity)
-        .join(placed, number)
-        .select(*kept, of_number, of_place)
-        .unionByName(full)
-    )
+    return packed.unionByName(full)
 
 
 def pack_documents(
@@ -211,10 +258,11 @@ def pack_documents(
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset`` for ``doc_id, text``.
 
-    An empty table gives no row. Rows that share an id are separate documents. Other columns
-    are ignored.
+    With ``place``, sequences follow it and it is a column too. An empty table gives no row.
+    Rows that share an id are separate documents. Other columns are ignored.
     """
-    return pack(token_pieces(docs, tokenizer, capacity=capacity, place=place), capacity=capacity)
+    pieces = token_pieces(docs, tokenizer, capacity=capacity, place=place)
+    return pack(pieces.drop("place") if place is None else pieces, capacity=capacity)
 
 
 @query()
@@ -226,5 +274,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER)
     )
     # The digest is asked for, not the ids: they need not move with their pieces.
-    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    digested = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "place")
     return pack(digested)

@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from filecorpus.llm import mixing
 from filecorpus.llm import packing as P
+from filecorpus.staging import stage
 from tests.llm.conftest import EDGES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +93,49 @@ def test_sequences_follow_the_order_from_shard_to_shard(corpus):
     assert len(shards) > 2 and all(min(a) > max(b) for a, b in zip(shards, shards[1:], strict=False))
 
 
+@pytest.mark.parametrize("n, window", [(0, 8), (5, 8), (400, 16), (6000, 2048)])
+def test_prefixes_of_sequences_are_prefixes_of_the_order(n, window):
+    lengths = np.random.default_rng(n).integers(1, 1300, n).clip(max=1024)
+    sequence, place = P.pack_in_order(lengths, 1024, window)
+    by = defaultdict(list)
+    for i, s in enumerate(sequence.tolist()):
+        by[s].append(i)
+    assert sorted(by) == list(range(len(by)))
+    left, short = set(range(n)), np.cumsum(lengths < 1024)
+    for s in sorted(by):
+        ends = np.cumsum([0, *(k for _, k in sorted((place[i], lengths[i]) for i in by[s]))])
+        assert sorted(place[by[s]]) == ends[:-1].tolist() and ends[-1] <= 1024
+        assert min(left) == by[s][0]  # the earliest piece left is in the next sequence
+        assert short[by[s][-1]] - short[by[s][0]] < window
+        left -= set(by[s])
+    if window == 2048:
+        assert len(by) <= 1.01 * lengths.sum() / 1024 + 1
+
+
+def test_sequences_keep_the_shares_of_the_mix(spark):
+    rows = [(i, "word " * (20 + i * 37 % 1500), "abc"[i % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    for weights in ({"a": 8, "b": 1, "c": 1}, {"a": 1, "b": 1, "c": 8}):
+        mixed = stage(mixing.mix(docs, weights, block_chars=1 << 14), "mixed")
+        packed = P.pack_documents(mixed, PATH, place=corpus_pipeline._place(mixed))
+        found = packed.select("sequence_id", "doc_id", "length", "place").collect()
+        tokens, last = defaultdict(int), -1
+        hot = max(weights, key=weights.get)
+        total = sum(r["length"] for r in found if source[r["doc_id"]] == hot)
+        for r in sorted(found, key=lambda r: r["sequence_id"]):
+            if r["sequence_id"] != last and sum(tokens.values()) > 400_000:
+                shares = {s: tokens[s] / sum(tokens.values()) for s in weights}
+                assert all(abs(shares[s] - w / 10) < 0.1 for s, w in weights.items())
+            last = r["sequence_id"]
+            tokens[source[r["doc_id"]]] += r["length"]
+            if tokens[hot] > 0.8 * total:
+                break
+        assert sum(tokens.values()) > 500_000
+        firsts = [min((r["place"] for r in found if r["sequence_id"] == s)) for s in range(300)]
+        assert firsts == sorted(firsts)
+
+
 def test_query_packs_whole_texts_tightly(spark):
     found = P.op10_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
