@@ -1,21 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of about ``BLOCK_CHARS`` characters. With a share ``w / Q`` of
-the stream, block ``k`` of a source may not begin before slot ``floor(k * Q / w)`` and must be
-over by slot ``ceil((k + 1) * Q / w)``; serving the released block with the earliest deadline
-meets all deadlines, since the shares add up to one, and after any number of slots a source
-has had its share to within one block. The schedule repeats every ``Q`` slots, so one period
-is computed and every block's slot follows from its number by arithmetic.
-
-When a source has no block left, a new phase begins, in which the others share the stream in
-the proportions they had. Nothing is dropped or repeated.
+Each source is cut into blocks of about ``BLOCK_CHARS`` characters. In a fluid mix all sources
+that still have blocks are served at once, in proportion to their weights. A block may not
+begin before the slot in which the fluid mix begins it, and must be over by the slot in which
+the fluid mix ends it; serving the released block with the earliest deadline meets all
+deadlines, since the fluid mix fills every slot exactly, and after any number of slots a
+source has had what the fluid mix gives it to within one block. Weights are taken as exact
+fractions, so this holds for any weights and any number of blocks.
+
+When a source has no block left, the others share the stream in the proportions they had.
+Nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -26,21 +31,57 @@ from filecorpus.llm.common import parts, query, table
 from filecorpus.staging import stage
 
 BLOCK_CHARS = 1 << 18
-PERIOD = 1000
 FLATTEN = 0.5
 MOST_SOURCES = 1000
 PART_ROWS = 100_000
 PART_BYTES = 32 << 20
 
 
-def whole_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as integers of about ``period`` in all, each at least 1."""
-    total, period = sum(weights.values()), max(period, 10 * len(weights))
-    return {s: max(1, round(w / total * period)) for s, w in weights.items()}
+def block_slots(blocks: Sequence[int], weights: Sequence[float]) -> np.ndarray:
+    """The slots of all blocks, source after source, for so many blocks of each (at least 1).
+
+    Time ``v`` of the fluid mix is such that source ``i`` has had ``v * weights[i]`` blocks until
+    it ends; with ``done`` blocks of ended sources and ``active`` weights of the others, that
+    is slot ``done + active * v``. Ties go to the first source.
+    """
+    shares = [Fraction(w) for w in weights]
+    scale = lcm(*(share.denominator for share in shares))
+    whole = [int(share * scale) for share in shares]
+    # Times as integers so fine that different fractions of weights stay different.
+    fine = 2 * max(whole, default=0).bit_length()
+    ends = [(n << fine) // w for n, w in zip(blocks, whole, strict=True)]
+    order = sorted(range(len(ends)), key=ends.__getitem__)
+    done = [0, *accumulate(blocks[i] for i in order)]
+    active = [sum(whole) - w for w in accumulate((whole[i] for i in order), initial=0)]
+    ends.sort()
+
+    def begun(i: int, k: int) -> int:
+        j = bisect_right(ends, (k << fine) // whole[i])
+        return done[j] + active[j] * k // whole[i]
+
+    def over(i: int, k: int) -> int:
+        j = bisect_right(ends, (k << fine) // whole[i])
+        return done[j] - (-active[j] * k // whole[i])
+
+    starts = [0, *accumulate(blocks)]
+    slots = np.empty(starts[-1], np.int64)
+    waiting, ready = [(0, i, 0) for i in range(len(blocks))], []  # by release, by deadline
+    for slot in range(starts[-1]):
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (over(i, k + 1), i, k))
+        _, i, k = heapq.heappop(ready)
+        slots[starts[i] + k] = slot
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, (begun(i, k + 1), i, k + 1))
+    return slots
 
 
 def period_slots(weights: Mapping[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source in one period, earliest deadline first; ties by name."""
+    """The slots of each source in one period, earliest deadline first; ties by name.
+
+    This is the plain form for whole weights, which ``block_slots`` agrees with.
+    """
     q = sum(weights.values())
     slots: dict[str, list[int]] = {s: [] for s in weights}
     waiting, ready = [(0, s, 0) for s in sorted(weights)], []  # by release, by deadline
@@ -139,39 +180,35 @@ def assign_slots(
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them, or give their groups as sources")
     blocks = {r["source"]: r["n"] for r in found}
-    runs = _runs(blocks, weights)
+    held = rows.sparkSession.sparkContext.broadcast(_slots(blocks, weights))
 
     def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, slots = held.value
         for frame in frames:
-            slot = np.empty(len(frame), np.int64)
             source = frame["source"].astype(object).where(frame["source"].notna(), None)
             codes, names = pd.factorize(source, use_na_sentinel=False)
-            for i, name in enumerate(names):
-                chosen = codes == i
-                key = None if pd.isna(name) else name
-                slot[chosen] = slots_of(runs[key], frame["block"].to_numpy()[chosen])
+            start = np.array([starts[None if pd.isna(s) else s] for s in names], np.int64)
+            slot = slots[start[codes] + frame["block"].to_numpy()]
             yield frame.assign(slot=slot)[["number", "block", "slot", "before"]]
 
     return placed.mapInPandas(slotted, "number long, block long, slot long, before long")
 
 
-def _runs(
+def _slots(
     blocks: Mapping[str | None, int], weights: Mapping[str | None, float] | None
-) -> dict[str | None, list[Run]]:
+) -> tuple[dict[str | None, int], np.ndarray]:
+    """Where each source's blocks begin in the array of slots, and that."""
     if weights is None:
         weights = {s: n**FLATTEN for s, n in blocks.items()}
     # A null source has to sort with the others.
-    by_name = {(s is not None, s or ""): s for s in blocks}
-    wanted = {k: blocks[s] for k, s in by_name.items() if weights.get(s, 0) > 0}
-    others = {k: blocks[s] for k, s in by_name.items() if k not in wanted}
-    out: dict[str | None, list[Run]] = {}
-    base = 0
-    for group, share in ((wanted, lambda k: weights[by_name[k]]), (others, lambda k: 1)):
-        found = schedule(group, whole_weights({k: share(k) for k in group})) if group else {}
-        for k, runs in found.items():
-            out[by_name[k]] = [Run(r.first, base + r.base, r.weight, r.period, r.slots) for r in runs]
-        base += sum(group.values())
-    return out
+    names = sorted(blocks, key=lambda s: (s is not None, s or ""))
+    wanted = [s for s in names if weights.get(s, 0) > 0]
+    others = [s for s in names if not weights.get(s, 0) > 0]
+    first = block_slots([blocks[s] for s in wanted], [weights[s] for s in wanted])
+    last = block_slots([blocks[s] for s in others], [1] * len(others))
+    names = wanted + others
+    starts = dict(zip(names, accumulate((blocks[s] for s in names), initial=0)))
+    return starts, np.concatenate([first, len(first) + last])
 
 
 def sized(docs: DataFrame, number: Column) -> DataFrame:

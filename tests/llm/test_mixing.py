@@ -36,6 +36,47 @@ def test_phases_use_every_block_once_and_keep_the_shares():
             served, start = Counter(), t + 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 7, "b": 2, "c": 1}, {"a": 97, "b": 89, "c": 13, "d": 1, "e": 1}])
+def test_slots_of_whole_weights_repeat_the_period(weights):
+    period, q = M.period_slots(weights), sum(weights.values())
+    slots = M.block_slots([3 * w for w in weights.values()], list(weights.values()))
+    assert slots.tolist() == [t + r * q for s in weights for r in range(3) for t in period[s].tolist()]
+
+
+def fluid(blocks, weights, t):
+    """What each source has had after ``t`` slots, if all were served at once."""
+    had, left = dict.fromkeys(blocks, Fraction(0)), Fraction(t)
+    while left:
+        active = {s: Fraction(weights[s]) for s, n in blocks.items() if had[s] < n}
+        total = sum(active.values())
+        step = min(left, *((blocks[s] - had[s]) * total / w for s, w in active.items()))
+        had |= {s: had[s] + step * w / total for s, w in active.items()}
+        left -= step
+    return had
+
+
+@pytest.mark.parametrize(
+    "blocks, weights",
+    [
+        ({"a": 12_000, "b": 40, "c": 7000}, {"a": 2**0.5, "b": 1e-6, "c": 0.7123}),
+        ({f"s{i:02}": 400 + 37 * i * i for i in range(20)}, None),
+    ],
+)
+def test_real_weights_over_many_periods(spark, blocks, weights):
+    rows = [(0, s, i, 1) for s, n in blocks.items() for i in range(n)]
+    rows = [(j, s, i, n) for j, (_, s, i, n) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "number long, source string, doc_id long, size long")
+    found = {r["number"]: r["slot"] for r in M.assign_slots(docs, weights, block_chars=1).collect()}
+    order = [s for _, s in sorted((found[number], s) for number, s, _, _ in rows)]
+    assert sorted(found.values()) == list(range(len(rows)))
+    shares = weights or {s: n**0.5 for s, n in blocks.items()}
+    served = Counter()
+    for t, s in enumerate(order, 1):
+        served[s] += 1
+        if t % 97 == 0 or t > len(order) - 50 or t < 50:
+            assert all(abs(served[x] - had) < 1 for x, had in fluid(blocks, shares, t).items())
+
+
 def mixed(docs, **options):
     return M.mix(docs, **options).rdd.mapPartitions(list).collect()
 
