@@ -32,7 +32,6 @@ from filecorpus.staging import stage
 
 BLOCK_CHARS = 1 << 18
 FLATTEN = 0.5
-MOST_SOURCES = 1000
 PART_ROWS = 100_000
 PART_BYTES = 32 << 20
 
@@ -52,7 +51,8 @@ def block_slots(blocks: Sequence[int], weights: Sequence[float]) -> np.ndarray:
     ends = [(n << fine) // w for n, w in zip(blocks, whole, strict=True)]
     order = sorted(range(len(ends)), key=ends.__getitem__)
     done = [0, *accumulate(blocks[i] for i in order)]
-    active = [sum(whole) - w for w in accumulate((whole[i] for i in order), initial=0)]
+    total = sum(whole)
+    active = [total - w for w in accumulate((whole[i] for i in order), initial=0)]
     ends.sort()
 
     def begun(i: int, k: int) -> int:
@@ -148,7 +148,8 @@ def assign_slots(
     proportion to the power ``FLATTEN`` of its blocks.
 
     Only these numbers move. They are ordered in ranges, so a source with a third of all rows
-    is in as many ranges as it needs; what the driver gets is one number a source.
+    is in as many ranges as it needs. The driver gets one number a source, of which there may be
+    any number, and makes the schedule, one number a block.
     """
     rows = stage(rows.select("number", "source", "doc_id", "size"), "sizes")
     ranged = stage(
@@ -176,10 +177,8 @@ def assign_slots(
         .withColumn("block", F.floor(F.col("before") / block_chars)),
         "blocks",
     )
-    found = placed.groupBy("source").agg((F.max("block") + 1).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them, or give their groups as sources")
-    blocks = {r["source"]: r["n"] for r in found}
+    found = placed.groupBy("source").agg((F.max("block") + 1).alias("n")).toArrow()
+    blocks = dict(zip(*(found[c].to_pylist() for c in ("source", "n")), strict=True))
     held = rows.sparkSession.sparkContext.broadcast(_slots(blocks, weights))
 
     def slotted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

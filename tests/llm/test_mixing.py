@@ -77,6 +77,19 @@ def test_real_weights_over_many_periods(spark, blocks, weights):
             assert all(abs(served[x] - had) < 1 for x, had in fluid(blocks, shares, t).items())
 
 
+def test_more_sources_than_a_thousand(spark):
+    rows = [(i, f"site{i % 2500}" if i % 3 else "hot", i, 1) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "number long, source string, doc_id long, size long")
+    found = {r["number"]: r["slot"] for r in M.assign_slots(docs, block_chars=1).collect()}
+    assert sorted(found.values()) == list(range(len(rows)))
+    blocks = Counter(s for _, s, _, _ in rows)
+    shares = {s: n**0.5 for s, n in blocks.items()}
+    order = [s for _, s in sorted((found[number], s) for number, s, _, _ in rows)]
+    for t in (500, 3000, 9000):
+        served = Counter(order[:t])
+        assert all(abs(served[s] - had) < 1 for s, had in fluid(blocks, shares, t).items())
+
+
 def mixed(docs, **options):
     return M.mix(docs, **options).rdd.mapPartitions(list).collect()
 
