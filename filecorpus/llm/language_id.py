@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from filecorpus.llm.common import query, remainder, slices, table
 
-SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 64, 500
+SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 64, 500  # passages, and characters of each
 SEGMENT = 1024
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -153,17 +153,21 @@ def learn(
 ) -> Parser:
     """Automata from ``text`` and ``lang`` of the rows outside the held-out fold.
 
-    Rows with a null text or language are ignored. Of each language the ``sample_texts``
-    distinct texts with the smallest hashes are taken, ``sample_text_chars`` characters of
-    each: the driver gets no more than that for each language.
+    Rows with a null text or language are ignored. Whole texts are cut into passages of
+    ``sample_text_chars`` characters, and of each language the ``sample_texts`` distinct
+    passages with the smallest hashes are taken, from wherever they are in a text: the
+    driver gets no more than that for each language.
     """
     usable = docs.filter("text is not null and lang is not null").filter(
         remainder("doc_id", FOLDS) != HELD_OUT
     )
-    hashed = usable.select(
-        F.col("lang").cast("string").alias("lang"),
-        F.xxhash64("text").alias("h"),
-        F.col("text").cast("string").alias("text"),
+    passages = F.regexp_extract_all(
+        F.col("text").cast("string"), F.lit(f"(?s).{{1,{sample_text_chars}}}"), F.lit(0)
+    )
+    hashed = (
+        usable.select(F.col("lang").cast("string").alias("lang"), F.explode(passages).alias("text"))
+        .filter(F.col("text").rlike(r"\p{L}"))
+        .select("lang", F.xxhash64("text").alias("h"), "text")
     )
     by_hash = Window.partitionBy("lang").orderBy("h")
     chosen = (
@@ -175,7 +179,7 @@ def learn(
     rows = (
         hashed.join(F.broadcast(chosen), ["lang", "h"])
         .groupBy("lang", "place")
-        .agg(F.min(F.substring("text", 1, sample_text_chars)).alias("text"))
+        .agg(F.min("text").alias("text"))
         .orderBy("lang", "place")
         .collect()
     )

@@ -78,6 +78,20 @@ def test_copies_count_once_in_a_sample(spark):
     assert parser.languages == ["de", "en"]
 
 
+def test_samples_are_of_whole_texts(spark):
+    notice = "this notice is the same in all languages and says nothing about them. " * 10
+    random.seed(8)
+    words = {name: text.split() for name, text in TEXT.items()}
+    rows = [
+        (i, notice + " ".join(random.choices(words[name], k=300)), name)
+        for i, name in enumerate(["en", "de"] * 60)
+    ]
+    parser = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = [(i, " ".join(random.choices(words[name], k=30)), name) for i, name in enumerate(["en", "de"] * 20)]
+    found = L.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), parser)
+    assert {r["doc_id"]: r["lang_pred"] for r in found.collect()} == {i: name for i, _, name in docs}
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
 def test_held_out_accuracy(spark, folder):
     found = L.op6_language_id(spark, folder)
