@@ -6,7 +6,9 @@ language needs few. With ``c`` phrases for ``m`` characters against a sample of
 cross entropy is about ``c * log2(n) / m`` bits a character, and the least wins.
 
 The automata of all languages are one table of transitions, and all segments of many texts
-take a step in it at once. Parsing starts anew every ``SEGMENT`` characters of a text.
+take a step in it at once. Only transitions that exist have a cell: a state's cells are those
+at its number plus a character's code, and numbers are chosen so that no two meet. Parsing
+starts anew every ``SEGMENT`` characters of a text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from filecorpus.llm.common import query, remainder, slices, table
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 64, 500  # passages, and characters of each
 SEGMENT = 1024
 FOLDS, HELD_OUT = 3, 1
+CELLS = 3  # in the table, for each transition
+ROUNDS = 64
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -65,17 +69,59 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
+def spread(states: np.ndarray, codes: np.ndarray, n: int, width: int) -> tuple[np.ndarray, int]:
+    """A number for each of ``n`` states, and the cells needed, for transitions by state.
+
+    All numbers differ, and so do all ``number + code`` of transitions. States with most
+    transitions choose first; all with equally many choose at random until each has its cells.
+    """
+    random = np.random.default_rng(0)
+    degree = np.bincount(states, minlength=n)
+    first = np.concatenate([[0], np.cumsum(degree)])
+    size = CELLS * max(len(states), n) + 1
+    number = np.full(n, -1, np.int64)
+    free, unused = np.ones(size + width, bool), np.ones(size, bool)
+    for d in np.unique(degree)[::-1].tolist():
+        left = np.flatnonzero(degree == d)
+        rounds = 0
+        while len(left):
+            if rounds == ROUNDS:  # too crowded
+                size, rounds = 2 * size, 0
+                free = np.concatenate([free, np.ones(size + width - len(free), bool)])
+                unused = np.concatenate([unused, np.ones(size - len(unused), bool)])
+            rounds += 1
+            tried = random.integers(0, size, len(left))
+            cells = tried[:, None] + codes[first[left][:, None] + np.arange(d)]
+            fits = unused[tried] & free[cells].all(axis=1)
+            # Of those that fit, only such go in as are the first at all their cells.
+            at = np.flatnonzero(fits)
+            _, earliest = np.unique(tried[at], return_index=True)
+            at = at[np.sort(earliest)]
+            flat = cells[at].ravel()
+            _, earliest = np.unique(flat, return_index=True)
+            alone = np.zeros(len(flat), bool)
+            alone[earliest] = True
+            at = at[alone.reshape(len(at), d).all(axis=1)]
+            number[left[at]] = tried[at]
+            unused[tried[at]] = False
+            free[cells[at].ravel()] = False
+            left = np.delete(left, at)
+    return number, size + width
+
+
 @dataclass(frozen=True)
 class Parser:
-    """``table[state + code]`` is the next state times 4 plus the phrases that end there.
+    """A cell has the state it is of and the next state times 4 plus the phrases that end there.
 
-    States are row starts in the flat table. Code 0 ends a text, code 1 is any character
-    that no sample has.
+    A cell of another state says that there is no transition; then ``anew[language, code]``
+    has what follows. Code 0 ends a text, code 1 is any character that no sample has.
     """
 
     languages: list[str]
     alphabet: str
-    table: np.ndarray
+    owner: np.ndarray
+    following: np.ndarray
+    anew: np.ndarray
     roots: np.ndarray
     bits: np.ndarray  # of a phrase, by language
 
@@ -107,7 +153,10 @@ class Parser:
         state = np.repeat(self.roots[:, None], len(segments), axis=1)
         count = np.zeros(state.shape, np.int32)
         for i, n in enumerate(active):
-            moved = self.table[state[:, :n] + codes[i, :n]]
+            at = state[:, :n] + codes[i, :n]
+            moved = np.where(
+                self.owner[at] == state[:, :n], self.following[at], self.anew[:, codes[i, :n]]
+            )
             count[:, :n] += moved & 3
             state[:, :n] = moved >> 2
         np.add.at(found, np.array(owner)[order], count.T)
@@ -119,30 +168,34 @@ def build_parser(samples: dict[str, str]) -> Parser:
     languages = sorted(samples)
     alphabet = "".join(sorted(set("".join(samples.values()))))
     code = {c: i + 2 for i, c in enumerate(alphabet)}
-    width, tables, roots, first = len(alphabet) + 2, [], [], 0
+    width, roots, first = len(alphabet) + 2, [], 0
+    states, codes, to = [], [], []
     for language in languages:
         step = suffix_automaton(samples[language])
-        root = first * width
-        # Without a transition a phrase ends, and the character begins the next one, or, if
-        # the sample does not have it at all, is a phrase by itself.
-        anew = np.full(width, 4 * root + 2, np.int32)
-        for c, to in step[0].items():
-            anew[code[c]] = 4 * (first + to) * width + 1
-        anew[0] = 4 * root + 1
-        rows = np.repeat(anew[None, :], len(step), axis=0)
-        rows[0] = np.where(anew & 3 == 2, 4 * root + 1, anew)
-        rows[0, 0] = 4 * root
+        roots.append(first)
         for state, moves in enumerate(step):
-            for c, to in moves.items():
-                rows[state, code[c]] = 4 * (first + to) * width
-        tables.append(rows)
-        roots.append(root)
+            # A root has all characters, as no phrase is open in it that could end.
+            moves = {code[c]: (first + x, 0) for c, x in moves.items()}
+            if not state:
+                moves = {c: moves.get(c, (first, int(c > 0))) for c in range(width)}
+            for c, (x, phrases) in moves.items():
+                states.append(first + state)
+                codes.append(c)
+                to.append(4 * x + phrases)
         first += len(step)
-    if first * width >= 1 << 29:
-        raise ValueError("too many languages or too large samples for one table")
+    states, codes, to = (np.array(x, np.int64) for x in (states, codes, to))
+    number, size = spread(states, codes, first, width)
+    kind = np.int32 if 4 * size < 1 << 31 else np.int64
+    owner, following = np.full(size, -1, kind), np.zeros(size, kind)
+    cells = number[states] + codes
+    owner[cells], following[cells] = number[states], 4 * number[to >> 2] + (to & 3)
+    # Without a transition a phrase ends, and the character begins the next one, or, if the
+    # sample does not have it at all, is a phrase by itself.
+    roots = number[np.array(roots, np.int64)].astype(kind)
+    at_root = following[roots[:, None] + np.arange(width)]
+    anew = (at_root + 1).astype(kind)
     bits = np.array([np.log2(max(2, len(samples[name]))) for name in languages])
-    table_ = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    return Parser(languages, alphabet, table_, np.array(roots, np.int32), bits)
+    return Parser(languages, alphabet, owner, following, anew, roots, bits)
 
 
 def learn(

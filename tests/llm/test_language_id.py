@@ -52,6 +52,19 @@ def test_phrases_against_plain_parsing():
         assert row.tolist() == [naive(samples[name], text) for name in parser.languages]
 
 
+def test_tables_are_linear_in_the_samples():
+    random.seed(9)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {f"l{k}": "".join(random.choices(letters, k=6000)) for k in range(20)}
+    parser = L.build_parser(samples)
+    transitions = sum(sum(map(len, L.suffix_automaton(s))) for s in samples.values())
+    cells = transitions + len(samples) * len(parser.alphabet)
+    assert len(parser.owner) <= 4 * cells
+    texts = [samples["l3"][100:400] + samples["l9"][50:90], "".join(random.choices(letters, k=200)) + "x"]
+    for text, row in zip(texts, parser.phrases(texts), strict=True):
+        assert row.tolist() == [naive(samples[name], text) for name in parser.languages]
+
+
 def test_edges(spark, edges):
     parser = L.build_parser(TEXT)
     rows = L.identify(edges, parser).collect()
