@@ -28,7 +28,7 @@ from filecorpus.staging import stage
 
 CAPACITY = 1024
 SHARD_PIECES = 131_072
-WINDOW = 8192
+WINDOW = 4096
 END_ID = 2
 PIECES_KEPT = 700_000
 BYTE_TOKENIZER = "byte_bpe_50k.json"
