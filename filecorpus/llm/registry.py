@@ -9,6 +9,7 @@ from filecorpus.llm import (  # noqa: F401
     mixing,
     near_duplicates,
     packing,
+    phrases,
     quality_classifier,
     quality_rules,
     simhash,
