@@ -10,6 +10,7 @@ from filecorpus.llm import (  # noqa: F401
     near_duplicates,
     packing,
     phrases,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     simhash,

@@ -1,0 +1,123 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from filecorpus.llm import prefix_trie as T
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth string, path int, conv string"
+
+
+def rebuilt(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    lists = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    out = {}
+    for c, turns in lists.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = tuple(lists.get(c - c % 100, [])[:h] + turns[h:])
+    return out
+
+
+def expected(conversations):
+    members = defaultdict(list)
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = defaultdict(int)
+    for path in members:
+        if path:
+            children[path[:-1]] += 1
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for path, of in members.items():
+        tokens = (len(of) - 1) * len(path[-1][1]) if path else 0
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += not children[path]
+            saved[path[:d]] += tokens
+    out = []
+    for path, of in members.items():
+        ends = sorted(c for c in of if len(conversations[c]) == len(path))
+        digest = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        parent = min(members[path[:-1]]) if path else -1
+        out.append((min(of), len(path), parent, len(of), children[path], leaves[path], saved[path], digest))
+    return sorted(out)
+
+
+def found(nodes):
+    rows = [tuple(r[c] for c in T.NODE) for r in nodes.collect()]
+    return sorted((*r[:2], -1 if r[2] is None else r[2], *r[3:]) for r in rows)
+
+
+@pytest.fixture
+def talks(spark):
+    def make(rows):
+        return spark.createDataFrame([(*r, "x", 7, "y") for r in rows], SCHEMA)
+
+    return make
+
+
+def trie(docs, **sizes):
+    return T.prefix_trie(T.with_shared_beginnings(T.turn_lists(docs)), **sizes)
+
+
+def some_talks(random_, n, deepest):
+    rows = []
+    for c in range(n):
+        kind = random_.random()
+        length = random_.randint(1, 6) if kind < 0.97 else random_.randint(1, deepest)
+        words = 1 if kind < 0.4 else 3
+        for t in range(length):
+            # Four in ten are a beginning of one conversation.
+            rows.append((c * 7 % (3 * n), t, "user", f"t{t if kind < 0.4 else random_.randrange(words)}"))
+    return rows
+
+
+@pytest.mark.parametrize("range_items", [10_000, 40, 7])
+def test_nodes_against_plain_code(talks, range_items):
+    rows = some_talks(random.Random(5), 400, 60)
+    want = expected(rebuilt(rows))
+    assert found(trie(talks(rows), range_items=range_items)) == want
+
+
+def test_one_conversation_very_often(spark, monkeypatch):
+    monkeypatch.setattr(T, "IDS_A_CHUNK", 3)
+    turn = "array(named_struct('a', 5L, 'b', 6L, 'chars', 4), named_struct('a', 7L, 'b', 8L, 'chars', 2))"
+    lists = spark.range(1000).select(F.col("id").alias("conv_id"), F.expr(turn).alias("turns"))
+    ids = ",".join(map(str, range(1000)))
+    empty = hashlib.sha256(b"").hexdigest()
+    assert found(T.prefix_trie(lists, range_items=50)) == [
+        (0, 0, -1, 1000, 1, 1, 999 * 6, empty),
+        (0, 1, 0, 1000, 1, 1, 999 * 6, empty),
+        (0, 2, 0, 1000, 0, 1, 999 * 2, hashlib.sha256(ids.encode()).hexdigest()),
+    ]
+
+
+def test_edges(talks):
+    rows = [
+        (None, 0, "user", "nobody's"),
+        (100, None, None, None), (100, 0, "user", "first"), (100, 1, "", ""),
+        (101, 0, "user", "x" * 100_000), (101, 0, "user", "x" * 100_000),
+        (102, 5, "user", "é😀"), (205, 0, "a", "base is absent"), (7, 0, "a", "b"),
+        *((103, t, "user", "again") for t in range(500)),
+        (-250, 3, "user", "negative"),
+    ]
+    conversations = rebuilt([r for r in rows if r[0] != -250])
+    docs = talks([r for r in rows if r[0] != -250])
+    for size in (1000, 1):
+        assert found(trie(docs, range_items=size)) == expected(conversations)
+    assert found(trie(talks(rows[-1:]))) != []
+    assert found(trie(talks([]))) == []
+
+
+def test_query_on_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").collect()
+    want = expected(rebuilt([(r.conv_id, r.turn, r.role, r.text) for r in rows]))
+    got = T.op13_prefix_trie(spark, folder)
+    assert dict(got.dtypes) == {c: "bigint" for c in T.NODE[:-1]} | {"ends_sha256": "string"}
+    assert found(got) == want
