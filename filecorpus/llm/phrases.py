@@ -100,7 +100,7 @@ def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Shard]:
 
     def made() -> Shard:
         tokens = np.concatenate([[0], *pieces]).astype(np.int32)
-        return Shard(tokens, words, np.array(langs, np.int32), names or [""])
+        return Shard(tokens, words, np.array(langs, np.int32), names)
 
     for batch in slices(batches):
         for lang, text in zip(
@@ -165,7 +165,10 @@ class Intervals:
 
 
 class PhraseIndex:
-    """A bidirectional index of ``tokens`` (0 separates) for phrases of at most ``depth`` words."""
+    """A bidirectional index of ``tokens`` for phrases of at most ``depth`` words.
+
+    0 separates, and is first and last.
+    """
 
     def __init__(self, tokens: np.ndarray, depth: int) -> None:
         self.tokens, self.depth = tokens, depth
@@ -208,14 +211,12 @@ class PhraseIndex:
 
     def _extended(self, order, step, here, there, of: Intervals) -> tuple[np.ndarray, ...]:
         """New intervals in this order and in the other one."""
-        # Rows without an interval belong to a phrase that was left out.
-        of_row = np.full(len(order) + 1, 0, np.int64)
-        by_start = np.argsort(here, kind="stable")
-        of_row[here[by_start]] += by_start + 1
-        ends = (here + of.size)[by_start]
-        closing = np.zeros(len(order) + 1, np.int64)
-        closing[ends] -= by_start + 1
-        owner = np.cumsum(of_row + closing)[:-1] - 1
+        # The phrase of each row; -1 where it holds a separator.
+        change = np.zeros(len(order) + 1, np.int64)
+        number = np.arange(1, len(of) + 1)
+        change[here] += number
+        change[here + of.size] -= number
+        owner = np.cumsum(change)[:-1] - 1
         symbols = self.tokens[self._at(order, step)]
         moved = stable_order(symbols)
         owner, symbols = owner[moved], symbols[moved]
@@ -375,7 +376,7 @@ def bitmap(keys: DataFrame) -> Bitmap:
     blocks = keys.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("held")
     )
-    held = np.zeros(1 << (bits - 3), np.uint8)
+    held = np.zeros(max(1 << (bits - 3), 4096), np.uint8)  # Spark's blocks have 4096 bytes
     for block, content in blocks.collect():
         at = (block - 1) * len(content)
         held[at : at + len(content)] = np.frombuffer(content, np.uint8)
