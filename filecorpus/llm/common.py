@@ -81,3 +81,32 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.empty(len(values), np.int64)
     place[order] = np.cumsum(first) - 1
     return ordered[first], place
+
+
+def components_sql(words: int, percent: int) -> str:
+    """DuckDB SQL of ``doc_id, n_shingles, component_id`` under links of shingle sets."""
+    return rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - {words - 1}, 1) + 1),
+        lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS s
+    FROM docs
+), shingles AS (SELECT r, unnest(s) AS g FROM sets
+), common AS (
+    SELECT a.r AS x, b.r AS y, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.r <> b.r GROUP BY ALL
+), links AS (
+    SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y
+    WHERE 100 * n >= {percent} * (len(a.s) + len(b.s) - n)
+), reach AS (
+    SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+)
+SELECT any_value(a.doc_id) AS doc_id, any_value(len(a.s))::BIGINT AS n_shingles,
+    min(b.doc_id) AS component_id
+FROM reach JOIN sets a ON a.r = reach.x JOIN sets b ON b.r = reach.y GROUP BY a.r
+"""

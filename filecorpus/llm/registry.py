@@ -13,6 +13,7 @@ from filecorpus.llm import (  # noqa: F401
     prefix_trie,
     quality_classifier,
     quality_rules,
+    shingle_join,
     simhash,
     token_files,
 )
