@@ -39,8 +39,8 @@ from filecorpus.staging import stage
 MIN_COUNT = 10
 LONGER_PERCENT = 50
 TOP = 2000
-SHARD_TOKENS = 3_000_000
-BUCKET_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 FAN_BITS = 12
 ROW_KEYS = 1 << 18
 LEAST_BITS, MOST_BITS = 20, 30
@@ -138,9 +138,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def stable_order(symbols: np.ndarray) -> np.ndarray:
-    """Stable order of symbols from 0 to 2^32, 16 bits at a time, as those are sorted by radix."""
+    """Stable order of symbols from 0 to 2^31, 16 bits at a time, as those are sorted by radix."""
     low = symbols.astype(np.uint16)
-    order = np.argsort(low, kind="stable")
+    order = np.argsort(low, kind="stable").astype(np.int32)
     if len(symbols) and int(symbols.max()) >> 16:
         high = (symbols >> 16).astype(np.uint16)
         order = order[np.argsort(high[order], kind="stable")]
@@ -180,7 +180,7 @@ class PhraseIndex:
 
         An extension needs one word less than the phrase it makes, and sorts by that itself.
         """
-        order = np.arange(len(self.tokens))
+        order = np.arange(len(self.tokens), dtype=np.int32)
         for k in reversed(range(self.depth - 1)):
             order = order[stable_order(self.tokens[self._at(order, step * k)])]
         return order
@@ -193,8 +193,8 @@ class PhraseIndex:
 
     def single(self) -> Intervals:
         """All words."""
-        counts = np.bincount(self.tokens)
-        starts = np.cumsum(counts) - counts
+        counts = np.bincount(self.tokens).astype(np.int32)
+        starts = np.cumsum(counts, dtype=np.int32) - counts
         words = np.flatnonzero(counts)
         words = words[words > 0]
         return Intervals(starts[words], starts[words], counts[words], words, np.full(len(words), -1))
@@ -212,27 +212,27 @@ class PhraseIndex:
     def _extended(self, order, step, here, there, of: Intervals) -> tuple[np.ndarray, ...]:
         """New intervals in this order and in the other one."""
         # The phrase of each row; -1 where it holds a separator.
-        change = np.zeros(len(order) + 1, np.int64)
-        number = np.arange(1, len(of) + 1)
+        change = np.zeros(len(order) + 1, np.int32)
+        number = np.arange(1, len(of) + 1, dtype=np.int32)
         change[here] += number
         change[here + of.size] -= number
-        owner = np.cumsum(change)[:-1] - 1
+        owner = np.cumsum(change, dtype=np.int32)[:-1] - 1
         symbols = self.tokens[self._at(order, step)]
         moved = stable_order(symbols)
         owner, symbols = owner[moved], symbols[moved]
         first = np.ones(len(moved), bool)
         first[1:] = (owner[1:] != owner[:-1]) | (symbols[1:] != symbols[:-1])
-        first = np.flatnonzero(first)
-        size = np.diff(np.append(first, len(moved)))
+        first = np.flatnonzero(first).astype(np.int32)
+        size = np.diff(np.append(first, np.int32(len(moved))))
         owner, symbols = owner[first], symbols[first]
         known = owner >= 0
         first, size, owner, symbols = (x[known] for x in (first, size, owner, symbols))
         # Within the old interval of the other order, extensions lie in the order of the words.
-        by_owner = np.lexsort((symbols, owner))
-        before = np.empty(len(size), np.int64)
-        running = np.cumsum(size[by_owner]) - size[by_owner]
+        by_owner = stable_order(owner)
+        before = np.empty(len(size), np.int32)
+        running = np.cumsum(size[by_owner], dtype=np.int32) - size[by_owner]
         begins = np.ones(len(size), bool)
-        begins[1:] = owner[by_owner][1:] != owner[by_owner][:-1]
+        begins[1:] = np.diff(owner[by_owner]) != 0
         base = np.maximum.accumulate(np.where(begins, running, 0))
         before[by_owner] = running - base
         other = there[owner] + before
