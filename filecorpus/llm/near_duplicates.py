@@ -15,7 +15,7 @@ first linked to its smallest member, then, where more than one component is left
 largest, and at last members of different components are compared in blocks, by signature;
 only pairs within both radii leave a block, each from the first bucket it shares. A block
 with more such pairs than members does not write them out: it is compared once more with the
-full sets beside it, and only its links leave it. Every link is confirmed on the full sets.
+full sets beside it, and only a spanning forest of its links leaves it. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -296,10 +296,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    mark = F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))
-    n, total = edges.agg(F.count("*"), mark).head()
-    return n, total
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """What tells distinct edges from others; sums of hashes would pass 64 bits."""
+    marks = (F.bit_xor(h) for h in (F.xxhash64("u", "v"), F.xxhash64("v", "u")))
+    return tuple(edges.agg(F.count("*"), *marks).head())
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,9 +370,28 @@ class _Group:
     n_asked: int = 0
     n_pairs: int = 0
 
+    parent: dict[int, int] = field(default_factory=dict)
+
     def dense(self) -> bool:
         return self.n_pairs > max(DENSE, self.n_asked)
 
+    def _root(self, node: int) -> int:
+        parent = self.parent
+        while (up := parent.get(node, node)) != node:
+            parent[node] = parent.get(up, up)
+            node = up
+        return node
+
+    def forest(self, who, x, full, node, y, sets) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs the links that connect what no earlier link of the group connects."""
+        kept = []
+        for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            a, b = self._root(int(who[i])), self._root(int(node[j]))
+            if a != b and _linked(full[i], sets[j]):
+                self.parent[a] = b
+                kept.append(k)
+        return x[kept], y[kept]
+
 
 def _compare(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[tuple[_Group, bool]]:
     """The group, after each of its parts; the flag says that it is complete.
@@ -416,8 +435,7 @@ def _compare(batches: Iterable[pa.RecordBatch], whole: bool) -> Iterator[tuple[_
                     good &= first_slots(marks[x], signature[y]) == slot[y]
                     x, y = x[good], y[good]
                     if whole:
-                        linked = [_linked(full[p], sets[q]) for p, q in zip(x, y, strict=True)]
-                        x, y = x[linked], y[linked]
+                        x, y = group.forest(who, x, full, node, y, sets)
                     group.pairs.append(np.sort(np.stack([who[x], node[y]]), axis=0))
                     group.n_pairs += len(x)
             yield group, False
