@@ -241,8 +241,8 @@ def pack(
             )
 
     ranged = dealt.select(*order, "length").repartitionByRange(shards, *order)
-    if ordered:
-        ranged = ranged.sortWithinPartitions(*order).drop("place")
+    # A shard's rows in one order, whenever they come, so that a task run again deals the same.
+    ranged = ranged.sortWithinPartitions(*order).drop("place")
     placed = ranged.mapInPandas(solve, f"{number} long, {of_number} long, {of_place} long")
     packed = dealt.join(placed, number).select(*kept, of_number, of_place)
     if ordered:
