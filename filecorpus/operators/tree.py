@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filecorpus.functions.paths import (
@@ -16,6 +21,7 @@ from filecorpus.functions.paths import (
     paths_from_root,
 )
 from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
+from filecorpus.staging import stage
 
 
 def path_component_rows(files: DataFrame) -> DataFrame:
@@ -35,17 +41,126 @@ def hidden_per_directory(listing: DataFrame) -> DataFrame:
 def directory_rollup(files: DataFrame) -> DataFrame:
     """Totals of whole subtrees: ``dir, files, bytes, unique_hashes``.
 
-    Each file counts once for every directory from its root down. Rows are combined per
-    (dir, hash) before the first shuffle and per dir before the second, so the root
-    directory, which holds everything, arrives as a few partial rows.
+    Each file counts once for every directory from its root down, but neither files nor
+    hashes are copied to those directories. In depth-first order the files of a subtree come
+    together, and so do, of one hash, its files there: k of them with k - 1 pairs of
+    neighbours. So a hash counts +1 in the directory of each file and -1 in the lowest common
+    directory of each two neighbours, and what is left of that in a subtree is 1. Directories
+    with their own sums are then added up in depth-first order, each range of them in one
+    pass, and only directories on the way to a range's ends come out of more than one.
     """
-    directories = paths_from_root(parent_path("path"), "root")
-    per_dir = files.select(F.explode(directories).alias("dir"), "size", "hash")
-    return per_dir.groupBy("dir").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("size").alias("bytes"),
-        F.count_distinct("hash").alias("unique_hashes"),
+    up = paths_from_root(parent_path("path"), "root")
+    own = files.select(up.alias("up"), "size", "hash", "path")
+    sums = own.groupBy("up").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count("hash").alias("hashes")
+    )
+    shared = _neighbours(own.filter("hash is not null"))
+    both = sums.unionByName(
+        shared.select(
+            "up",
+            F.lit(0).cast("long").alias("files"),
+            F.lit(None).cast("long").alias("bytes"),
+            (-F.col("pairs")).alias("hashes"),
+        )
+    )
+    ranged = both.repartitionByRange("up").sortWithinPartitions("up")
+    partial = ranged.mapInPandas(_subtree_sums, "dir string, files long, bytes long, hashes long")
+    return partial.groupBy("dir").agg(
+        F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("hashes").alias("unique_hashes")
+    )
+
+
+def _neighbours(hashed: DataFrame) -> DataFrame:
+    """``up, pairs``: for directories, of how many neighbours by hash they are the lowest common one."""
+
+    def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, kind = TaskContext.get().partitionId(), None, pa.list_(pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("hash"), batch.column("up")
+            first = before or tuple(pa.nulls(1, c.type) for c in keys)
+            shifted = [pa.concat_arrays([f, c.slice(0, len(c) - 1)]) for f, c in zip(first, keys, strict=True)]
+            edge = pa.array([part if before is None and i == 0 else None for i in range(len(keys[0]))], pa.int64())
+            none = pa.nulls(len(keys[0]), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*keys, *shifted, edge, none], names=["hash", "up", "hash_before", "up_before", "first_of", "last_of"]
+            )
+            before = tuple(c.slice(len(c) - 1) for c in keys)
+        if before:
+            yield pa.RecordBatch.from_arrays(
+                [*before, pa.nulls(1, pa.string()), pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.array([str(part)])],
+                names=["hash", "up", "hash_before", "up_before", "first_of", "last_of"],
+            )
+
+    # Equal files of one directory have a place of their own, so no range has to hold them all.
+    order = ["hash", "up", "path"]
+    rows = hashed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).drop("path")
+    pairs = rows.mapInArrow(
+        paired,
+        "hash string, up array<string>, hash_before string, up_before array<string>,"
+        " first_of long, last_of string",
     )
+    # What remains of a task: a row for each directory, and its first and last file.
+    common = F.when(
+        F.col("hash") == F.col("hash_before"), F.array_intersect("up", "up_before")
+    )
+    ends = F.when(
+        F.col("first_of").isNotNull() | F.col("last_of").isNotNull(), F.struct("hash", "up")
+    )
+    counted = pairs.select(common.alias("common"), "first_of", F.col("last_of").cast("long"), ends.alias("end"))
+    counted = counted.groupBy("common", "first_of", "last_of", "end").agg(F.count(F.lit(1)).alias("pairs"))
+    counted = stage(counted, "rollup-pairs")
+    # A task's first file follows the last one of the task before that had any: two rows a task.
+    edges = counted.filter("end is not null").select("end", F.coalesce("first_of", "last_of").alias("part"), "last_of")
+    before = F.lag("end").over(Window.orderBy("part", F.col("last_of").asc_nulls_first()))
+    across = edges.withColumn("before", before).filter(
+        F.col("last_of").isNull() & (F.col("before.hash") == F.col("end.hash"))
+    )
+    inside = counted.filter(F.size("common") > 0).select(F.col("common").alias("up"), "pairs")
+    over = across.select(
+        F.array_intersect("end.up", "before.up").alias("up"), F.lit(1).cast("long").alias("pairs")
+    )
+    every = inside.unionByName(over.filter(F.size("up") > 0))
+    return every.groupBy("up").agg(F.sum("pairs").alias("pairs"))
+
+
+def _subtree_sums(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of each directory of a range over what lies in the range at or below it."""
+    open_: list[list] = []  # from the root down: directory and its sums so far
+    done: list[list] = []
+
+    def close(depth: int) -> None:
+        while len(open_) > depth:
+            node = open_.pop()
+            done.append(node)
+            if open_:
+                above = open_[-1]
+                above[1] += node[1]
+                above[2] = above[2] if node[2] is None else node[2] + (above[2] or 0)
+                above[3] += node[3]
+
+    def frame() -> pd.DataFrame:
+        made = pd.DataFrame(done, columns=["dir", "files", "bytes", "hashes"])
+        done.clear()
+        return made.astype({"bytes": "Int64"})
+
+    for rows in frames:
+        for up, files, size, hashes in zip(
+            rows["up"], rows["files"], rows["bytes"], rows["hashes"], strict=True
+        ):
+            same = 0
+            while same < min(len(open_), len(up)) and open_[same][0] == up[same]:
+                same += 1
+            close(same)
+            open_.extend([directory, 0, None, 0] for directory in up[same:])
+            node = open_[-1]
+            node[1] += files
+            node[2] = node[2] if pd.isna(size) else int(size) + (node[2] or 0)
+            node[3] += hashes
+        yield frame()
+    close(0)
+    yield frame()
 
 
 def extension_profile(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,40 @@ def test_directory_rollup_and_extensions(spark):
     assert rollup == {("/r", 3, 7, 1), ("/r/d", 2, 6, 1), ("/r/d/e", 1, 4, 0)}
     profile = {tuple(r) for r in tree.extension_profile(files).collect()}
     assert profile == {("txt", 2, 3, 1, 1), ("", 1, 4, 0, 0)}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_directory_rollup_against_plain_code(spark, partitions):
+    """Deep trees, two roots, a hash that a third of the files have, files without a hash."""
+    random_ = random.Random(partitions)
+    rows = []
+    for i in range(900):
+        root = random_.choice(["/r", "/r2", "/"])
+        steps = [random_.choice(["a", "b", "a b", "a!"]) for _ in range(random_.choice([0, 1, 2, 3, 12]))]
+        hash_ = random_.choice(["hot", None, f"h{random_.randrange(40)}"])
+        size = None if hash_ is None else random_.randrange(100)
+        rows.append((root, "/".join([root.rstrip("/"), *steps, f"f{i}"]), size, hash_))
+    want = {}
+    for root, path, size, hash_ in rows:
+        relative = path[len(root.rstrip("/")) + 1 :].split("/")[:-1]
+        for k in range(len(relative) + 1):
+            directory = "/".join([root.rstrip("/"), *relative[:k]]) or "/"
+            node = want.setdefault(directory, [0, None, set()])
+            node[0] += 1
+            node[1] = node[1] if size is None else size + (node[1] or 0)
+            node[2] |= {hash_} - {None}
+    files = spark.createDataFrame(rows, "root string, path string, size bigint, hash string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rollup = {r[0]: tuple(r[1:]) for r in tree.directory_rollup(files.repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rollup == {d: (n, size, len(hashes)) for d, (n, size, hashes) in want.items()}
+
+
+def test_directory_rollup_of_nothing(spark):
+    files = spark.createDataFrame([], "root string, path string, size bigint, hash string")
+    assert tree.directory_rollup(files).collect() == []

@@ -75,12 +75,17 @@ def test_content_is_read_and_digested_once(spark, name, digests):
     assert text.count("sha2(") == digests
 
 
-@pytest.mark.parametrize("name, shuffles", [("dedup_hash", 1), ("dir_rollup", 2), ("snapshot_diff", 1), ("paths_exist", 2), ("empty_dirs", 2), ("match_rules", 0), ("exclude_globs", 0), ("fingerprint_rows", 0)])
+@pytest.mark.parametrize("name, shuffles", [("dedup_hash", 1), ("dir_rollup", 3), ("snapshot_diff", 1), ("paths_exist", 2), ("empty_dirs", 2), ("match_rules", 0), ("exclude_globs", 0), ("fingerprint_rows", 0)])
 def test_number_of_shuffles(spark, name, shuffles):
-    """The two tree queries also make the table of distinct directories with one shuffle."""
+    """``dir_rollup`` adds up directories, pairs of neighbours, and what tasks have of both."""
     assert plan(entry.queries()[name](spark, SMALL)).count("Exchange hashpartitioning") == shuffles
 
 
+def test_the_rollup_copies_no_file_to_its_directories(spark):
+    text = plan(entry.queries()["dir_rollup"](spark, SMALL))
+    assert "Generate" not in text and "Expand" not in text
+
+
 def test_the_whole_job_filters_ranks_and_batches(spark):
     """The row runs the job itself: batches are made, and hold every unique file once."""
     row = entry.queries()["scan_summary"](spark, SMALL).first()
