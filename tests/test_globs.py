@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -6,12 +7,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filecorpus.functions.globs import (
+    extended_glob_text,
     is_glob,
     plain_glob_regex,
     plain_glob_regex_column,
 )
 from filecorpus.operators.filters import exclude_globs
-from filecorpus.operators.rules import match_patterns, match_rules
+from filecorpus.operators.rules import match_patterns, match_rules, rule_candidates
 from filecorpus.sources.listing import WalkOptions
 
 
@@ -197,3 +199,25 @@ def test_directories_above_the_root_are_not_tested(spark):
     listing = spark.createDataFrame([("/a/b", "/a/b/c")], "root string, path string")
     assert exclude_globs(listing, ["a", "/a"]).count() == 1
     assert exclude_globs(listing, ["b"]).count() == 0
+
+
+def test_rules_with_inner_text_meet_few_paths(spark):
+    """Rules by their inner text: candidates are close to matches, also where nothing is broadcast."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.choice([2, 3, 4, 9]))) for _ in range(400)]
+    paths = ["/".join(["", *rng.choices(words, k=4)]) + rng.choice([".log", ".txt", ""]) for _ in range(600)]
+    patterns = [f"**{w}**" for w in words] + [f"/*/*{w}?*/**" for w in words[:50]]
+    patterns += [f"**[xyz]{w}**.log" for w in words[:20]] + ["**", "/**/[a-c]*", "**{x}**", "*\\\\a*"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    rules_ = spark.createDataFrame(list(enumerate(patterns)), "rule_id bigint, pattern string")
+    want = set()
+    for number, pattern in enumerate(patterns):
+        readings = [r for r in (plain_glob_regex(pattern), extended_glob_text(pattern)) if r is not None]
+        regex = re.compile("|".join(readings))
+        want |= {(p, number) for p in paths if regex.fullmatch(p)}
+    for broadcast in (True, False):
+        got = match_rules(files, rules_, broadcast).collect()
+        assert sorted((r.path, r.rule_id) for r in got) == sorted((p, n) for p in paths for q, n in want if q == p)
+    inner = rules_.filter("rule_id < 400")
+    tried, matched = rule_candidates(files, inner).count(), match_rules(files, inner).count()
+    assert matched <= tried < 1.5 * matched < 0.1 * len(paths) * 400
