@@ -6,8 +6,9 @@ word, a word with the white space before it. Ids of pieces are kept in a diction
 bounded size. Of a new piece of Latin letters and then punctuation, both parts are tokens of
 their own; the letters go to the tokenizer's model directly, once for all endings. Other new pieces are encoded many at a time, with a
 control character between them whose token tells where each ends. Texts for which this does
-not hold (other white space than blanks and newlines, the control character itself) and
-texts with very long pieces are encoded whole.
+not hold (other white space than blanks and newlines, the control character itself), texts
+with the string of one of the vocabulary's special tokens, which the library makes that token,
+and texts with very long pieces are encoded whole.
 """
 
 from __future__ import annotations
@@ -46,15 +47,16 @@ class Encoder:
 
         self._made_of = (path, spaces_in_tokens, kept)
         self._tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         wide = self._tokenizer.get_vocab_size() > 1 << 16
         self.dtype, self._format = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self._spaces = spaces_in_tokens
         self._lower = "Lowercase" in str(self._tokenizer.normalizer)
         self._piece = re.compile(r"[ \n]+[^ \n]*|[^ \n]+" if spaces_in_tokens else r"[^ \n]+")
-        self._whole = re.compile(rf"[^\S \n]|{MARK}" if spaces_in_tokens else MARK)
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        odd = [MARK, *map(re.escape, special), *([r"[^\S \n]"] if spaces_in_tokens else [])]
+        # Written in any case, as a normaliser may come before the token.
+        self._whole = re.compile("|".join(odd), re.IGNORECASE)
         # A newline before a word is a token of its own.
         before, blank = (r"\n?", " ?") if spaces_in_tokens else ("", "")
         self._latin = re.compile(rf"({before})({blank}[{LATIN}]+)([{PUNCTUATION}]*)").fullmatch

@@ -56,7 +56,6 @@ def test_sequences_are_gapless_and_few(capacity, n):
 
 def check(rows, texts, capacity=1024):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))

@@ -15,14 +15,13 @@ from tests.llm.conftest import EDGES
 FILES = [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)]
 ODD = [
     "", "a\tb c", "a \t\n b", "!\x1c ! a", "x\x01 y", " lead", "trail ", "trail \n\n", "\n\n a  b\n",
-    "it's we'll  I'm", "(a) (b)", "é̀ ö Ä", "<|endoftext|> x", "a  b", "😀 😀😀", "  ", "x  (y", "end!!,'s",
+    "it's we'll  I'm", "(a) (b)", "é̀ ö Ä", "<|endoftext|> x", "ab<|EndOfText|>. <|startoftext|>", "a  b", "😀 😀😀", "  ", "x  (y", "end!!,'s",
     "\nWord", "\n word..", "Word_x ...", "µ ª ß ÿ Ÿ", "x" * 300 + " y", "don't'", "''s a's",
 ]
 
 
 def plain(name):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
