@@ -7,7 +7,10 @@ Two ways to the same table (``schema.LISTING``):
 * :func:`list_tree` lists level by level, each level being one Spark job over the
   directories found by the one before, for trees of any shape and size.
 
-Both see local paths, so on a cluster the tree must be mounted on every executor.
+``spark.readStream.format("file_listing")`` gives the files that have come or changed since the
+last trigger.
+
+All see local paths, so on a cluster the tree must be mounted on every executor.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import json
 import os
 import re
 import stat
+import time
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import cached_property
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     InputPartition,
@@ -121,10 +126,10 @@ _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 def _entry(root: str, parent: str, path: str, depth: int, info: os.stat_result) -> tuple:
     name = os.path.basename(path)
-    time = _EPOCH + dt.timedelta(microseconds=info.st_mtime_ns // 1000)
+    modified = _EPOCH + dt.timedelta(microseconds=info.st_mtime_ns // 1000)
     kind = _kind(info.st_mode)
     mode = stat.S_IMODE(info.st_mode)
-    return (root, path, parent, name or path, depth, kind, info.st_size, time, mode, None, None)
+    return (root, path, parent, name or path, depth, kind, info.st_size, modified, mode, None, None)
 
 
 def open_root(root: str, options: WalkOptions) -> tuple | None:
@@ -300,7 +305,7 @@ def _flag(text: str) -> bool:
 
 class FileListing(DataSource):
     """``file_listing``: options paths, maxDepth, maxFileSize, skipSymlinks, skipHidden,
-    exclude, numPartitions and pushDepth.
+    exclude, numPartitions and pushDepth; for a stream also since and settle.
 
     Set pushDepth to true where ``spark.sql.python.filterPushdown.enabled`` is; Spark
     refuses a reader that takes filters anywhere else.
@@ -313,7 +318,7 @@ class FileListing(DataSource):
     def schema(self):
         return LISTING
 
-    def reader(self, schema) -> FileListingReader:
+    def _walk(self) -> tuple[list[str], WalkOptions, int]:
         get = self.options.get
         roots = split_paths(get("paths", get("path", "")))
         if not roots:
@@ -325,8 +330,15 @@ class FileListing(DataSource):
             skip_hidden=_flag(get("skipHidden", "true")),
             exclude=tuple(split_paths(get("exclude", ""))),
         )
-        kind = DepthPushingReader if _flag(get("pushDepth", "false")) else FileListingReader
-        return kind(roots, options, int(get("numPartitions", "64")))
+        return roots, options, int(get("numPartitions", "64"))
+
+    def reader(self, schema) -> FileListingReader:
+        pushes = _flag(self.options.get("pushDepth", "false"))
+        return (DepthPushingReader if pushes else FileListingReader)(*self._walk())
+
+    def streamReader(self, schema) -> FileChangesReader:
+        get = self.options.get
+        return FileChangesReader(*self._walk(), float(get("since", "0")), float(get("settle", "2")))
 
 
 class FileListingReader(DataSourceReader):
@@ -390,17 +402,92 @@ class DepthPushingReader(FileListingReader):
             yield pushed
 
 
+@dataclass
+class Changes(InputPartition):
+    """A part of the tree, and the times of change (exclusive, inclusive) that are asked for."""
+
+    part: InputPartition
+    after: int
+    until: int
+
+
+class FileChangesReader(DataSourceStreamReader):
+    """Files that have come or changed, a trigger at a time.
+
+    An offset is a point in time, in nanoseconds, up to which changes have been taken; a
+    trigger takes the files whose inode has changed since the offset before. The inode's time
+    is also that of a file moved in with an old modification time, and nobody can set it. So
+    every version of a file that is there at a trigger comes once; a restarted query asks for
+    the same interval again, from its checkpoint, and what has changed once more in between
+    comes with its new time instead. Nothing but two numbers is kept, however large the tree.
+
+    ``since`` (seconds since 1970) leaves out what is older. The last ``settle`` seconds are
+    left to the next trigger: clocks of file servers may be that far behind. Directories,
+    links and errors are for the batch reader.
+    """
+
+    def __init__(
+        self, roots: list[str], options: WalkOptions, wanted: int, since: float, settle: float
+    ) -> None:
+        self._reader = FileListingReader(roots, options, wanted)
+        self._since, self._settle = int(since * 1e9), int(settle * 1e9)
+
+    def initialOffset(self) -> dict:
+        return {"until": self._since}
+
+    def latestOffset(self) -> dict:
+        return {"until": max(self._since, time.time_ns() - self._settle)}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        return [Changes(part, start["until"], end["until"]) for part in self._reader.partitions()]
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held back for a replay: the tree itself is read again."""
+
+    def read(self, partition: Changes) -> Iterator[pa.RecordBatch]:
+        def changed(path: str) -> bool:
+            try:
+                return partition.after < os.lstat(path).st_ctime_ns <= partition.until
+            except OSError:
+                return False
+
+        for batch in self._reader.read(partition.part):
+            kinds, paths = (batch.column(c).to_pylist() for c in ("kind", "path"))
+            kept = [k == "file" and changed(p) for k, p in zip(kinds, paths, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def register(spark: SparkSession) -> None:
     """Make ``file_listing`` known to the session."""
     spark.dataSource.register(FileListing)
 
 
+def read_changes(
+    spark: SparkSession,
+    roots: Sequence[str],
+    options: WalkOptions = WalkOptions(),
+    *,
+    since: float = 0,
+    settle: float = 2,
+) -> DataFrame:
+    """The stream of files that come or change below the roots (``FileChangesReader``)."""
+    register(spark)
+    reader = _with_options(spark.readStream, spark, roots, options)
+    return reader.options(since=since, settle=settle).load()
+
+
 def read_listing(spark: SparkSession, roots: Sequence[str], options: WalkOptions = WalkOptions()) -> DataFrame:
     """The listing of several roots through the data source; overlaps are listed twice."""
     register(spark)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return _with_options(spark.read, spark, roots, options).option("pushDepth", pushes).load()
+
+
+def _with_options(reader, spark: SparkSession, roots: Sequence[str], options: WalkOptions):
+    """A batch or stream reader of the data source."""
     subtrees = min(4 * spark.sparkContext.defaultParallelism, MAX_SUBTREES)
     return (
-        spark.read.format("file_listing")
+        reader.format("file_listing")
         .option("numPartitions", subtrees)
         .option("paths", json.dumps(list(roots)))
         .option("maxDepth", options.max_depth)
@@ -408,8 +495,6 @@ def read_listing(spark: SparkSession, roots: Sequence[str], options: WalkOptions
         .option("skipSymlinks", str(options.skip_symlinks).lower())
         .option("skipHidden", str(options.skip_hidden).lower())
         .option("exclude", json.dumps(list(options.exclude)))
-        .option("pushDepth", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
-        .load()
     )
 
 

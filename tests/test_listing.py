@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from filecorpus.operators import filters
 from filecorpus.operators.fingerprint import fingerprint
 from filecorpus.operators.tree import empty_directories, paths_exist
 from filecorpus.sources.binary import binary_files
-from filecorpus.sources.listing import WalkOptions, list_tree, read_listing, split_paths
+from filecorpus.sources.listing import WalkOptions, list_tree, read_changes, read_listing, split_paths
 from filecorpus.streaming.dedup import write_unique
 
 ALL = WalkOptions(skip_hidden=False)
@@ -249,6 +250,49 @@ def test_new_files_are_streamed_into_the_deduplication(spark, tmp_path):
     assert kept == [2, 3]
 
 
+def test_changes_of_a_tree_come_once(spark, tmp_path):
+    """New, moved-in and changed files, over restarts of the query."""
+    root, old = tmp_path / "tree", tmp_path / "old"
+    make(root, "a", "in/deep/b", ".hidden", "skip.tmp")
+    make(old, "moved")
+    os.utime(old / "moved", (1, 1))
+    options = WalkOptions(exclude=("*.tmp",))
+
+    def run():
+        time.sleep(0.05)
+        stream = read_changes(spark, [str(root)], options, settle=0).select("name")
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return sorted(r.name for r in spark.read.schema("name string").parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["a", "b"]
+    assert run() == ["a", "b"]
+    make(root, "in/c", "skip2.tmp")
+    (old / "moved").rename(root / "moved")
+    (root / "a").write_bytes(b"other")
+    assert run() == ["a", "a", "b", "c", "moved"]
+    assert run() == ["a", "a", "b", "c", "moved"]
+
+
+def test_an_interval_of_changes_is_the_same_when_read_again(tmp_path):
+    from filecorpus.sources.listing import FileChangesReader
+
+    make(tmp_path, "a", "x/b")
+    reader = FileChangesReader([str(tmp_path)], WalkOptions(), 3, 0, 0)
+    start, end = reader.initialOffset(), reader.latestOffset()
+
+    def names(start, end):
+        batches = [b for p in reader.partitions(start, end) for b in reader.read(p)]
+        return sorted(n for b in batches for n in b.column("name").to_pylist())
+
+    time.sleep(0.05)
+    make(tmp_path, "late")
+    assert names(start, end) == names(start, end) == ["a", "b"]
+    assert names(end, reader.latestOffset()) == ["late"]
+    since = FileChangesReader([str(tmp_path)], WalkOptions(), 3, time.time() + 60, 0)
+    assert since.latestOffset() == since.initialOffset()
+
+
 def expected_files(root, max_depth, skip_hidden, max_size, names):
     """Plain statement of which files a listing has; ``names`` are excluded base names."""
     found, pending = [], [(root, 0)]
