@@ -17,8 +17,8 @@ of counters that shingles are hashed to, then by hash. Any order gives the same
 count only makes lists of very frequent shingles longer.
 
 Only components are asked for, so pairs of a list are not written out: its members are linked
-to the smallest one, then, where components are left, to the largest, and then members of
-different components are compared in blocks. Set sizes and the parity of hashed shingles give
+to the smallest one, and where components are left, members of different ones are compared:
+of short lists all, many lists at once, of long ones in blocks. Set sizes and the parity of hashed shingles give
 a bound that spares most pairs (each differing bit is a differing shingle); what is left is
 confirmed on the full sets. A block with many such pairs is compared with the sets beside it
 and gives a spanning forest of its links.
@@ -31,28 +31,30 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecorpus.llm.common import components_sql, parts, query, slices, table
+from filecorpus.llm.common import batches_of, components_sql, parts, query, slices, table
 from filecorpus.llm.near_duplicates import components, mixed
+from filecorpus.llm.phrases import bitmap
 from filecorpus.operators.joins import BROADCAST_BYTES, table_bytes
 from filecorpus.staging import stage
 
 WORDS = 4
 PERCENT = 85
 SUBSET = 2
-COUNTER_BITS = 20
+COUNTER_BITS = 21
 COUNTERS_A_ROW = 1 << 14
 PARITY_BITS = 1024
 LARGEST_BOUNDARY = 1024
 COMPARISON_COST = 0.02  # of one shuffled row
+SHORT_LIST = 64
 BLOCK, MEMBERS = 2048, 32_768
 BLOCK_SHINGLES = 4 << 20
 DENSE = 256
 AT_ONCE = 1 << 16
 ROWS_PER_TASK = 20_000
-HASHES_HELD = 1 << 21
 
 _TIMES = np.array(  # fixed values: odd multipliers, one for each word of a shingle
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
@@ -95,7 +97,7 @@ def first_shingles(n: int, shared: int) -> int:
 
 
 def can_differ(n: int) -> bool:
-    """Whether a set of ``n`` can be similar to one that is not equal: one shingle more or less."""
+    """Whether a set of ``n`` can be similar to one that is not equal, of one shingle more."""
     return 100 * n >= PERCENT * (n + 1)
 
 
@@ -106,7 +108,6 @@ _SETS = pa.schema(
         ("doc_id", pa.int64()),
         ("n_shingles", pa.int64()),
         ("set_id", pa.binary()),
-        ("hashes", pa.binary()),
         ("parity", pa.binary()),
         ("chunk", pa.int64()),
         ("counts", pa.binary()),
@@ -118,48 +119,44 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
+def _chosen(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """The set of every row of ``doc_id, text``, and, in rows with a ``chunk``, counts of shingles."""
+    """What stands for the set of every row, and, in rows with a ``chunk``, counts of shingles."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n_held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            held += sets
-            n_held += sum(map(len, sets))
-            if n_held > HASHES_HELD:
-                counts += np.bincount(_counter(np.concatenate(held)), minlength=len(counts))
-                held, n_held = [], 0
+            np.add.at(counts, _counter(np.concatenate(sets)), np.uint32(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    *(pa.array([f(s) for s in sets], pa.binary()) for f in (set_id, np.ndarray.tobytes, parity)),
+                    *(pa.array([f(s) for s in sets], pa.binary()) for f in (set_id, parity)),
                     pa.nulls(len(sets), pa.int64()),
                     pa.nulls(len(sets), pa.binary()),
                 ],
                 schema=_SETS,
             )
-        if held:
-            counts += np.bincount(_counter(np.concatenate(held)), minlength=len(counts))
         for chunk, some in enumerate(counts.reshape(-1, min(len(counts), COUNTERS_A_ROW))):
             if some.any():
-                kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if some.max() <= np.iinfo(k).max)
-                row = [None, None, None, None, None, chunk, some.astype(kind).tobytes()]
+                kind = next(k for k in ("<u1", "<u2", "<u4") if some.max() <= np.iinfo(k).max)
+                row = [None, None, None, None, chunk, some.astype(kind).tobytes()]
                 yield pa.record_batch(
                     [pa.array([v], f.type) for v, f in zip(row, _SETS, strict=True)], schema=_SETS
                 )
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(
+    return _chosen(docs).mapInArrow(
         made,
-        "doc_id long, n_shingles long, set_id binary, hashes binary, parity binary,"
-        " chunk long, counts binary",
-    ).withColumn("node", F.monotonically_increasing_id())
+        "doc_id long, n_shingles long, set_id binary, parity binary, chunk long, counts binary",
+    )
 
 
 def counters(made: DataFrame) -> np.ndarray:
-    """The counters of all rows: 2^COUNTER_BITS numbers (4 MB), whatever the corpus."""
+    """The counters of all rows: 2^COUNTER_BITS numbers (8 MB), whatever the corpus."""
     width = min(1 << COUNTER_BITS, COUNTERS_A_ROW)
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,45 +183,74 @@ def in_order(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.argsort(counts[_counter(hashes)], kind="stable")
 
 
-def first_of_sets(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``node, n_shingles, first, scan``: the first shingles, and how long their lists are about."""
-    context = sets.sparkSession.sparkContext
-    shared = context.broadcast(counts)
+def first_of_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``doc_id, set_id, n_shingles, first, scan`` of every row that can have a partner.
+
+    ``first`` are its first shingles, ``scan`` says how long their lists are about.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     # Counters hold other shingles too; what stands out from that counts as list length.
     mean = float(counts.mean())
     usual = mean + 3 * mean**0.5
     schema = pa.schema(
-        [("node", pa.int64()), ("n_shingles", pa.int64()), ("first", pa.binary()), ("scan", pa.int64())]
+        [
+            ("doc_id", pa.int64()),
+            ("set_id", pa.binary()),
+            ("n_shingles", pa.int64()),
+            ("first", pa.binary()),
+            ("scan", pa.int64()),
+        ]
     )
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = shared.value
-        for batch in slices(batches):
-            firsts, scans = [], []
-            for n, held in zip(
-                batch.column("n_shingles").to_pylist(), batch.column("hashes"), strict=True
-            ):
-                hashes = np.frombuffer(held.as_buffer(), np.uint64)
-                first = hashes[in_order(hashes, table_)[: first_shingles(n, SUBSET)]]
-                firsts.append(first.tobytes())
-                lists = table_[_counter(first[: first_shingles(n, 1)])]
-                scans.append(int(np.maximum(lists - usual, 0).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node"),
-                    batch.column("n_shingles"),
-                    pa.array(firsts, pa.binary()),
-                    pa.array(scans, pa.int64()),
-                ],
-                schema=schema,
-            )
-
-    large = sets.filter(100 * F.col("n_shingles") >= PERCENT * (F.col("n_shingles") + 1))
-    return large.select("node", "n_shingles", "hashes").mapInArrow(
-        chosen, "node long, n_shingles long, first binary, scan long"
+        of_counter = shared.value
+
+        def rows() -> Iterator[tuple]:
+            for batch in slices(batches):
+                for doc_id, text in zip(
+                    batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
+                ):
+                    hashes = shingles(text)
+                    n = len(hashes)
+                    if can_differ(n):
+                        first = hashes[in_order(hashes, of_counter)[: first_shingles(n, SUBSET)]]
+                        lists = of_counter[_counter(first[: first_shingles(n, 1)])]
+                        scan = int(np.maximum(lists - usual, 0).sum())
+                        yield doc_id, set_id(hashes), n, first.tobytes(), scan
+
+        yield from batches_of(schema, rows(), 1024)
+
+    return _chosen(docs).mapInArrow(
+        chosen, "doc_id long, set_id binary, n_shingles long, first binary, scan long"
     )
 
 
+def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, hashes`` of the nodes asked for; a short list of them goes to the texts."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
+    asked = classes.join(nodes.distinct(), "node").select("node", "rep", "set_id")
+    if table_bytes(asked) <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in slices(batches):
+                for node, wanted, text in zip(
+                    *(batch.column(c).to_pylist() for c in ("node", "set_id", "text")), strict=True
+                ):
+                    found = shingles(text)
+                    # Other rows may have the same id and another text.
+                    if set_id(found) == wanted:
+                        yield node, found.tobytes()
+
+        yield from batches_of(schema, rows(), 256)
+
+    found = _chosen(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("rep")))
+    held = found.select("node", "set_id", "text").mapInArrow(hashed, "node long, hashes binary")
+    # Rows repeated as a whole give a set several times.
+    return held.dropDuplicates(["node"])
+
+
 # --- light and heavy sets -----------------------------------------------------------------
 
 
@@ -258,25 +284,36 @@ def keys_of(first: np.ndarray, n: int, bound: int) -> np.ndarray:
 
 
 def shared_keys(firsts: DataFrame, bound: int) -> DataFrame:
-    """``key, node`` of every set, as far as others have the key."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    """``key, node`` of every set, as far as others have the key.
 
-    def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            keys = [
-                keys_of(np.frombuffer(held.as_buffer(), np.uint64), n, bound)
-                for n, held in zip(
-                    batch.column("n_shingles").to_pylist(), batch.column("first"), strict=True
-                )
-            ]
-            nodes = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(nodes)], schema=schema
-            )
+    Most keys are of one set only. Those of several are found first, and a bitmap of bounded
+    size keeps most others from being sent with their nodes.
+    """
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
-    keys = firsts.select("node", "n_shingles", "first").mapInArrow(filed, "key long, node long")
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return keys.join(several, "key")
+    def filed(known: Broadcast | None) -> DataFrame:
+        def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1024):
+                lists = [
+                    keys_of(np.frombuffer(held.as_buffer(), np.uint64), n, bound)
+                    for n, held in zip(
+                        batch.column("n_shingles").to_pylist(), batch.column("first"), strict=True
+                    )
+                ]
+                keys = np.concatenate(lists)
+                nodes = np.repeat(batch.column("node").to_numpy(), [len(k) for k in lists])
+                if known is not None:
+                    kept = known.value.has(keys.view(np.uint64))
+                    keys, nodes = keys[kept], nodes[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], schema=schema)
+
+        chosen = firsts.select("node", "n_shingles", "first")
+        return chosen.mapInArrow(rows, "key long, node long")
+
+    several = filed(None).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    several = stage(several, "shared-keys")
+    known = firsts.sparkSession.sparkContext.broadcast(bitmap(several))
+    return filed(known).join(several, "key")
 
 
 # --- pairs ----------------------------------------------------------------------------------
@@ -317,18 +354,10 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(near, "a long, b long")
 
 
-def of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, hashes`` of the nodes asked for; a list of them that is small goes to the sets."""
-    asked = nodes.distinct()
-    if table_bytes(asked) <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    return sets.select("node", "hashes").join(asked, "node", "left_semi")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a written table) whose full sets have the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    held = stage(of_nodes(sets, nodes), "sets-asked")
+    held = stage(full_sets(docs, classes, nodes), "full-sets")
     both = pairs
     for side in "ab":
         both = both.join(held.select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}")), side)
@@ -357,9 +386,9 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several, "key")
 
 
-def _with_hub(members: DataFrame, hub: str) -> DataFrame:
-    """Pairs ``a, b`` of each member with the smallest or largest of its list."""
-    hubs = members.groupBy("key").agg(getattr(F, hub)(F.struct("node", "component")).alias("hub"))
+def _with_smallest(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each member with the smallest of its list."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "component")).alias("hub"))
     pairs = members.join(hubs, "key").filter(F.col("hub.component") != F.col("component"))
     both = ("node", "hub.node")
     return pairs.select(F.least(*both).alias("a"), F.greatest(*both).alias("b")).distinct()
@@ -369,7 +398,7 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``group, role, node, component, n_shingles`` of what is to be compared.
 
     Members outside the largest component of a list (role 0) meet all its members (role 1),
-    both in blocks bounded in number and in shingles.
+    both in blocks bounded in number and in shingles. Short lists are whole, in role 1.
     """
     sized = members.join(classes.select("node", "n_shingles"), "node")
     counts = sized.groupBy("key", "component").agg(
@@ -377,8 +406,13 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
     )
     lists = counts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"),
-        _number((F.sum("n") - F.max("n")), BLOCK, "blocks"),
-        _number(F.sum("n"), MEMBERS, "shares"),
+        F.sum("n").alias("members"),
+        _number(F.sum("n") - F.max("n"), BLOCK).alias("blocks"),
+        _number(F.sum("n"), MEMBERS).alias("shares"),
+    )
+    short, one = F.col("members") <= SHORT_LIST, F.lit(1).cast("long")
+    lists = lists.withColumns(
+        {c: F.when(short, one).otherwise(F.col(c)) for c in ("blocks", "shares")}
     )
     known = sized.join(lists, "key").withColumn("dealt", F.xxhash64("node"))
     kept = ["node", "component", "n_shingles"]
@@ -392,33 +426,57 @@ def _blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
         )
 
-    asked = role(known.filter("component <> main"), 0, "blocks", "shares")
+    asked = role(known.filter((F.col("component") != F.col("main")) & ~short), 0, "blocks", "shares")
     met = role(known, 1, "shares", "blocks")
     return asked.unionByName(met).select(
         F.xxhash64("key", "blocks", "shares").alias("group"), "role", *kept
     )
 
 
-def _number(members: Column, each: int, name: str) -> Column:
-    return F.greatest(F.ceil(members / each), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias(name)
+def _number(members: Column, each: int) -> Column:
+    return F.greatest(F.ceil(members / each), F.ceil(F.sum("shingles") / BLOCK_SHINGLES))
 
 
-def _groups(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows that come by group, a group at a time."""
-    number, held = None, []
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come by group, in tables that cut no group."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         numbers = batch.column("group").to_numpy()
-        edges = (np.flatnonzero(np.diff(numbers)) + 1).tolist()
-        for a, b in zip([0, *edges], [*edges, len(numbers)], strict=True):
-            if a == b:
-                continue
-            if held and numbers[a] != number:
-                yield number, pa.Table.from_batches(held)
-                held = []
-            number = int(numbers[a])
-            held.append(batch.slice(a, b - a).select(columns))
+        if not len(numbers):
+            continue
+        last = int(np.flatnonzero(numbers == numbers[-1])[0])
+        if held and held[-1].column("group")[0].as_py() != numbers[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
     if held:
-        yield number, pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held)
+
+
+def _edges(numbers: np.ndarray) -> list[tuple[int, int]]:
+    cuts = (np.flatnonzero(np.diff(numbers)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(numbers)], strict=True))
+
+
+def _in_short_lists(lists: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs that may be linked, of all lists at once: each row and the s-th after it."""
+    numbers, component, n = (
+        lists.column(c).to_numpy() for c in ("group", "component", "n_shingles")
+    )
+    marks = _parities(lists.column("parity").combine_chunks())
+    s, rows = 1, np.arange(len(numbers))
+    while len(rows := rows[rows < len(numbers) - s]):
+        rows = rows[numbers[rows] == numbers[rows + s]]
+        apart = rows[component[rows] != component[rows + s]]
+        for i in range(0, len(apart), AT_ONCE):
+            x = apart[i : i + AT_ONCE]
+            y = x + s
+            near = may_link(n[x], n[y], marks[x], marks[y])
+            yield x[near], y[near]
+        s += 1
 
 
 def _near_in(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -464,33 +522,50 @@ def _forest(pairs: Iterable[tuple[np.ndarray, np.ndarray]], nodes: np.ndarray, s
 
 
 def _across(
-    members: DataFrame, classes: DataFrame, sets: DataFrame
+    members: DataFrame, classes: DataFrame, docs: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Possible pairs ``a, b`` of members of different components, and links from dense blocks."""
     rows = stage(_blocks(members, classes), "blocks")
     tasks = parts(rows.count(), ROWS_PER_TASK)
-    columns = ["role", "node", "component", "n_shingles", "parity"]
     marks = classes.select("node", "parity")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(tasks, "group").sortWithinPartitions("group")
+        return rows.repartition(tasks, "group").sortWithinPartitions("group", "role")
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.int64())])
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, group in _groups(batches, columns):
-            nodes = group.column("node").to_numpy()
-            pairs, n = [], 0
-            for x, y in _near_in(group):
-                pairs.append(np.sort(np.stack([nodes[x], nodes[y]]), axis=0))
-                n += len(x)
-                if n > max(DENSE, len(nodes)):
-                    break
-            if n > max(DENSE, len(nodes)):
-                yield pa.record_batch([pa.array([v], pa.int64()) for v in (None, None, number)], schema=schema)
-            elif n:
-                a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=schema)
+        def links(nodes: np.ndarray, pairs: list[tuple]) -> pa.RecordBatch:
+            left, right = (nodes[np.concatenate(side)] for side in zip(*pairs, strict=True))
+            ends = np.unique(np.sort(np.stack([left, right]), axis=0), axis=1)
+            arrays = [*map(pa.array, ends), pa.nulls(ends.shape[1], pa.int64())]
+            return pa.record_batch(arrays, schema=schema)
+
+        for groups in _whole_groups(batches):
+            # Long lists have rows of both roles.
+            both, short = [], np.ones(len(groups), bool)
+            roles = groups.column("role").to_numpy()
+            for a, b in _edges(groups.column("group").to_numpy()):
+                if roles[a] == 0:
+                    both.append((a, b))
+                    short[a:b] = False
+            lists = groups.filter(pa.array(short))
+            if pairs := list(_in_short_lists(lists)):
+                yield links(lists.column("node").to_numpy(), pairs)
+            for a, b in both:
+                group = groups.slice(a, b - a)
+                nodes, pairs, n = group.column("node").to_numpy(), [], 0
+                for pair in _near_in(group):
+                    pairs.append(pair)
+                    n += len(pair[0])
+                    if n > max(DENSE, b - a):
+                        number = group.column("group")[0].as_py()
+                        row = [pa.array([v], pa.int64()) for v in (None, None, number)]
+                        yield pa.record_batch(row, schema=schema)
+                        break
+                else:
+                    if n:
+                        yield links(nodes, pairs)
 
     found = stage(
         dealt(rows.join(marks, "node")).mapInArrow(compared, "a long, b long, dense long"), "found"
@@ -499,14 +574,18 @@ def _across(
         rows.join(found.filter("dense is not null").select(F.col("dense").alias("group")), "group"),
         "dense",
     )
-    again = dense.join(marks, "node").join(of_nodes(sets, dense.select("node")), "node")
+    sets = full_sets(docs, classes, dense.select("node"))
+    again = dense.join(marks, "node").join(sets, "node")
 
     def connected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, [*columns, "hashes"]):
-            held = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
-            links = _forest(_near_in(group), group.column("node").to_numpy(), held)
-            a, b = zip(*links, strict=True) if links else ([], [])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for groups in _whole_groups(batches):
+            for i, j in _edges(groups.column("group").to_numpy()):
+                group = groups.slice(i, j - i)
+                held = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
+                links = _forest(_near_in(group), group.column("node").to_numpy(), held)
+                a, b = zip(*links, strict=True) if links else ([], [])
+                arrays = [pa.array(x, pa.int64()) for x in (a, b)]
+                yield pa.record_batch(arrays, names=["a", "b"])
 
     pairs = found.filter("dense is null").select("a", "b").distinct()
     return pairs, dealt(again).mapInArrow(connected, "a long, b long")
@@ -525,42 +604,52 @@ def shingle_join(docs: DataFrame, *, bound: int | None = None) -> DataFrame:
     are ignored. ``bound`` sets the boundary between small and large sets instead of its cost.
     """
     made = stage(shingle_sets(docs), "sets")
-    every = made.filter("chunk is null")
+    every = made.filter("chunk is null").select("doc_id", "n_shingles", "set_id", "parity")
     classes = stage(
         every.filter("n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.min("node").alias("node")),
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("parity").alias("parity"),
+        )
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    sets = every.select("node", "n_shingles", "hashes", "parity")
+    # Of a class, the row of the document that stands for it; rows repeated as a whole are one.
+    of_row = F.col("doc_id").eqNullSafe(F.col("rep"))
+    reps = classes.select(F.col("set_id").alias("of_set"), "rep", "node")
     firsts = stage(
-        first_of_sets(sets, counters(made)).join(classes.select("node"), "node", "left_semi"), "firsts"
+        first_of_sets(docs, counters(made))
+        .join(reps, of_row & (F.col("set_id") == F.col("of_set")))
+        .select("node", "n_shingles", "first", "scan")
+        .dropDuplicates(["node"]),
+        "firsts",
     )
     if bound is None:
         size = F.least("n_shingles", F.lit(LARGEST_BOUNDARY)).alias("size")
         sizes = firsts.groupBy(size).agg(F.count("*"), F.sum("scan")).collect()
         bound = boundary([tuple(r) for r in sizes]) if sizes else 1
     members = stage(shared_keys(firsts, bound), "members")
-    marks = every.select("node", "n_shingles", "parity")
-    marks = stage(marks.join(members.select("node").distinct(), "node", "left_semi"), "marks")
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    for round_ in ("min", "max", "rest"):
+    for round_ in ("smallest", "rest"):
         apart = stage(_apart(members, labels), "apart")
         if not apart.head(1):
             break
         if round_ == "rest":
-            pairs, sure = _across(apart, marks, sets)
-            found = confirmed(stage(pairs, "pairs"), sets).unionByName(sure)
+            pairs, sure = _across(apart, classes, docs)
         else:
-            found = confirmed(stage(possible(_with_hub(apart, round_), marks), "pairs"), sets)
+            pairs, sure = possible(_with_smallest(apart), classes), None
+        found = confirmed(stage(pairs, "pairs"), docs, classes)
         known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = components(known.unionByName(found))
+        links = known.unionByName(found)
+        labels = components(links if sure is None else links.unionByName(sure))
     of_class = classes.join(labels, "node", "left").select(
         "set_id", "rep", F.coalesce("component", F.col("node")).alias("component")
     )
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = of_class.join(smallest, "component").select("set_id", "component", "component_id")
-    full = every.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_id").join(of_set, "set_id")
+    full = every.filter("n_shingles > 0").join(of_set, "set_id")
     empty = every.filter("n_shingles = 0").withColumns(
         {"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}
     )
