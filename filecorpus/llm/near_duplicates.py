@@ -274,32 +274,50 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``a, b``: the smallest node it can reach.
 
-    Large-star and small-star steps until nothing changes (Kiveris et al.); every state is
-    written, so a lost executor costs one step at most.
+    Large-star and small-star steps until all edges are stars (Kiveris et al.); every state is
+    written, so a lost executor costs one step at most. The loop ends when a large-star step
+    has moved no edge and every node has one smaller neighbour.
     """
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = stage(ordered.filter("u <> v").distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stage(small.distinct(), "edges")
-        before, state = state, _state(edges)
-        if before == state:
+    while True:
+        large = stage(_large_star(edges), "edges")
+        most, moved = _shape(large)
+        edges = large.select("u", "v")
+        # Where no node has two smaller neighbours, a small-star step changes nothing.
+        if most > 1:
+            edges = stage(_small_star(edges), "edges")
+        elif not moved:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, int, int]:
-    """What tells distinct edges from others; sums of hashes would pass 64 bits."""
-    marks = (F.bit_xor(h) for h in (F.xxhash64("u", "v"), F.xxhash64("v", "u")))
-    return tuple(edges.agg(F.count("*"), *marks).head())
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every edge goes from its larger end to the smallest neighbour of its smaller one."""
+    below = _least(edges).withColumnRenamed("u", "v")
+    found = edges.join(below, "v", "left").select(
+        "u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")
+    )
+    return found.groupBy("u", "v").agg(F.max("moved").alias("moved"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest of these."""
+    least = _least(edges)
+    small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _shape(edges: DataFrame) -> tuple[int, bool]:
+    """The most smaller neighbours of a node, and whether any edge has moved."""
+    nodes = edges.groupBy("u").agg(F.count("*").alias("n"), F.max("moved").alias("moved"))
+    most, moved = nodes.agg(F.max("n"), F.max("moved")).head()
+    return most or 0, bool(moved)
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
