@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from filecorpus.functions import paths as P
 from filecorpus.functions.content import content_hash, content_prefix, printable_strings
 from filecorpus.operators import compare, dedup, filters, rules, tree
 from filecorpus.operators.batching import assemble_batches
+from filecorpus.operators.seen import SeenKeys
 from filecorpus.operators.fingerprint import (
     file_lines,
     fingerprint,
@@ -33,7 +35,7 @@ from filecorpus.sources.corpora import (
     document_tree,
     page_files,
 )
-from filecorpus.staging import new_folder
+from filecorpus.staging import new_folder, stage
 from filecorpus.streaming.dedup import write_unique
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +521,58 @@ def incremental_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(FINGERPRINT).parquet(output).select("hash", "size")
 
 
+def _arrivals(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The documents as three batches of files that arrive one after the other."""
+    docs = table(spark, folder, "documents")
+    return [fingerprint(document_files(docs.filter(F.col("doc_id") % 3 == n))) for n in range(3)]
+
+
+@query(
+    f"""WITH {FILES} SELECT path, sha256(text) AS hash, CAST(doc_id % 3 AS INTEGER) AS batch FROM files
+    QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id % 3, path) = 1"""
+)
+def seen_table_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """What each batch adds to a table of seen keys."""
+    seen = SeenKeys(spark, new_folder(spark, "seen"))
+    kept = [
+        seen.accept(rows, str(n)).select("path", "hash", F.lit(n).alias("batch"))
+        for n, rows in enumerate(_arrivals(spark, folder))
+    ]
+    return reduce(DataFrame.unionByName, kept)
+
+
+@query(
+    f"""WITH {FILES}, groups AS (
+      SELECT path, sha256(text) AS hash, first_value(path) OVER (
+        PARTITION BY sha256(text) ORDER BY doc_id % 3, path) AS kept_path FROM files)
+    SELECT 'sha256:' || hash AS key, path, kept_path,
+      CAST(count(*) - CASE WHEN path = kept_path THEN 1 ELSE 0 END AS BIGINT) AS copies
+    FROM groups GROUP BY hash, path, kept_path
+    HAVING count(*) > CASE WHEN path = kept_path THEN 1 ELSE 0 END"""
+)
+def seen_table_suppressed(spark: SparkSession, folder: str) -> DataFrame:
+    """What each batch loses to the files of earlier ones and its own."""
+    seen = SeenKeys(spark, new_folder(spark, "seen"))
+    lost = []
+    for n, rows in enumerate(_arrivals(spark, folder)):
+        seen.accept(rows, str(n))
+        lost.append(stage(seen.suppressed(rows, str(n)), "suppressed"))
+    return reduce(DataFrame.unionByName, lost)
+
+
+@query(
+    f"""WITH {FILES} SELECT path, sha256(text) AS hash FROM files
+    QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY path) = 1"""
+)
+def seen_table_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """After a reset the documents come as if none had been seen."""
+    seen = SeenKeys(spark, new_folder(spark, "seen"))
+    for n, rows in enumerate(_arrivals(spark, folder)):
+        seen.accept(rows, str(n))
+    seen.reset()
+    return seen.accept(fingerprint(documents(spark, folder)), "all").select("path", "hash")
+
+
 @query(
     f"""WITH {FILES}, kept AS (
       SELECT lang FROM files

@@ -2,6 +2,8 @@
 
 The keys seen so far live in the checkpointed state of the query, so a key of an earlier
 batch suppresses later ones, across restarts too. A new checkpoint folder is a reset.
+With ``write_unique_by_table`` they live in a table of keys instead, which batch jobs and
+other streams can go on with.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from filecorpus.operators.dedup import dedup_key
 from filecorpus.operators.filters import without_errors
 from filecorpus.operators.joins import salt_of
+from filecorpus.operators.seen import SeenKeys
+from filecorpus.staging import Folders
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,3 +67,31 @@ def write_unique(
         )
     finally:
         spark.conf.set(STATE_STORE, before)
+
+
+def write_unique_by_table(
+    stream: DataFrame, output: str, checkpoint: str, seen: SeenKeys, by: str = "hash"
+) -> StreamingQuery:
+    """Start a query that writes the unique rows of each batch, until the input is used up.
+
+    A key is held once, by the table; of a batch the smallest path is kept. Rows go to
+    ``output/batch=n``, and the files that lost to them, as ``SeenKeys.suppressed`` gives
+    them, to ``output-suppressed/batch=n``. A batch that runs again after a failure writes
+    the same rows to the same place.
+    """
+
+    def one(rows: DataFrame, number: int) -> None:
+        name = f"{checkpoint}#{number}"
+        with Folders(rows.sparkSession) as staged:
+            unique = seen.accept(rows, name, by)
+            unique.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            lost = seen.suppressed(rows, name, by)
+            lost.write.mode("overwrite").parquet(f"{output}-suppressed/batch={number}")
+        staged.remove()
+
+    return (
+        stream.writeStream.foreachBatch(one)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
