@@ -1,6 +1,9 @@
 """License scans: TF-IDF cosine of passages to templates, then inheritance down directories.
 
-Every line of a file is a passage, and so is the whole text of a licence file. A term weighs
+Every line of a file is a passage, so is every paragraph (lines up to one without a term, be
+it blank or only a comment's mark), and every run of a paragraph's terms as long as a template,
+compared with that one: a header that is wrapped over lines, or has more before and after it, is
+found as well. In a licence file such runs go over the whole text. A term weighs
 ``ln((1 + N) / (1 + df)) + 1`` with the number ``df`` of the ``N`` files that have it; terms
 that no template has weigh as those of one file. A file's own licence is that of the template
 nearest to one of its passages, if the cosine is at least ``MIN_COSINE``. A directory has the
@@ -22,8 +25,13 @@ from pyspark.sql import functions as F
 from filecorpus.functions.paths import base_name, parent_path
 from filecorpus.llm.common import batches_of, query, slices, table
 from filecorpus.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
+from filecorpus.staging import stage
 
 MIN_COSINE = 0.7
+# Terms of a long text whose runs are looked at together.
+WINDOW_TERMS = 20_000
+
+Found = tuple[float, str]
 
 # Usual notices of licences.
 TEMPLATES = (
@@ -53,6 +61,21 @@ TEMPLATES = (
         " of the GNU General Public License as published by the Free Software Foundation, either"
         " version 3 of the License, or (at your option) any later version",
     ),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms"
+        " of the GNU General Public License as published by the Free Software Foundation; either"
+        " version 2 of the License, or (at your option) any later version",
+    ),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted",
+    ),
     ("MIT", "Released under the MIT License"),
     (
         "MIT",
@@ -78,6 +101,7 @@ class Templates:
     """Unit vectors of the templates by term, and the weight of each term."""
 
     names: list[str]
+    lengths: list[int]  # terms of each
     idf: dict[bytes, float]
     other: float  # weight of terms that no template has
     vectors: dict[bytes, np.ndarray]  # term to its component in each template
@@ -91,7 +115,8 @@ class Templates:
         matrix /= np.linalg.norm(matrix, axis=0)
         other = float(np.log((1 + files) / 2) + 1)
         names = [name for name, _ in templates]
-        return Templates(names, idf, other, dict(zip(every, matrix, strict=True)))
+        lengths = [c.total() for c in counts]
+        return Templates(names, lengths, idf, other, dict(zip(every, matrix, strict=True)))
 
     def possible(self, terms: Iterable[bytes], least: float) -> bool:
         """Whether a passage of some of the terms can come as near as ``least``.
@@ -101,21 +126,80 @@ class Templates:
         known = self.vectors.keys() & terms
         return bool(known) and (sum(self.vectors[t] ** 2 for t in known) >= least**2 - 1e-12).any()
 
-    def nearest(self, text: str, least: float) -> tuple[float, str] | None:
+    def cosine(self, terms: list[bytes]) -> np.ndarray:
+        """The cosine of a passage to each template."""
+        counts = Counter(terms)
+        weights = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
+        length = float(np.sqrt(sum(w * w for w in weights.values())))
+        known = sorted(self.vectors.keys() & counts.keys())
+        return sum((weights[t] * self.vectors[t] for t in known), np.zeros(len(self.names))) / length
+
+    def nearest(self, terms: list[bytes], least: float) -> Found | None:
         """The best cosine of a passage and its template, if at least ``least``.
 
         Of equal cosines the first template counts.
         """
-        counts = Counter(terms_of(text))
-        if not self.possible(counts.keys(), least):
+        if not self.possible(terms, least):
             return None
-        weights = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
-        length = float(np.sqrt(sum(w * w for w in weights.values())))
-        known = sorted(self.vectors.keys() & counts.keys())
-        cosines = sum(weights[t] * self.vectors[t] for t in known) / length
+        cosines = self.cosine(terms)
         best = int(cosines.argmax())
         return (float(cosines[best]), self.names[best]) if cosines[best] >= least - 1e-12 else None
 
+    def nearest_window(self, terms: list[bytes], least: float) -> Found | None:
+        """The same of every run of as many terms as a template has, with that template.
+
+        A run's length is at least that of its terms taken as if none came twice, so running
+        sums bound all cosines, and only runs that may be the best are looked at one by one.
+        """
+        best: Found | None = None
+        overlap = max(self.lengths) - 1
+        for start in range(0, len(terms), WINDOW_TERMS):
+            part = terms[start : start + WINDOW_TERMS + overlap]
+            if not self.possible(part, least):
+                continue
+            none = np.zeros(len(self.names))
+            weights = np.array([self.idf.get(t, self.other) for t in part])
+            products = np.array([self.vectors.get(t, none) for t in part]) * weights[:, None]
+            dots = np.vstack([none, products.cumsum(axis=0)])
+            squares = np.concatenate([[0.0], (weights * weights).cumsum()])
+            for j, n in enumerate(self.lengths):
+                if n > len(part):
+                    continue
+                bounds = (dots[n:, j] - dots[:-n, j]) / np.sqrt(squares[n:] - squares[:-n])
+                for at in np.flatnonzero(bounds >= least - 1e-9):
+                    if best is not None and bounds[at] <= best[0]:
+                        continue
+                    found = float(self.cosine(part[at : at + n])[j])
+                    if found >= least - 1e-12 and (best is None or found > best[0]):
+                        best = found, self.names[j]
+        return best
+
+    def of_text(self, text: str, whole: bool, least: float) -> Found | None:
+        """The best of all passages of a text."""
+        if not self.possible(set(terms_of(text)), least):
+            return None
+        lines = [terms_of(line) for line in text.split("\n")]
+        blocks = [[t for line in lines for t in line]] if whole else list(paragraphs(lines))
+        passages = [line for line in lines if line] + blocks
+        if whole:
+            passages += paragraphs(lines)
+        found = [self.nearest(p, least) for p in passages if p]
+        found += [self.nearest_window(b, least) for b in blocks if b]
+        return max((f for f in found if f), key=lambda f: f[0], default=None)
+
+
+def paragraphs(lines: Iterable[list[bytes]]) -> Iterator[list[bytes]]:
+    """Terms of neighbouring lines; a line without terms ends a paragraph."""
+    held: list[bytes] = []
+    for line in lines:
+        if line:
+            held.extend(line)
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
+
 
 def term_counts(
     files: DataFrame, templates: tuple[tuple[str, str], ...]
@@ -157,14 +241,7 @@ def own_licenses(files: DataFrame, templates: Templates, *, least: float = MIN_C
                     batch.column("text").to_pylist(),
                     strict=True,
                 ):
-                    best, passages = None, []
-                    if templates.possible(set(terms_of(text or "")), least):
-                        passages = text.split("\n") + ([text] if whole else [])
-                    for passage in passages:
-                        found = templates.nearest(passage, least)
-                        if found and (best is None or found[0] > best[0]):
-                            best = found
-                    similarity, name = best or (None, None)
+                    similarity, name = templates.of_text(text or "", whole, least) or (None, None)
                     yield file_id, path, name, similarity
 
         yield from batches_of(schema, rows(), 2000)
@@ -236,7 +313,9 @@ def scan_licenses(
     separate files. An empty table gives no row. Other columns are ignored.
     """
     total, found = term_counts(files, templates)
-    return inherit(own_licenses(files, Templates.of(templates, total, found), least=least))
+    own = own_licenses(files, Templates.of(templates, total, found), least=least)
+    # Inheritance looks at the thin rows several times, at the texts only once.
+    return inherit(stage(own, "licenses"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
