@@ -42,6 +42,14 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).head()[0] or 0
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, longer by as many underscores as it takes to be none of the columns'."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(amount: int, each: int) -> int:
     return max(1, -(-amount // each))
 

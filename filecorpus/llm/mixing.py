@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
 from fractions import Fraction
 from itertools import accumulate
 from math import lcm
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filecorpus.llm.common import parts, query, table
+from filecorpus.llm.common import parts, query, table, unused
 from filecorpus.staging import stage
 
 BLOCK_CHARS = 1 << 18
@@ -77,65 +76,6 @@ def block_slots(blocks: Sequence[int], weights: Sequence[float]) -> np.ndarray:
     return slots
 
 
-def period_slots(weights: Mapping[str, int]) -> dict[str, np.ndarray]:
-    """The slots of each source in one period, earliest deadline first; ties by name.
-
-    This is the plain form for whole weights, which ``block_slots`` agrees with.
-    """
-    q = sum(weights.values())
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    waiting, ready = [(0, s, 0) for s in sorted(weights)], []  # by release, by deadline
-    for slot in range(q):
-        while waiting and waiting[0][0] <= slot:
-            _, source, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * q // weights[source]), source, k))
-        _, source, k = heapq.heappop(ready)
-        slots[source].append(slot)
-        if k + 1 < weights[source]:
-            heapq.heappush(waiting, ((k + 1) * q // weights[source], source, k + 1))
-    return {s: np.array(x) for s, x in slots.items()}
-
-
-@dataclass(frozen=True)
-class Run:
-    """Blocks of a source that follow one period: block ``first + m`` has the ``m``-th slot."""
-
-    first: int
-    base: int  # slots before
-    weight: int
-    period: int
-    slots: np.ndarray
-
-
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, int]) -> dict[str, list[Run]]:
-    """The runs of each source, phase by phase, for so many blocks of each."""
-    left = {s: n for s, n in blocks.items() if n}
-    runs: dict[str, list[Run]] = {s: [] for s in blocks}
-    base = 0
-    while left:
-        active = {s: weights[s] for s in left}
-        q, slots = sum(active.values()), period_slots(active)
-        last = {s: (n - 1) // active[s] * q + slots[s][(n - 1) % active[s]] for s, n in left.items()}
-        length = int(min(last.values())) + 1
-        for s in list(left):
-            runs[s].append(Run(blocks[s] - left[s], base, active[s], q, slots[s]))
-            left[s] -= length // q * active[s] + int(np.searchsorted(slots[s], length % q))
-            if not left[s]:
-                del left[s]
-        base += length
-    return runs
-
-
-def slots_of(runs: list[Run], block: np.ndarray) -> np.ndarray:
-    """The slot of each block of a source."""
-    of = np.searchsorted([r.first for r in runs], block, side="right") - 1
-    out = np.empty(len(block), np.int64)
-    for i, r in enumerate(runs):
-        m = block[of == i] - r.first
-        out[of == i] = r.base + m // r.weight * r.period + r.slots[m % r.weight]
-    return out
-
-
 def assign_slots(
     rows: DataFrame, weights: Mapping[str, float] | None = None, *, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
@@ -226,16 +166,18 @@ def mix(
     """All rows with the same columns, in the order of the mix from file to file and row to row.
 
     Needs ``doc_id, text, source``; see ``assign_slots``. Equal rows stay as many as they are.
+    A null text has no size, a null id comes first in its source. Other columns may have any
+    names. An empty table gives no row.
     """
-    number = "__number"
+    number, slot, before = (unused(c, docs.columns) for c in ("__number", "__slot", "__before"))
     rows = stage(docs.withColumn(number, F.monotonically_increasing_id()), "unmixed")
     slots = assign_slots(sized(rows, F.col(number)), weights, block_chars=block_chars).select(
-        F.col("number").alias(number), F.col("slot").alias("__slot"), F.col("before").alias("__before")
+        F.col("number").alias(number), F.col("slot").alias(slot), F.col("before").alias(before)
     )
     joined = rows.join(slots, number)
     chars = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     n = parts(rows.agg(chars).head()[0] or 0, PART_BYTES)
-    order = ["__slot", "__before", number]
+    order = [slot, before, number]
     return (
         joined.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filecorpus.llm.common import batches_of, parts, query, slices, table
+from filecorpus.llm.common import batches_of, parts, query, slices, table, unused
 from filecorpus.staging import stage
 
 WORDS = 5
@@ -564,7 +564,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all columns; of equal rows, one.
 
-    Texts without words are no group, so all their rows stay, but for equal ones.
+    Texts without words are no group, so all their rows stay, but for equal ones. A null id
+    is an id like others, smaller than all. Other columns may have any names. An empty table
+    gives no row.
     """
     kept = stage(near_duplicates(docs).filter("kept"), "kept")
     # Rows that share an id may be linked: one of them stays.
@@ -573,13 +575,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.min("text_hash").alias("hash")
     )
     chosen = chosen.select(F.col("doc_id").alias("kept_id"), "hash")
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(chosen["kept_id"]) & (rows["__hash"] == chosen["hash"])
+    hashed = unused("__hash", docs.columns)
+    rows = docs.withColumn(hashed, F.xxhash64("text"))
+    same = rows["doc_id"].cast("long").eqNullSafe(chosen["kept_id"]) & (rows[hashed] == chosen["hash"])
     found = rows.join(chosen, same, "left_semi")
     # Only if rows are repeated need whole rows meet once more.
     if kept.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1):
-        found = found.dropDuplicates(["doc_id", "__hash"])
-    return found.drop("__hash")
+        found = found.dropDuplicates(["doc_id", hashed])
+    return found.drop(hashed)
 
 
 @query()

@@ -1,15 +1,78 @@
+import heapq
 from collections import Counter
+from collections.abc import Mapping
+from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from filecorpus.llm import mixing as M
 from tests.llm.conftest import EDGES
 
 
+def period_slots(weights: Mapping[str, int]) -> dict[str, np.ndarray]:
+    """The slots of each source in one period, earliest deadline first; ties by name.
+
+    The plain form for whole weights, which ``block_slots`` has to agree with.
+    """
+    q = sum(weights.values())
+    slots: dict[str, list[int]] = {s: [] for s in weights}
+    waiting, ready = [(0, s, 0) for s in sorted(weights)], []  # by release, by deadline
+    for slot in range(q):
+        while waiting and waiting[0][0] <= slot:
+            _, source, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * q // weights[source]), source, k))
+        _, source, k = heapq.heappop(ready)
+        slots[source].append(slot)
+        if k + 1 < weights[source]:
+            heapq.heappush(waiting, ((k + 1) * q // weights[source], source, k + 1))
+    return {s: np.array(x) for s, x in slots.items()}
+
+
+@dataclass(frozen=True)
+class Run:
+    """Blocks of a source that follow one period: block ``first + m`` has the ``m``-th slot."""
+
+    first: int
+    base: int  # slots before
+    weight: int
+    period: int
+    slots: np.ndarray
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, int]) -> dict[str, list[Run]]:
+    """The runs of each source, phase by phase, for so many blocks of each."""
+    left = {s: n for s, n in blocks.items() if n}
+    runs: dict[str, list[Run]] = {s: [] for s in blocks}
+    base = 0
+    while left:
+        active = {s: weights[s] for s in left}
+        q, slots = sum(active.values()), period_slots(active)
+        last = {s: (n - 1) // active[s] * q + slots[s][(n - 1) % active[s]] for s, n in left.items()}
+        length = int(min(last.values())) + 1
+        for s in list(left):
+            runs[s].append(Run(blocks[s] - left[s], base, active[s], q, slots[s]))
+            left[s] -= length // q * active[s] + int(np.searchsorted(slots[s], length % q))
+            if not left[s]:
+                del left[s]
+        base += length
+    return runs
+
+
+def slots_of(runs: list[Run], block: np.ndarray) -> np.ndarray:
+    """The slot of each block of a source."""
+    of = np.searchsorted([r.first for r in runs], block, side="right") - 1
+    out = np.empty(len(block), np.int64)
+    for i, r in enumerate(runs):
+        m = block[of == i] - r.first
+        out[of == i] = r.base + m // r.weight * r.period + r.slots[m % r.weight]
+    return out
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 97, "b": 89, "c": 13, "d": 1, "e": 1}])
 def test_one_period_deviates_by_less_than_a_block(weights):
-    q, slots = sum(weights.values()), M.period_slots(weights)
+    q, slots = sum(weights.values()), period_slots(weights)
     order = sorted((s, name) for name, x in slots.items() for s in x)
     assert [s for s, _ in order] == list(range(q))
     served = Counter()
@@ -21,8 +84,8 @@ def test_one_period_deviates_by_less_than_a_block(weights):
 
 def test_phases_use_every_block_once_and_keep_the_shares():
     blocks, weights = {"a": 50, "b": 7, "c": 200, "d": 0, "e": 1}, {"a": 5, "b": 3, "c": 2, "d": 9, "e": 1}
-    runs = M.schedule(blocks, weights)
-    at = {s: M.slots_of(runs[s], M.np.arange(n)).tolist() for s, n in blocks.items() if n}
+    runs = schedule(blocks, weights)
+    at = {s: slots_of(runs[s], M.np.arange(n)).tolist() for s, n in blocks.items() if n}
     order = sorted((t, s) for s, ts in at.items() for t in ts)
     assert [t for t, _ in order] == list(range(sum(blocks.values())))
     left, served, start = dict(blocks), Counter(), 0
@@ -38,7 +101,7 @@ def test_phases_use_every_block_once_and_keep_the_shares():
 
 @pytest.mark.parametrize("weights", [{"a": 7, "b": 2, "c": 1}, {"a": 97, "b": 89, "c": 13, "d": 1, "e": 1}])
 def test_slots_of_whole_weights_repeat_the_period(weights):
-    period, q = M.period_slots(weights), sum(weights.values())
+    period, q = period_slots(weights), sum(weights.values())
     slots = M.block_slots([3 * w for w in weights.values()], list(weights.values()))
     assert slots.tolist() == [t + r * q for s in weights for r in range(3) for t in period[s].tolist()]
 
@@ -148,3 +211,9 @@ def test_query(spark):
 
 def test_edges_have_sources(edges):
     assert edges.count() == len(EDGES)
+
+
+def test_other_columns_keep_names_and_values(spark):
+    rows = [(i, f"text {i}", "s", i, -i, i + 0.5) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __number long, __SLOT int, __before double")
+    assert sorted(map(tuple, M.mix(docs).collect())) == rows

@@ -162,3 +162,11 @@ def test_query_against_all_pairs(spark):
     rows = N.op9_near_duplicates(spark, "/root/testdata/sf0.01").collect()
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in rows)
     assert got == expected([tuple(d) for d in docs])
+
+
+def test_keep_one_keeps_other_columns(spark):
+    rows = [(1, "a b c d e f", 7, 0), (2, "a b c d e f", 8, 0), (3, "", 9, 1), (3, "", 9, 1), (None, "x y", 5, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, hash int")
+    kept = sorted(map(tuple, N.keep_one(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert N.keep_one(docs.filter("doc_id = 99")).count() == 0

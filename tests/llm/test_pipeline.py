@@ -1,11 +1,13 @@
+import os
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from filecorpus.llm import near_duplicates, quality_classifier, quality_rules
-from filecorpus.staging import stage
+from filecorpus.staging import Folders, stage
 from tests.llm.test_near_duplicates import expected
 
 FOLDER = "/root/testdata/sf0.01"
@@ -69,9 +71,36 @@ def test_packed_sequences_hold_every_document(steps):
         assert sum(n for _, n in parts) <= 1024
 
 
-def test_run_is_its_stages(spark, steps):
-    found = P.run(spark, FOLDER)
+def test_run_is_its_stages_and_leaves_one_table(spark, steps):
+    with Folders(spark) as made:
+        found = P.run(spark, FOLDER)
     assert found.count() == steps[5].count() and found.columns == steps[5].columns
+    left = [f for f in made.made if os.path.exists(f.removeprefix("file:"))]
+    assert len(made.made) > 10 and len(left) == 1 and "packing" in left[0]
+
+
+def test_nulls_repeated_rows_other_columns_and_empty_tables(spark, steps, edges, tmp_path):
+    good = [r["text"] for r in steps[3].orderBy("doc_id").limit(3).collect()]
+    extra = [(100, good[0]), (100, good[0]), (101, good[0]), (None, good[1]), (102, good[2]), (102, good[2] + " again")]
+    more = spark.createDataFrame([(i, t, None, None, None, "x", "y", 1) for i, t in extra], edges.schema)
+    table = edges.unionByName(more).withColumn("__hash", F.lit(1)).withColumn("__slot", F.lit("x"))
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    for name, rows in (("edges", table), ("empty", table.filter("doc_id = -5"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    # The labels of this table are of other texts, so the stage is given a model that knows.
+    model = quality_classifier.learn(steps[0], labels)
+    rows = edges.sparkSession.read.parquet(f"{tmp_path}/edges/documents.parquet")
+    rows = stage(P.rules(spark, rows, FOLDER), "rules")
+    rows = stage(quality_classifier.keep_good(rows, model), "classifier")
+    rows = stage(P.duplicates(spark, rows, FOLDER), "duplicates")
+    rows = stage(P.mixed(spark, rows, FOLDER), "mixed")
+    assert rows.columns == table.columns
+    assert sorted(str(r["doc_id"]) for r in rows.collect() if r["doc_id"] is None or r["doc_id"] >= 100) == ["100", "102", "None"]
+    pieces = P.packed(spark, rows, FOLDER)
+    assert {r["doc_id"] for r in pieces.collect()} >= {100, 102, None}
+    assert P.run(spark, f"{tmp_path}/empty").count() == 0
+    P.run(spark, f"{tmp_path}/edges").count()
 
 
 def test_documents_that_are_not_read_from_files(spark):
