@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from filecorpus.llm import mixing, near_duplicates, packing, quality_classifier, quality_rules
 from filecorpus.llm.common import table
-from filecorpus.staging import stage
+from filecorpus.staging import Folders, stage
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +75,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the documents of ``sf_dir``; one row for each piece of a kept document.
+
+    Null and empty texts have no words, so the rules reject them; of equal rows and of rows
+    that share an id and are near-duplicates one stays; a null id is an id like others, and
+    other columns may have any names. No documents give no row. What a stage has written on
+    its way, and its input, is deleted as soon as its result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        with Folders(spark) as used:
+            made = function(spark, docs, sf_dir)
+        with Folders(spark) as result:
+            docs = stage(made, name.replace(" ", "-"))
+        used.remove()
+        if before is not None:
+            before.remove()
+        before = result
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filecorpus.functions.content import HASH_ALGORITHMS, MIN_STRING_LENGTH
@@ -26,13 +26,17 @@ from filecorpus.sources.content import (
 from filecorpus.sources.listing import WalkOptions, list_tree
 from filecorpus.staging import Folders, stage
 
+# Most bytes of one large file's strings that become a cell of its record.
+STRINGS_BYTES = 256 << 20
+
 
 @dataclass(frozen=True)
 class FingerprintOptions:
     """How files are fingerprinted.
 
     A file above ``max_size``, if one is given, is not read: its row has an error and counts
-    among the errors. ``max_strings`` keeps the first strings of a file only.
+    among the errors. ``max_strings`` keeps the first strings of a file only. A file whose
+    strings are more than ``STRINGS_BYTES`` in all has an error instead.
     """
 
     algorithm: str = "sha256"
@@ -95,8 +99,8 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
     digested = digest_files(spread_by_bytes(large), algorithm, limit)
     if options.extract_strings:
         digested = digested.join(_string_arrays(large, options), "path", "left")
-        strings = F.when(F.col("error").isNull(), F.coalesce("strings", F.array().cast("array<string>")))
         error = F.coalesce("error", "string_error")
+        strings = F.when(error.isNull(), F.coalesce("strings", F.array().cast("array<string>")))
     else:
         strings, error = F.lit(None), F.col("error")
     derived = {
@@ -116,15 +120,31 @@ def fingerprint_files(files: DataFrame, options: FingerprintOptions = Fingerprin
 
 
 def _string_arrays(files: DataFrame, options: FingerprintOptions) -> DataFrame:
-    """``path, strings, string_error`` of large files; a record holds all strings of its file."""
+    """``path, strings, string_error`` of large files; a record holds all strings of its file.
+
+    Strings of more than ``STRINGS_BYTES`` in all are no cell: their file has an error, and
+    ``strings_of_files`` gives them as rows. With ``max_strings`` only the first ones count.
+    """
     paths = files.groupBy("path").agg(F.max("size").alias("size"))
     found = strings_of_files(paths, options.min_length, options.string_block)
-    listed = F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("at", "string"))))
-    strings = F.transform(listed, lambda item: item["string"])
     if options.max_strings is not None:
-        strings = F.slice(strings, 1, options.max_strings)
-    return found.groupBy("path").agg(
-        strings.alias("strings"), F.max("error").alias("string_error")
+        first = Window.partitionBy("path").orderBy("at")
+        found = found.withColumn("_n", F.row_number().over(first))
+        found = found.filter(F.col("_n") <= options.max_strings).drop("_n")
+    # Measured before any are brought together, and the files are read once.
+    found = stage(found, "strings")
+    held = F.sum(F.octet_length("string") + 8)
+    sizes = found.groupBy("path").agg(held.alias("bytes"), F.max("error").alias("string_error"))
+    too_many = F.coalesce(F.col("bytes") > STRINGS_BYTES, F.lit(False))
+    listed = F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("at", "string"))))
+    strings = (
+        found.join(sizes.filter(~too_many).select("path"), "path", "left_semi")
+        .groupBy("path")
+        .agg(F.transform(listed, lambda item: item["string"]).alias("strings"))
+    )
+    message = F.format_string("strings error: %s: %d bytes of strings for one cell", "path", "bytes")
+    return sizes.join(strings, "path", "left").select(
+        "path", "strings", F.coalesce("string_error", F.when(too_many, message)).alias("string_error")
     )
 
 

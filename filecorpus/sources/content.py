@@ -197,34 +197,62 @@ def digest_files(files: DataFrame, algorithm: str, max_size: int | None = None)
     return files.mapInArrow(digest_all, schema)
 
 
-def _find(file, separator: re.Pattern, at: int) -> int | None:
-    """Place after the first separator (one byte) at or after ``at``; None if there is none."""
+def _find(file, separator: re.Pattern, at: int, end: int | None) -> int | None:
+    """Place after the first separator (one byte) from ``at`` and before ``end``, or None."""
     file.seek(at)
-    while block := file.read(_BLOCK):
+    while block := file.read(_BLOCK if end is None else max(min(_BLOCK, end - at), 0)):
         if found := separator.search(block):
             return at + found.end()
         at += len(block)
     return None
 
 
+def _read_on(file, separator: re.Pattern, n: int) -> tuple[bytes | None, int]:
+    """The next ``n`` bytes and what follows to the separator after them, and how many.
+
+    What is too long for a value is only counted.
+    """
+    blocks = [file.read(n)]
+    total = len(blocks[0])
+    found = separator.match(blocks[0][-1:])
+    while not found and (block := file.read(_BLOCK)):
+        if found := separator.search(block):
+            block = block[: found.end()]
+        total += len(block)
+        if total > _MOST_BYTES:
+            blocks.clear()
+        else:
+            blocks.append(block)
+    if total > _MOST_BYTES:
+        return None, total
+    return blocks[0] if len(blocks) == 1 else b"".join(blocks), total
+
+
 def _piece(path: str, start: int, end: int | None, separator: re.Pattern | None) -> tuple:
-    """(content, last, error) of a range: from the separator before it to the one at its end."""
+    """(content, last, error) of a range: from the separator before it to the one at its end.
+
+    Where a piece begins is looked for inside its range alone, and only the piece that holds
+    the end of a range reads on from there. So no byte is read more than twice, however far
+    separators are apart.
+    """
     with open(path, "rb") as file:
         size = os.fstat(file.fileno()).st_size
-        if separator is None:
-            begin, stop = start, size if end is None else end
-        else:
-            begin = _find(file, separator, start - 1) if start else 0
-            stop = None if end is None or end >= size else _find(file, separator, end - 1)
-            stop = size if stop is None else stop
+        begin = start
+        if separator is not None and start:
+            begin = _find(file, separator, start - 1, None if end is None else end - 1)
             # No separator in the range: it is inside what an earlier range ends with.
-            if begin is None or (end is not None and begin >= end):
+            if begin is None:
                 return b"", False, None
-        if stop - begin > _MOST_BYTES:
-            error = f"read error: {path}: {stop - begin} bytes without a break from byte {begin}"
-            return None, False, error
         file.seek(begin)
-        return file.read(stop - begin), stop >= size, None
+        if separator is not None and end is not None and end < size:
+            content, n = _read_on(file, separator, min(end - begin, _MOST_BYTES + 1))
+        else:
+            n = (size if end is None else end) - begin
+            content = file.read(n) if n <= _MOST_BYTES else None
+        if content is None:
+            error = f"read error: {path}: {n} bytes without a break from byte {begin}"
+            return None, False, error
+        return content, begin + n >= size, None
 
 
 _PIECES = pa.schema(

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import re
 
@@ -208,3 +209,40 @@ def test_files_are_spread_by_bytes(spark):
     held = [sum(r.size for r in part) >> 20 for part in spread.rdd.glom().collect()]
     assert sum(held) == sum(sizes) and max(held) < 600
     assert S.spread_by_bytes(files.limit(0)).count() == 0
+
+
+class Counted(io.FileIO):
+    """A file that counts the bytes that were read."""
+
+    n = 0
+
+    def read(self, size=-1):
+        block = super().read(size)
+        Counted.n += len(block)
+        return block
+
+
+@pytest.mark.parametrize("every", [None, 1, 3, 50, 99, 100, 101, 450, 4000])
+def test_no_byte_is_read_more_than_twice(tmp_path, monkeypatch, every):
+    content = bytearray(b"x" * 4000)
+    if every:
+        content[every - 1 :: every] = b"\n" * len(content[every - 1 :: every])
+    (tmp_path / "a").write_bytes(content)
+    monkeypatch.setattr(S, "_BLOCK", 16)
+    monkeypatch.setattr(S, "open", lambda path, mode: Counted(path), raising=False)
+    Counted.n = 0
+    ends = [*range(100, 4000, 100), None]
+    pieces = [S._piece(str(tmp_path / "a"), i * 100, end, re.compile(rb"\n")) for i, end in enumerate(ends)]
+    assert b"".join(p[0] for p in pieces) == content and all(p[2] is None for p in pieces)
+    assert all(p[0].endswith(b"\n") or p[1] for p in pieces if p[0])
+    # A search reads by blocks, so it may read one in part for nothing.
+    assert Counted.n <= 2 * len(content) + 16 * len(ends)
+
+
+def test_pieces_too_long_for_a_value(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x" * 500 + b"\n" + b"ab\n" + b"c")
+    monkeypatch.setattr(S, "_BLOCK", 16)
+    monkeypatch.setattr(S, "_MOST_BYTES", 200)
+    found = [S._piece(str(tmp_path / "a"), i, i + 100 if i < 500 else None, re.compile(rb"\n")) for i in range(0, 600, 100)]
+    assert found[0] == (None, False, f"read error: {tmp_path / 'a'}: 501 bytes without a break from byte 0")
+    assert [p[0] for p in found[1:]] == [b"", b"", b"", b"", b"ab\nc"]

@@ -220,3 +220,24 @@ def test_directory_rollup_against_plain_code(spark, partitions):
 def test_directory_rollup_of_nothing(spark):
     files = spark.createDataFrame([], "root string, path string, size bigint, hash string")
     assert tree.directory_rollup(files).collect() == []
+
+
+def test_strings_of_a_large_file_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inventory, "CELL_BYTES", 100)
+    monkeypatch.setattr(inventory, "STRINGS_BYTES", 400)
+    (tmp_path / "many").write_bytes(b"\0".join(b"string %d" % i for i in range(100)))
+    (tmp_path / "few").write_bytes(b"\0".join([b"one string", b"another"] * 50))
+    (tmp_path / "none").write_bytes(b"\0" * 500)
+    rows = [(str(p), p.stat().st_size, None, 0o644) for p in sorted(tmp_path.iterdir())]
+    listing = spark.createDataFrame(rows, "path string, size bigint, mod_time timestamp, mode int")
+
+    def found(**options):
+        made = inventory.fingerprint_files(listing, FingerprintOptions(extract_strings=True, **options))
+        return {r.name: (r.strings, r.error) for r in made.collect()}
+
+    got = found()
+    assert got["few"] == (["one string", "another"], None) and got["none"] == ([], None)
+    assert got["many"][0] is None
+    assert got["many"][1] == f"strings error: {tmp_path}/many: 1690 bytes of strings for one cell"
+    # The first strings alone are within the bound.
+    assert found(max_strings=3)["many"] == (["string 0", "string 1", "string 2"], None)
