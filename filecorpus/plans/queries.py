@@ -49,6 +49,9 @@ class Registered:
 
 REGISTRY: dict[str, Registered] = {}
 
+# Batches that documents arrive in, on a stream.
+ARRIVALS = 3
+
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
@@ -514,13 +517,34 @@ def incremental_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents arrive in several batches; a key of one suppresses those of later ones."""
     arrivals = new_folder(spark, "arrivals")
     docs = table(spark, folder, "documents")
-    docs.repartition(3, "doc_id").write.parquet(arrivals)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    each = _arrive(docs, arrivals)
+    stream = (
+        spark.readStream.schema(docs.schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", each)
+        .parquet(arrivals)
+    )
     output, checkpoint = new_folder(spark, "unique"), new_folder(spark, "dedup-state")
     write_unique(fingerprint(document_files(stream)), output, checkpoint).awaitTermination()
     return spark.read.schema(FINGERPRINT).parquet(output).select("hash", "size")
 
 
+def _arrive(docs: DataFrame, folder: str) -> int:
+    """Write documents as files that make ``ARRIVALS`` batches; how many files are one batch.
+
+    Every task cuts what it reads itself, so there are as many files as the input has splits,
+    and no task gets a share of the whole table.
+    """
+    part = F.pmod(F.hash("doc_id"), F.lit(ARRIVALS)).alias("arrival")
+    docs.select("*", part).write.partitionBy("arrival").parquet(folder)
+    written = docs.sparkSession.read.schema(docs.schema).option("recursiveFileLookup", "true")
+    files = len(written.parquet(folder).inputFiles())
+    if not files:
+        # An empty table arrives too, as a file without rows.
+        docs.limit(0).write.mode("append").parquet(folder)
+    return max(1, -(-files // ARRIVALS))
+
+
 def _arrivals(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The documents as three batches of files that arrive one after the other."""
     docs = table(spark, folder, "documents")

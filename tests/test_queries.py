@@ -96,6 +96,29 @@ def test_the_whole_job_filters_ranks_and_batches(spark):
     assert "collect_list" in plan(result.batches)
 
 
+@pytest.mark.parametrize("rows, files, batches", [(0, 1, 1), (40, 3, 3), (4000, 12, 3)])
+def test_arrivals_are_cut_where_they_are_read(spark, tmp_path, monkeypatch, rows, files, batches):
+    """As many files as the input has splits, in three batches; no task gets a third of the table."""
+    docs = spark.range(rows).selectExpr(
+        "id AS doc_id", "'a' AS lang", "'s' AS source", "concat('text ', id % 31) AS text"
+    )
+    docs.coalesce(1 if rows < 100 else 4).write.parquet(f"{tmp_path}/documents.parquet")
+    folders = {}
+
+    def new_folder(session, label):
+        return folders.setdefault(label, str(tmp_path / label))
+
+    monkeypatch.setattr("filecorpus.plans.queries.new_folder", new_folder)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a split for every file
+    try:
+        result = queries()["incremental_dedup"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert result.distinct().count() == result.count() == min(rows, 31)
+    assert len(list(Path(folders["arrivals"]).rglob("*.parquet"))) == files
+    assert len(list(Path(folders["dedup-state"], "commits").glob("[0-9]*"))) == batches
+
+
 def test_rules_run_no_job_before_the_query_does(spark):
     """And their regexes are met after two cheaper tests."""
     files = spark.createDataFrame([("/a/b",)], "path string")
