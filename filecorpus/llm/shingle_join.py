@@ -39,7 +39,7 @@ from filecorpus.llm.common import batches_of, components_sql, parts, query, slic
 from filecorpus.llm.near_duplicates import components, mixed
 from filecorpus.llm.phrases import bitmap
 from filecorpus.operators.joins import BROADCAST_BYTES, table_bytes
-from filecorpus.staging import stage
+from filecorpus.staging import Folders, stage
 
 WORDS = 4
 PERCENT = 85
@@ -50,6 +50,7 @@ PARITY_BITS = 1024
 LARGEST_BOUNDARY = 1024
 COMPARISON_COST = 0.02  # of one shuffled row
 SHORT_LIST = 64
+SHARE = 512
 BLOCK, MEMBERS = 2048, 32_768
 BLOCK_SHINGLES = 4 << 20
 DENSE = 256
@@ -106,6 +107,7 @@ def can_differ(n: int) -> bool:
 _SETS = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("n_shingles", pa.int64()),
         ("set_id", pa.binary()),
         ("parity", pa.binary()),
@@ -120,7 +122,8 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
 
 
 def _chosen(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text).alias("text_hash"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -134,6 +137,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array([f(s) for s in sets], pa.binary()) for f in (set_id, parity)),
                     pa.nulls(len(sets), pa.int64()),
@@ -144,14 +148,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for chunk, some in enumerate(counts.reshape(-1, min(len(counts), COUNTERS_A_ROW))):
             if some.any():
                 kind = next(k for k in ("<u1", "<u2", "<u4") if some.max() <= np.iinfo(k).max)
-                row = [None, None, None, None, chunk, some.astype(kind).tobytes()]
+                row = [None, None, None, None, None, chunk, some.astype(kind).tobytes()]
                 yield pa.record_batch(
                     [pa.array([v], f.type) for v, f in zip(row, _SETS, strict=True)], schema=_SETS
                 )
 
     return _chosen(docs).mapInArrow(
         made,
-        "doc_id long, n_shingles long, set_id binary, parity binary, chunk long, counts binary",
+        "doc_id long, text_hash long, n_shingles long, set_id binary, parity binary, chunk long, "
+        "counts binary",
     )
 
 
@@ -184,9 +189,10 @@ def in_order(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def first_of_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``doc_id, set_id, n_shingles, first, scan`` of every row that can have a partner.
+    """``set_id, n_shingles, first, scan`` of every row whose set can have a partner.
 
-    ``first`` are its first shingles, ``scan`` says how long their lists are about.
+    ``first`` are its first shingles, ``scan`` says how long their lists are about. All rows
+    of a set have the same.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     # Counters hold other shingles too; what stands out from that counts as list length.
@@ -194,7 +200,6 @@ def first_of_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     usual = mean + 3 * mean**0.5
     schema = pa.schema(
         [
-            ("doc_id", pa.int64()),
             ("set_id", pa.binary()),
             ("n_shingles", pa.int64()),
             ("first", pa.binary()),
@@ -207,30 +212,51 @@ def first_of_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
         def rows() -> Iterator[tuple]:
             for batch in slices(batches):
-                for doc_id, text in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
-                ):
+                for text in batch.column("text").to_pylist():
                     hashes = shingles(text)
                     n = len(hashes)
                     if can_differ(n):
                         first = hashes[in_order(hashes, of_counter)[: first_shingles(n, SUBSET)]]
                         lists = of_counter[_counter(first[: first_shingles(n, 1)])]
                         scan = int(np.maximum(lists - usual, 0).sum())
-                        yield doc_id, set_id(hashes), n, first.tobytes(), scan
+                        yield set_id(hashes), n, first.tobytes(), scan
 
         yield from batches_of(schema, rows(), 1024)
 
-    return _chosen(docs).mapInArrow(
-        chosen, "doc_id long, set_id binary, n_shingles long, first binary, scan long"
+    return (
+        _chosen(docs)
+        .select("text")
+        .mapInArrow(chosen, "set_id binary, n_shingles long, first binary, scan long")
     )
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, hashes`` of the nodes asked for; a short list of them goes to the texts."""
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
-    asked = classes.join(nodes.distinct(), "node").select("node", "rep", "set_id")
+def texts_of(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows asked for, with a ``node``, beside its ``set_id`` and the texts that should have it.
+
+    A short list of them goes to the texts. Of a longer one the places alone go there first, so
+    that texts nobody asks for stay where they are.
+    """
+    kept = classes.select("node", "set_id", "rep", "rep_hash")
+    asked = stage(asked.join(kept, "node"), "asked")
+
+    def here(rep: str, rep_hash: str) -> Column:
+        # Ids may be repeated, or null.
+        return F.col("doc_id").eqNullSafe(F.col(rep)) & (F.col("text_hash") == F.col(rep_hash))
+
+    chosen = _chosen(docs)
     if table_bytes(asked) <= BROADCAST_BYTES:
         asked = F.broadcast(asked)
+    else:
+        places = asked.select(F.col("rep").alias("at"), F.col("rep_hash").alias("at_hash")).distinct()
+        if table_bytes(places) <= BROADCAST_BYTES:
+            places = F.broadcast(places)
+        chosen = chosen.join(places, here("at", "at_hash"), "left_semi")
+    return chosen.join(asked, here("rep", "rep_hash")).drop("doc_id", "text_hash", "rep", "rep_hash")
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, hashes`` of the nodes asked for."""
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -245,8 +271,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
 
         yield from batches_of(schema, rows(), 256)
 
-    found = _chosen(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("rep")))
-    held = found.select("node", "set_id", "text").mapInArrow(hashed, "node long, hashes binary")
+    found = texts_of(docs, classes, nodes.distinct()).select("node", "set_id", "text")
+    held = found.mapInArrow(hashed, "node long, hashes binary")
     # Rows repeated as a whole give a set several times.
     return held.dropDuplicates(["node"])
 
@@ -355,22 +381,46 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a written table) whose full sets have the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    held = stage(full_sets(docs, classes, nodes), "full-sets")
-    both = pairs
-    for side in "ab":
-        both = both.join(held.select(F.col("node").alias(side), F.col("hashes").alias(f"h{side}")), side)
+    """The pairs (a written table) whose full sets have the similarity.
+
+    A text goes once to where the pairs of its ``a`` are, those of many in several shares, and
+    its set is made there: texts take less room than sets. Rows repeated as a whole are one.
+    """
+    number = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    share = F.pmod(F.xxhash64("b"), "shares").alias("share")
+    dealt = stage(pairs.join(number, "a").select("a", "b", share), "dealt")
+    asked = dealt.select("a", "share", F.col("a").alias("node")).distinct()
+    asked = asked.unionByName(dealt.select("a", "share", F.col("b").alias("node")))
+    # As a is the smaller end, it comes first.
+    placed = (
+        texts_of(docs, classes, asked)
+        .repartition("a", "share")
+        .sortWithinPartitions("a", "share", "node")
+    )
 
     def good(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [
-                linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair))
-                for pair in zip(batch.column("ha"), batch.column("hb"), strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return both.mapInArrow(good, "a long, b long")
+        def rows() -> Iterator[tuple]:
+            one, done, hashes = None, None, None
+            for batch in slices(batches):
+                for a, node, wanted, text in zip(
+                    *(batch.column(c).to_pylist() for c in ("a", "node", "set_id", "text")), strict=True
+                ):
+                    if (a, node) == done or (a == node == one):
+                        continue
+                    found = shingles(text)
+                    if set_id(found) != wanted:
+                        continue
+                    done = a, node
+                    if a == node:
+                        one, hashes = a, found
+                    elif a == one and linked(hashes, found):
+                        yield a, node
+
+        yield from batches_of(schema, rows(), AT_ONCE)
+
+    return placed.select("a", "node", "set_id", "text").mapInArrow(good, "a long, b long")
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -603,47 +653,72 @@ def shingle_join(docs: DataFrame, *, bound: int | None = None) -> DataFrame:
     repeated as a whole, are separate documents. An empty table gives no row. Other columns
     are ignored. ``bound`` sets the boundary between small and large sets instead of its cost.
     """
+    spark = docs.sparkSession
     made = stage(shingle_sets(docs), "sets")
-    every = made.filter("chunk is null").select("doc_id", "n_shingles", "set_id", "parity")
+    every = made.filter("chunk is null").select(
+        "doc_id", "text_hash", "n_shingles", "set_id", "parity"
+    )
+    # Null ids are the last.
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     classes = stage(
         every.filter("n_shingles > 0")
         .groupBy("set_id")
         .agg(
-            F.min("doc_id").alias("rep"),
+            smallest.alias("row"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("parity").alias("parity"),
         )
-        .withColumn("node", F.monotonically_increasing_id()),
+        .select(
+            "set_id",
+            F.col("row.doc_id").alias("rep"),
+            F.col("row.text_hash").alias("rep_hash"),
+            "n_shingles",
+            "parity",
+            F.monotonically_increasing_id().alias("node"),
+        ),
         "classes",
     )
-    # Of a class, the row of the document that stands for it; rows repeated as a whole are one.
-    of_row = F.col("doc_id").eqNullSafe(F.col("rep"))
-    reps = classes.select(F.col("set_id").alias("of_set"), "rep", "node")
-    firsts = stage(
-        first_of_sets(docs, counters(made))
-        .join(reps, of_row & (F.col("set_id") == F.col("of_set")))
-        .select("node", "n_shingles", "first", "scan")
-        .dropDuplicates(["node"]),
-        "firsts",
-    )
-    if bound is None:
-        size = F.least("n_shingles", F.lit(LARGEST_BOUNDARY)).alias("size")
-        sizes = firsts.groupBy(size).agg(F.count("*"), F.sum("scan")).collect()
-        bound = boundary([tuple(r) for r in sizes]) if sizes else 1
-    members = stage(shared_keys(firsts, bound), "members")
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
+    # What is written on the way goes when it has been used up.
+    with Folders(spark) as lists:
+        with Folders(spark) as spent:
+            firsts = stage(
+                first_of_sets(docs, counters(made))
+                .dropDuplicates(["set_id"])
+                .join(classes.select("set_id", "node"), "set_id")
+                .select("node", "n_shingles", "first", "scan"),
+                "firsts",
+            )
+            if bound is None:
+                size = F.least("n_shingles", F.lit(LARGEST_BOUNDARY)).alias("size")
+                sizes = firsts.groupBy(size).agg(F.count("*"), F.sum("scan")).collect()
+                bound = boundary([tuple(r) for r in sizes]) if sizes else 1
+            keyed = shared_keys(firsts, bound)
+        members = stage(keyed, "members")
+    spent.remove()
+    labels = spark.createDataFrame([], "node long, component long")
     for round_ in ("smallest", "rest"):
-        apart = stage(_apart(members, labels), "apart")
-        if not apart.head(1):
+        with Folders(spark) as spent:
+            if round_ == "smallest":
+                # Every node is a component of its own.
+                apart = members.withColumn("component", F.col("node"))
+            else:
+                apart = stage(_apart(members, labels), "apart")
+            some = bool(apart.head(1))
+            if some and round_ == "rest":
+                pairs, sure = _across(apart, classes, docs)
+            elif some:
+                pairs, sure = possible(_with_smallest(apart), classes), None
+            if some:
+                found = confirmed(stage(pairs, "pairs"), docs, classes)
+                known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                links = known.unionByName(found)
+                links = links if sure is None else links.unionByName(sure)
+        if some:
+            labels = components(links)
+        spent.remove()
+        if not some:
             break
-        if round_ == "rest":
-            pairs, sure = _across(apart, classes, docs)
-        else:
-            pairs, sure = possible(_with_smallest(apart), classes), None
-        found = confirmed(stage(pairs, "pairs"), docs, classes)
-        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        links = known.unionByName(found)
-        labels = components(links if sure is None else links.unionByName(sure))
+    lists.remove()
     of_class = classes.join(labels, "node", "left").select(
         "set_id", "rep", F.coalesce("component", F.col("node")).alias("component")
     )

@@ -1,10 +1,12 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from filecorpus.llm import shingle_join as J
+from filecorpus.staging import Folders
 from tests.llm.conftest import EDGES
 
 
@@ -144,3 +146,23 @@ def test_query_against_all_pairs(spark):
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     rows = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got.collect())
     assert rows == expected([tuple(d) for d in docs])
+
+
+@pytest.mark.parametrize("share, broadcast", [(2, 0), (3, 1000), (512, 16 << 20)])
+def test_pairs_are_confirmed_in_shares_and_what_is_used_up_goes(spark, corpus, monkeypatch, share, broadcast):
+    """Near copies of a text with null ids, ids of two texts and repeated rows among them."""
+    monkeypatch.setattr(J, "SHARE", share, raising=False)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", broadcast)
+    r = random.Random(7)
+    texts = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(100 + 20 * g)]
+        copies = [" ".join(edited(r, base, r.choice([0.003, 0.01, 0.02]))) for _ in range(9)]
+        texts += [(None if i % 4 == 3 else 100 * (i // 2) + g, t) for i, t in enumerate(copies)]
+    texts += [row for row in texts if r.random() < 0.3]
+    r.shuffle(texts)
+    with Folders(spark) as made:
+        assert found(corpus(texts)) == expected(texts)
+    left = {Path(f).name.rsplit("-", 1)[0] for f in made.made if Path(f).exists()}
+    made.remove()
+    assert left == {"sets", "classes", "edges"}
