@@ -1,12 +1,13 @@
 """Phrase collocations by an FM-index per shard of the corpus.
 
-A shard is a few million words of a task's documents, as word ids with a separator between
+A shard is a million words of a task's documents, as word ids with a separator between
 pieces. Its index orders the positions by the words from there on (and, the other way, by
 the words up to there); the words before the positions, in that order, are its transform.
 The occurrences of a phrase are an interval of each order. Phrases are extended all at once:
 a stable sort of a transform by word (the index's step from row to row) puts each extension's
 occurrences next to each other, and where they begin is the new interval; the interval of the
-other order follows from the smaller words in the old one. Depth is limited to the phrases
+other order follows from the smaller words in the old one. At the last step the lengths of the
+intervals are enough, and extensions are counted without their places. Depth is limited to the phrases
 asked for, so positions are ordered by no more words than that.
 
 Counts are summed over shards in three scans of the documents:
@@ -40,87 +41,115 @@ MIN_COUNT = 10
 LONGER_PERCENT = 50
 TOP = 2000
 SHARD_TOKENS = 1_000_000
+WORD_BYTES = 16
 BUCKET_TOKENS = 2_000_000
 FAN_BITS = 12
 ROW_KEYS = 1 << 18
 LEAST_BITS, MOST_BITS = 20, 30
 
-# The marks that end a piece, a separator that no UTF-8 text holds.
-_BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_SEPARATOR = b"\xff"
+# A blank, a separator that no UTF-8 text holds, what bytes of a text become.
+_BLANK, _SEPARATOR = 0x20, 0xFF
+_PLAIN = bytes(range(256)).lower().translate(
+    bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + b"\xff" * 10)
+)
 
 
 # --- shards -----------------------------------------------------------------------------
 
 
-class _Ids(dict):
-    """Ids of one language's words; new words are added to the shard's list."""
-
-    def __init__(self, lang: int, words: list[bytes], langs: list[int]) -> None:
-        super().__init__({_SEPARATOR: 0})
-        self._lang, self._words, self._langs = lang, words, langs
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self._words)
-        self._words.append(word)
-        self._langs.append(self._lang)
-        return number
-
-
 @dataclass
 class Shard:
     """Word ids from 1 on, 0 between pieces and at both ends; words of each id, and their language."""
 
     tokens: np.ndarray
-    words: list[bytes]
+    words: pa.Array
     lang_of: np.ndarray
     langs: list[str]
 
     def hashes(self) -> np.ndarray:
         """64 bits that stand for a word of its language."""
         by_lang = pd.util.hash_array(np.array(self.langs, object), categorize=False)
-        own = pd.util.hash_array(np.array(self.words, object), categorize=False)
+        words = self.words.to_numpy(zero_copy_only=False)
+        own = pd.util.hash_array(words, categorize=False)
         return _mixed(own + by_lang[self.lang_of] * _TIMES[3])
 
     def text_of(self, ids: np.ndarray) -> pa.Array:
-        return pa.array(self.words, pa.binary()).cast(pa.string()).take(pa.array(ids))
+        return self.words.take(pa.array(ids)).cast(pa.string())
 
     def lang_names(self, ids: np.ndarray) -> pa.Array:
         return pa.array(self.langs, pa.string()).take(pa.array(self.lang_of[ids]))
 
 
-def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Shard]:
-    """The documents ``lang, text`` of a task as shards of about ``size`` tokens, texts whole."""
-
-    def new() -> tuple:
-        return [], [b""], [0], [], {}
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words and separators of the texts, one after the other, and where each begins."""
+    ended = pc.binary_join_element_wise(texts.fill_null(""), "\n", "")
+    ended.validate(full=True)
+    held = ended.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(ended)).as_py()]
+    plain = np.frombuffer(held.translate(_PLAIN), np.uint8)
+    separates = plain == _SEPARATOR
+    solid = plain != _BLANK
+    begins = separates.copy()
+    begins[0] = True
+    begins[1:] |= separates[:-1] | ~solid[:-1]
+    return plain[solid], np.flatnonzero(begins[solid]).astype(np.int32)
+
+
+def _by_lang(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, pa.Array]]:
+    """Texts of one language, some ``size`` bytes at a time, texts whole."""
+    lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    cuts = (np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // size)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        run = batch.slice(a, b - a)
+        langs = run.column("lang").dictionary_encode()
+        names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        for number, name in enumerate(names):
+            texts = run.column("text")
+            yield name, texts if len(names) == 1 else texts.filter(pa.array(of == number))
+
+
+def _encoded(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, pa.Array]:
+    """Ids of the words of one language, and the words; the first one is the separator."""
+    contents, starts = [np.array([_SEPARATOR], np.uint8)], [np.zeros(1, np.int32)]
+    size = 1 + sum(len(content) for content, _ in pieces)
+    number, kind = (np.int32, pa.binary()) if size < 1 << 31 else (np.int64, pa.large_binary())
+    held = 1
+    for content, begins in pieces:
+        contents.append(content)
+        starts.append(begins.astype(number) + number(held))
+        held += len(content)
+    offsets = np.concatenate([*starts, np.array([held], number)])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(contents))]
+    encoded = pa.Array.from_buffers(kind, len(offsets) - 1, buffers).dictionary_encode()
+    return encoded.indices.to_numpy(), encoded.dictionary.cast(pa.binary())
+
+
+def _shard(by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Shard:
+    tokens, words, lang_of, known = [], [pa.array([b""], pa.binary())], [np.zeros(1, np.int32)], 0
+    for number, pieces in enumerate(by_lang.values()):
+        ids, own = _encoded(pieces)
+        tokens.append(np.where(ids > 0, ids + np.int32(known), np.int32(0)))
+        words.append(own[1:])
+        lang_of.append(np.full(len(own) - 1, number, np.int32))
+        known += len(own) - 1
+    return Shard(np.concatenate(tokens), pa.concat_arrays(words), np.concatenate(lang_of), list(by_lang))
 
-    pieces, words, langs, names, by_lang = new()
-    held = 0
 
-    def made() -> Shard:
-        tokens = np.concatenate([[0], *pieces]).astype(np.int32)
-        return Shard(tokens, words, np.array(langs, np.int32), names)
+def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Shard]:
+    """The documents ``lang, text`` of a task as shards of about ``size`` tokens, texts whole.
 
+    Shards of long words have fewer tokens, as the words are held until their ids are made.
+    """
+    by_lang, held = {}, 0
     for batch in slices(batches):
-        for lang, text in zip(
-            batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True
-        ):
-            found = by_lang.get(lang)
-            if found is None:
-                found = by_lang[lang] = _Ids(len(names), words, langs)
-                names.append(lang)
-            split = (text or "").encode().lower().translate(_BREAKS)
-            split = split.replace(b"\n", b" \xff ").split()
-            split.append(_SEPARATOR)
-            pieces.append(np.fromiter(map(found.__getitem__, split), np.int32, len(split)))
-            held += len(split)
+        for lang, texts in _by_lang(batch, size):
+            content, begins = _split(texts)
+            by_lang.setdefault(lang, []).append((content, begins))
+            held += max(len(begins), len(content) // WORD_BYTES)
             if held >= size:
-                yield made()
-                pieces, words, langs, names, by_lang = new()
-                held = 0
+                yield _shard(by_lang)
+                by_lang, held = {}, 0
     if held:
-        yield made()
+        yield _shard(by_lang)
 
 
 _TIMES = np.array(  # fixed values: odd multipliers
@@ -137,16 +166,37 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 # --- the index --------------------------------------------------------------------------
 
 
-def stable_order(symbols: np.ndarray) -> np.ndarray:
-    """Stable order of symbols from 0 to 2^31, 16 bits at a time, as those are sorted by radix."""
-    low = symbols.astype(np.uint16)
-    order = np.argsort(low, kind="stable").astype(np.int32)
-    if len(symbols) and int(symbols.max()) >> 16:
-        high = (symbols >> 16).astype(np.uint16)
-        order = order[np.argsort(high[order], kind="stable")]
+def stable_order(*columns: np.ndarray) -> np.ndarray:
+    """Stable order by columns of symbols from 0 to 2^31, the first one leading.
+
+    Symbols are sorted with their place in the last bits, as many columns at a time as 64 bits hold.
+    """
+    size = len(columns[0])
+    place = np.uint64(size.bit_length())
+    order, left = None, list(columns)
+    while left:
+        key, used = np.arange(size, dtype=np.uint64), int(place)
+        while left and used + (width := int(left[-1].max(initial=0)).bit_length()) <= 64:
+            symbols = left.pop()
+            symbols = symbols if order is None else symbols[order]
+            if width:
+                key |= symbols.astype(np.uint64) << np.uint64(used)
+            used += width
+        key.sort()
+        key &= (np.uint64(1) << place) - np.uint64(1)
+        moved = key.astype(np.int32)
+        order = moved if order is None else order[moved]
     return order
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    first = np.flatnonzero(first).astype(np.int32)
+    return first, np.diff(np.append(first, np.int32(len(ordered))))
+
+
 @dataclass
 class Intervals:
     """Phrases as intervals [start, start + size) of the forward and of the backward order.
@@ -180,16 +230,12 @@ class PhraseIndex:
 
         An extension needs one word less than the phrase it makes, and sorts by that itself.
         """
-        order = np.arange(len(self.tokens), dtype=np.int32)
-        for k in reversed(range(self.depth - 1)):
-            order = order[stable_order(self.tokens[self._at(order, step * k)])]
-        return order
+        places = np.arange(len(self.tokens), dtype=np.int32)
+        return stable_order(*(self._at(places, step * k) for k in range(max(1, self.depth - 1))))
 
     def _at(self, order: np.ndarray, shift: int) -> np.ndarray:
-        """Positions moved by ``shift``; beyond the ends is a separator, as at position 0."""
-        moved = order + shift
-        moved[(moved < 0) | (moved >= len(self.tokens))] = 0
-        return moved
+        """Words at positions moved by ``shift``; beyond the ends are separators, as at the ends."""
+        return self.tokens.take(order + np.int32(shift), mode="clip")
 
     def single(self) -> Intervals:
         """All words."""
@@ -209,21 +255,30 @@ class PhraseIndex:
         back, start, size, word, parent = self._extended(self._backward, 1, of.back, of.start, of)
         return Intervals(start, back, size, word, parent)
 
-    def _extended(self, order, step, here, there, of: Intervals) -> tuple[np.ndarray, ...]:
-        """New intervals in this order and in the other one."""
-        # The phrase of each row; -1 where it holds a separator.
+    def right_counts(self, of: Intervals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``word, parent, size`` of every phrase of one more word after, where no other step follows."""
+        owner, symbols = self._rows(self._backward, 1, of.back, of)
+        real = (owner >= 0) & (symbols > 0)
+        key = owner[real].astype(np.int64) << 32 | symbols[real]
+        key.sort()
+        first, size = _runs(key)
+        key = key[first]
+        return (key & 0xFFFFFFFF).astype(np.int32), (key >> 32).astype(np.int32), size
+
+    def _rows(self, order, step, here, of: Intervals) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's phrase, -1 where it has none, and the word that extends it."""
         change = np.zeros(len(order) + 1, np.int32)
         number = np.arange(1, len(of) + 1, dtype=np.int32)
         change[here] += number
         change[here + of.size] -= number
-        owner = np.cumsum(change, dtype=np.int32)[:-1] - 1
-        symbols = self.tokens[self._at(order, step)]
+        return np.cumsum(change, dtype=np.int32)[:-1] - 1, self._at(order, step)
+
+    def _extended(self, order, step, here, there, of: Intervals) -> tuple[np.ndarray, ...]:
+        """New intervals in this order and in the other one."""
+        owner, symbols = self._rows(order, step, here, of)
         moved = stable_order(symbols)
         owner, symbols = owner[moved], symbols[moved]
-        first = np.ones(len(moved), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (symbols[1:] != symbols[:-1])
-        first = np.flatnonzero(first).astype(np.int32)
-        size = np.diff(np.append(first, np.int32(len(moved))))
+        first, size = _runs(owner.astype(np.int64) << 32 | symbols)
         owner, symbols = owner[first], symbols[first]
         known = owner >= 0
         first, size, owner, symbols = (x[known] for x in (first, size, owner, symbols))
@@ -242,15 +297,16 @@ class PhraseIndex:
 
 def phrases_of(tokens: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs (first, second, count) and triples (first, second, third, count) of neighbours."""
-    index = PhraseIndex(tokens, 3)
+    # Words between separators, and all but one of separators in a row, are in no phrase.
+    empty = tokens == 0
+    empty[1:-1] |= empty[:-2] & empty[2:]
+    tokens = np.where(empty, 0, tokens)
+    index = PhraseIndex(np.append(tokens[:1], tokens[1:][~(empty[1:] & empty[:-1])]), 3)
     words = index.single()
     pairs = index.left(words)
-    triples = index.right(pairs)
     second = words.word[pairs.parent]
-    return (
-        [pairs.word, second, pairs.size],
-        [pairs.word[triples.parent], second[triples.parent], triples.word, triples.size],
-    )
+    third, parent, size = index.right_counts(pairs)
+    return [pairs.word, second, pairs.size], [pairs.word[parent], second[parent], third, size]
 
 
 # --- sums over shards -------------------------------------------------------------------
@@ -398,7 +454,8 @@ def word_counts(docs: DataFrame, *, least: int = MIN_COUNT) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, SHARD_TOKENS):
+        # No index is made here, so more tokens fit.
+        for shard in shards(batches, 4 * SHARD_TOKENS):
             counts = np.bincount(shard.tokens, minlength=len(shard.words))
             counts[0] = 0
             ids = np.arange(1, len(shard.words))
@@ -426,7 +483,7 @@ def _word_keys(words: DataFrame) -> DataFrame:
         for batch in slices(batches, 10_000):
             langs = batch.column("lang").dictionary_encode()
             of = langs.indices.to_numpy().astype(np.int32)
-            texts = [w.encode() for w in batch.column("word").to_pylist()]
+            texts = batch.column("word").cast(pa.binary())
             shard = Shard(np.empty(0, np.int32), texts, of, langs.dictionary.to_pylist())
             keys = shard.hashes().view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])

@@ -1,8 +1,10 @@
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filecorpus.llm import phrases as P
@@ -107,6 +109,99 @@ def test_left_then_right():
     assert sorted(zip(*map(list, triples), strict=True)) == [(1, 1, 1, 1), (1, 1, 2, 2), (1, 2, 70_000, 1)]
 
 
+def test_order_by_columns():
+    rng = np.random.default_rng(1)
+    for most, n in ((3, 500), (70_000, 500), (2**31 - 1, 300), (5, 1), (5, 0)):
+        columns = [rng.integers(0, most, n).astype(np.int32) for _ in range(4)]
+        columns[1][: n // 2] = columns[1][: n // 2] % 2
+        for k in (1, 2, 4):
+            want = np.lexsort(columns[:k][::-1])
+            assert P.stable_order(*columns[:k]).tolist() == want.tolist()
+
+
+def test_last_words_are_counted_as_extended():
+    tokens = np.random.default_rng(2).integers(0, 6, 500).astype(np.int32)
+    tokens[0] = tokens[-1] = 0
+    index = P.PhraseIndex(tokens, 3)
+    pairs = index.left(index.single())
+    triples = index.right(pairs)
+    found = zip(*(x.tolist() for x in index.right_counts(pairs)), strict=True)
+    columns = (triples.word, triples.parent, triples.size)
+    assert sorted(found) == sorted(zip(*(x.tolist() for x in columns), strict=True))
+
+
+def batch_of(rows):
+    langs, texts = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(c, pa.string()) for c in (langs, texts)], names=["lang", "text"])
+
+
+def pieces_of(shard):
+    """(lang, words) of each piece that has words."""
+    assert shard.tokens[0] == shard.tokens[-1] == 0
+    words, pieces = [w.decode() for w in shard.words.to_pylist()], [[]]
+    assert len({(w, k) for w, k in zip(words[1:], shard.lang_of[1:], strict=True)}) == len(words) - 1
+    for t in shard.tokens.tolist():
+        pieces[-1].append(t) if t else pieces.append([])
+    return [(shard.langs[shard.lang_of[p[0]]], tuple(words[t] for t in p)) for p in pieces if p]
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+def test_words_and_pieces_of_shards(size):
+    rows = [(lang or "und", t) for lang, t in some_texts(400)]
+    rows += [("en", t) for _, t in EDGES[:-3]] + [("de", "y" * 5_000), ("x", None), ("x", ".. a,,b\tC \x1c")]
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            words = tuple(re.findall(r"[^\x20\x09]+", piece))
+            want.update([(lang, words)] if words else [])
+    made = list(P.shards([batch_of(rows)], size))
+    assert Counter(p for shard in made for p in pieces_of(shard)) == want
+    assert (len(made) == 1) == (size == 10**6)
+
+
+def test_words_cost_no_python_call_each():
+    """A call for every new word of a shard made three scans slower than their indexes."""
+
+    def calls(n):
+        batch, count = batch_of([("en", " ".join(f"w{i}" for i in range(n)))]), 0
+
+        def counted(_frame, event, _arg):
+            nonlocal count
+            count += event == "call"
+
+        before = sys.getprofile()
+        sys.setprofile(counted)
+        try:
+            shard = next(P.shards([batch], 10**6))
+        finally:
+            sys.setprofile(before)
+        assert len(shard.words) == n + 1
+        return count
+
+    assert calls(20_000) == calls(20)
+
+
+def test_positions_without_phrases_are_not_indexed(monkeypatch):
+    made = []
+
+    class Index(P.PhraseIndex):
+        def __init__(self, tokens, depth):
+            made.append(tokens.tolist())
+            super().__init__(tokens, depth)
+
+    monkeypatch.setattr(P, "PhraseIndex", Index)
+    for tokens, least in (
+        ([0, 0, 0, 1, 2, 0, 3, 0, 0, 4, 0, 5, 5, 5, 0, 0], [0, 1, 2, 0, 5, 5, 5, 0]),
+        ([0, 7, 0], [0]), ([0, 0, 0], [0]), ([0], [0]), ([0, 1, 2, 0], [0, 1, 2, 0]),
+    ):
+        pairs, triples = P.phrases_of(np.array(tokens, np.int32))
+        assert made.pop() == least
+        for found, k in ((pairs, 2), (triples, 3)):
+            plain = Counter(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+            plain = sorted((*p, c) for p, c in plain.items() if 0 not in p)
+            assert sorted(zip(*(x.tolist() for x in found), strict=True)) == plain
+
+
 def test_collocations_against_plain_counting(docs):
     rows = some_texts(300)
     want = expected(rows, least=3, top=40)
